@@ -6,11 +6,13 @@ generated code; weighted sums are written as plain arithmetic over fixed positio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from detectlab.functions import fixed
-from detectlab.functions.text import char_value, chars, digits_only
+from detectlab.functions.text import char_value, chars, digits_only, let
 
 
 def luhn_valid(value: Column) -> Column:
@@ -20,10 +22,19 @@ def luhn_valid(value: Column) -> Column:
 
 def luhn_digit(body: Column) -> Column:
     """The digit that completes ``body`` to a number that passes."""
-    found = F.lit("9")
-    for digit in "876543210":
-        found = F.when(F.call_function("luhn_check", F.concat(body, F.lit(digit))), F.lit(digit)).otherwise(found)
-    return found
+
+    def search(bound: Column) -> Column:
+        found = F.lit("9")
+        for digit in "876543210":
+            found = F.when(F.call_function("luhn_check", F.concat(bound, F.lit(digit))), digit).otherwise(found)
+        return found
+
+    return let(body, search)
+
+
+def _weighted(body: Column, total: Callable[[Column], Column]) -> Column:
+    """A check digit from a sum over fixed positions of ``body``, bound once."""
+    return let(body, total)
 
 
 def mod97(value: Column) -> Column:
@@ -65,19 +76,18 @@ def _complement(total: Column) -> Column:
     return ((F.lit(10) - total % 10) % 10).cast("int").cast("string")
 
 
+def _tens_and_units(value: Column) -> Column:
+    return F.floor(value / 10) + value % 10
+
+
 def cusip_digit(base8: Column) -> Column:
-    total = F.lit(0)
-    for i in range(8):
-        v = _at(base8, i + 1) * (2 if i % 2 else 1)
-        total = total + F.floor(v / 10) + v % 10
-    return _complement(total)
+    return _weighted(base8, lambda b: _complement(
+        sum((_tens_and_units(_at(b, i + 1) * (2 if i % 2 else 1)) for i in range(8)), F.lit(0))))
 
 
 def sedol_digit(base6: Column) -> Column:
-    total = F.lit(0)
-    for i, weight in enumerate(fixed.SEDOL_WEIGHTS):
-        total = total + _at(base6, i + 1) * weight
-    return _complement(total)
+    return _weighted(base6, lambda b: _complement(
+        sum((_at(b, i + 1) * w for i, w in enumerate(fixed.SEDOL_WEIGHTS)), F.lit(0))))
 
 
 def spelled_out(value: Column) -> Column:
@@ -123,16 +133,15 @@ def lei_valid(value: Column) -> Column:
 
 
 def _cpf_digit(digits: Column, n: int) -> Column:
-    total = F.lit(0)
-    for i in range(n):
-        total = total + F.substring(digits, i + 1, 1).cast("int") * (n + 1 - i)
-    rest = total % 11
-    return F.when(rest < 2, 0).otherwise(F.lit(11) - rest).cast("string")
+    def total(b: Column) -> Column:
+        return sum((F.substring(b, i + 1, 1).cast("int") * (n + 1 - i) for i in range(n)), F.lit(0)) % 11
+
+    return let(_weighted(digits, total), lambda rest: F.when(rest < 2, 0).otherwise(F.lit(11) - rest).cast("string"))
 
 
 def cpf_digits(base9: Column) -> Column:
-    first = _cpf_digit(base9, 9)
-    return F.concat(first, _cpf_digit(F.concat(base9, first), 10))
+    with_first = let(base9, lambda b: F.concat(b, _cpf_digit(b, 9)))
+    return let(with_first, lambda b: F.concat(F.substring(b, 10, 1), _cpf_digit(b, 10)))
 
 
 def cpf_valid(value: Column) -> Column:
@@ -144,10 +153,11 @@ def cpf_valid(value: Column) -> Column:
 
 def de_tax_digit(base10: Column) -> Column:
     """ISO 7064 MOD 11,10."""
-    product = F.lit(10)
-    for i in range(10):
-        s = (product + F.substring(base10, i + 1, 1).cast("int")) % 10
-        product = (F.coalesce(F.nullif(s, F.lit(0)), F.lit(10)) * 2) % 11
+
+    def step(product: Column, char: Column) -> Column:
+        return let((product + char.cast("int")) % 10, lambda r: F.when(r == 0, 20).otherwise(r * 2) % 11)
+
+    product = F.aggregate(chars(base10), F.lit(10), step)
     return ((F.lit(11) - product) % 10).cast("int").cast("string")
 
 
@@ -169,10 +179,9 @@ def de_tax_valid(value: Column) -> Column:
 
 
 def medicare_digit(base8: Column) -> Column:
-    total = F.lit(0)
-    for i, weight in enumerate(fixed.MEDICARE_WEIGHTS):
-        total = total + F.substring(base8, i + 1, 1).cast("int") * weight
-    return (total % 10).cast("string")
+    return _weighted(base8, lambda b: (
+        sum((F.substring(b, i + 1, 1).cast("int") * w for i, w in enumerate(fixed.MEDICARE_WEIGHTS)), F.lit(0)) % 10
+    ).cast("string"))
 
 
 def medicare_valid(value: Column) -> Column:
