@@ -1 +1,6 @@
+"""Registered queries; importing the package fills the registry."""
 
+from detectlab.plans import variant_queries  # noqa: F401
+from detectlab.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
