@@ -18,12 +18,7 @@ from detectlab.operators.rates import banded, number_in_group, pct, ratio
 
 MIN_SAMPLES = 3
 
-ORDER = ("payload_id", "generator", "ordinal")
-
-
-def first_key() -> Column:
-    """What "first" means: payload, then family, then technique position."""
-    return F.struct(*[F.col(c) for c in ORDER])
+ORDER = ("payload_id", "generator", "ordinal", "strategy")
 
 
 def technique_name() -> Column:

@@ -9,7 +9,7 @@ from detectlab.functions import checks as C
 from detectlab.functions.text import let
 from detectlab.operators.detect import run_detection
 from detectlab.operators.variants import expand_variants
-from detectlab.session import materialise, read_table
+from detectlab.session import materialise, read_table, spread
 
 RUN_FAMILIES = ("delimiter", "structural", "unicode_encoding")
 STRATEGIES = ("text", "docx")
@@ -44,23 +44,24 @@ def payloads_of(df: DataFrame, key: str, word: str) -> DataFrame:
         "phone": F.concat_ws("-", F.lit("+1-416"), (k % 800 + 200).cast("string"), pad(k % 10000, 4)),
         "random_api_key": F.md5(F.col(word)),
     }
-    return df.select(k.alias("payload_id"), F.col(word).alias("label"), *[
-        c for c in df.columns if c not in (key, word)], F.inline(F.array(*[
-            F.struct(F.lit(c).alias("category"), v.alias("value")) for c, v in values.items()])))
+    rows = F.array(*[F.struct((k * len(values) + i).alias("payload_id"), F.lit(c).alias("category"), v.alias("value"))
+                     for i, (c, v) in enumerate(values.items())])
+    return df.select(F.col(word).alias("label"), *[c for c in df.columns if c not in (key, word)], F.inline(rows))
 
 
 def supplier_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads_of(read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "s_name")
+    df = spread(read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+    return payloads_of(df, "s_suppkey", "s_name")
 
 
 def customer_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    df = spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"))
     return payloads_of(df, "c_custkey", "c_mktsegment")
 
 
 def order_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One card number per order: payload_id, category, value."""
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey"))
     return orders.select(F.col("o_orderkey").alias("payload_id"), F.lit("credit_card").alias("category"),
                          card_number(F.col("o_orderkey")).alias("value"))
 
@@ -124,7 +125,7 @@ def flagged_near_misses(spark: SparkSession, sf_dir: str, seed: int = 42) -> Dat
     from detectlab.operators.corpus import near_miss_corpus
     from detectlab.operators.detect import RULES
 
-    ids = read_table(spark, sf_dir, "customer").select("c_custkey")
+    ids = spread(read_table(spark, sf_dir, "customer").select("c_custkey"))
     rows = near_miss_corpus(ids, "c_custkey", ("credit_card", "ssn", "sin", "email", "phone"), seed)
     flagged = F.lit(False)
     for c in ("credit_card", "ssn", "sin", "email", "phone"):

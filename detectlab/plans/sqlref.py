@@ -126,7 +126,8 @@ def mod97(expr: str) -> str:
 
 
 def mod97_digits(expr: str) -> str:
-    return f"lpad(CAST(98 - {mod97(f'({expr} || {chr(39)}00{chr(39)})')} AS VARCHAR), 2, '0')"
+    padded = f"({expr} || '00')"
+    return f"lpad(CAST(98 - {mod97(padded)} AS VARCHAR), 2, '0')"
 
 
 def iban_valid(expr: str) -> str:
@@ -203,20 +204,20 @@ def card(k: str) -> str:
 
 def payloads(table: str, k: str, word: str, extra: str = "") -> str:
     pad = lambda e, n: f"lpad(CAST({e} AS VARCHAR), {n}, '0')"
-    sin9 = f"('1' || {pad(k, 7)} || {luhn_digit(f'({chr(39)}1{chr(39)} || {pad(k, 7)})')})"
-    bban = pad(k, 18)
+    sin8, bban = f"('1' || {pad(k, 7)})", pad(k, 18)
+    sin9, german = f"({sin8} || {luhn_digit(sin8)})", f"({bban} || 'DE')"
     values = {
         "credit_card": card(k),
         "ssn": f"({pad(f'({k} % 665 + 1)', 3)} || '-' || {pad(f'({k} % 99 + 1)', 2)} || '-' || {pad(f'({k} % 9999 + 1)', 4)})",
         "sin": f"(substr({sin9}, 1, 3) || ' ' || substr({sin9}, 4, 3) || ' ' || substr({sin9}, 7, 3))",
-        "iban": f"('DE' || {mod97_digits(f'({bban} || {chr(39)}DE{chr(39)})')} || {bban})",
+        "iban": f"('DE' || {mod97_digits(german)} || {bban})",
         "email": f"(lower({word}) || '.' || CAST({k} AS VARCHAR) || '@example.com')",
         "phone": f"('+1-416-' || CAST({k} % 800 + 200 AS VARCHAR) || '-' || {pad(f'({k} % 10000)', 4)})",
         "random_api_key": f"md5({word})",
     }
     return " UNION ALL ".join(
-        f"SELECT {k} AS payload_id, {word} AS label{extra}, '{c}' AS category, {v} AS value FROM {table}"
-        for c, v in values.items())
+        f"SELECT {k} * 7 + {i} AS payload_id, {word} AS label{extra}, '{c}' AS category, {v} AS value FROM {table}"
+        for i, (c, v) in enumerate(values.items()))
 
 
 SUPPLIER_PAYLOADS = payloads("supplier", "s_suppkey", "s_name")
@@ -429,3 +430,124 @@ def variants(source: str, families, extra: str = "") -> str:
                 f"raw, {expr} AS variant FROM pre {where}) WHERE variant IS NOT NULL AND ({keep})")
     return (f"WITH pay AS ({source}), pre AS (SELECT *, regexp_replace(value, '[^A-Za-z0-9]', '', 'g') AS raw FROM pay) "
             + " UNION ALL ".join(parts))
+
+
+# --- detection --------------------------------------------------------------------------------------------------------
+
+SPAN_PATTERNS = {
+    "credit_card": r"[0-9]{13,19}|(?:[0-9]{4}[ .-]){3}[0-9]{2,4}(?:[ .-][0-9]{1,3})?",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "sin": r"[0-9]{3}[ -][0-9]{3}[ -][0-9]{3}",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "phone": r"\+1-[0-9]{3}-[0-9]{3}-[0-9]{4}",
+    "ca_ramq": r"[A-Z]{4} [0-9]{4} [0-9]{4}",
+    "ipv4_address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "jwt": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+}
+SPAN_KEYWORDS = {
+    "credit_card": "card|visa|pan|payment|carte", "ssn": "ssn|social security|w-2", "sin": "sin|social insurance|nas|t4",
+    "iban": "iban|wire|transfer|bank", "email": "mail|contact|address", "phone": "phone|call|tel",
+    "ca_ramq": "ramq|quebec|health", "ipv4_address": "ip|host|server", "aws_key": "aws|key", "jwt": "token|bearer|auth",
+}
+
+
+def _ramq_valid(m: str) -> str:
+    month = f"TRY_CAST(substr(replace({m}, ' ', ''), 7, 2) AS INT)"
+    return f"coalesce({month} BETWEEN 1 AND 12 OR {month} BETWEEN 51 AND 62, FALSE)"
+
+
+def confirmed(category: str, m: str) -> str:
+    digits_of = f"regexp_replace({m}, '[^0-9]', '', 'g')"
+    return {"credit_card": luhn_valid(digits_of), "ssn": ssn_valid(m), "sin": sin_valid(m), "iban": iban_valid(m),
+            "ca_ramq": _ramq_valid(m)}.get(category, "TRUE")
+
+
+def plain_hit(category: str, text: str) -> str:
+    found = f"regexp_extract_all({text}, '{SPAN_PATTERNS[category]}')"
+    return f"len(list_filter({found}, lambda m: {confirmed(category, 'm')})) > 0"
+
+
+def compact_hit(category: str, text: str) -> str:
+    """On text without delimiters."""
+    bare_ssn = "(substr(m, 1, 3) || '-' || substr(m, 4, 2) || '-' || substr(m, 6))"
+    rules = {"credit_card": ("[0-9]{13,19}", luhn_valid("m")), "ssn": ("[0-9]{9}", ssn_valid(bare_ssn)),
+             "sin": ("[0-9]{9}", sin_valid("m")), "iban": (SPAN_PATTERNS["iban"], iban_valid("m")),
+             "email": (SPAN_PATTERNS["email"], "TRUE"), "phone": ("1[2-9][0-9]{9}", "TRUE")}
+    pattern, valid = rules[category]
+    return f"len(list_filter(regexp_extract_all({text}, '{pattern}'), lambda m: {valid})) > 0"
+
+
+RUN_CATEGORIES = ("credit_card", "ssn", "sin", "iban", "email", "phone")
+
+
+def hit(text: str, rule=plain_hit) -> str:
+    return "CASE category " + " ".join(f"WHEN '{c}' THEN {rule(c, text)}" for c in RUN_CATEGORIES) + " ELSE FALSE END"
+
+
+def fold_strings() -> tuple[str, str]:
+    pairs: dict[str, str] = {}
+    for k, v in fixed.HOMOGLYPHS.items():
+        if k.isdigit():
+            pairs[v] = k
+    for k, v in fixed.HOMOGLYPHS.items():
+        pairs.setdefault(v, k)
+    for base in [*fixed.DIGIT_BLOCKS.values(), fixed.FULLWIDTH_ZERO]:
+        pairs.update({chr(base + i): str(i) for i in range(10)})
+    pairs.update({c: " " for c in fixed.UNICODE_SPACES.values()})
+    gone = "".join(fixed.ZERO_WIDTH.values()) + fixed.SOFT_HYPHEN + fixed.WORD_JOINER + "".join(
+        (fixed.RLO, fixed.LRO, fixed.RLE, fixed.PDF, fixed.RLI, fixed.PDI, fixed.ALM))
+    return "".join(pairs) + gone, "".join(pairs.values())
+
+
+ENTITY = "&#[xX]?[0-9a-fA-F]{1,6};"
+
+
+def normalise_steps(source: str, column: str, keep: str = "*") -> str:
+    """A chain of selects over ``source`` that ends with the column ``norm``; numeric entities must be code points."""
+    body = "regexp_replace(ents[i], '[&#;]', '', 'g')"
+    number = f"CASE WHEN lower(left({body}, 1)) = 'x' THEN CAST('0x' || substr({body}, 2) AS INT) ELSE CAST({body} AS INT) END"
+    named = "e0"
+    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        named = f"replace({named}, '{name}', {lit(ch)})"
+    once = "CASE WHEN contains({0}, '%') THEN url_decode({0}) ELSE {0} END"
+    source_chars, target_chars = fold_strings()
+    return (
+        f"SELECT * EXCLUDE (pieces, ents, e0, e1, e2), translate(regexp_replace(regexp_replace(e2, '(?s)<!--.*?-->', '', 'g'), "
+        f"'(?s)/\*.*?\*/', '', 'g'), {lit(source_chars)}, {lit(target_chars)}) AS norm FROM ("
+        f"SELECT *, {once.format('e1')} AS e2 FROM (SELECT *, {once.format('named_')} AS e1 FROM (SELECT *, {named} AS named_ FROM ("
+        f"SELECT *, CASE WHEN len(ents) > 0 THEN array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: "
+        f"pieces[i] || CASE WHEN i <= len(ents) THEN chr({number}) ELSE '' END), '') ELSE {column} END AS e0 FROM ("
+        f"SELECT {keep}, string_split_regex({column}, '{ENTITY}') AS pieces, regexp_extract_all({column}, '{ENTITY}') AS ents "
+        f"FROM ({source}))))))"
+    ).replace("EXCLUDE (pieces, ents, e0, e1, e2)", "EXCLUDE (pieces, ents, e0, named_, e1, e2)")
+
+
+RUN_FAMILIES = ("delimiter", "structural", "unicode_encoding")
+
+
+def run_rows(normalised: bool = False) -> str:
+    """Outcome rows of all customer payloads, as the Spark side stores them."""
+    base = variants(CUSTOMER_PAYLOADS, RUN_FAMILIES, ", c_acctbal")
+    rule = "CASE WHEN category IN ('email', 'phone') THEN 0.6 ELSE 0.95 END"
+    if normalised:
+        base = normalise_steps(base, "variant")
+        compact = "regexp_replace(norm, '[\\s./_-]+', '', 'g')"
+        score = (f"CASE WHEN {hit('variant')} THEN {rule} WHEN {hit('norm')} THEN {rule} * 0.9::DOUBLE "
+                 f"WHEN {hit(compact, compact_hit)} THEN {rule} * 0.8::DOUBLE END")
+    else:
+        score = f"CASE WHEN {hit('variant')} THEN {rule} END"
+    return (
+        "SELECT payload_id, label, category, payload_value, generator, technique, ordinal, strategy, variant, detected, "
+        "CASE WHEN detected THEN score::DOUBLE END AS confidence, error, CASE WHEN error <> '' THEN 'error' WHEN detected THEN 'pass' ELSE 'fail' END AS severity "
+        "FROM (SELECT *, error = '' AND score IS NOT NULL AS detected FROM (SELECT payload_id, label, category, value AS payload_value, generator, "
+        "technique, ordinal, strategy, variant, CASE WHEN strategy = 'docx' AND c_acctbal < 0 THEN 'extraction failed' ELSE '' END AS error, score "
+        f"FROM (SELECT *, {score} AS score FROM ({base})) CROSS JOIN (SELECT unnest(['text', 'docx']) AS strategy)))"
+    )
+
+
+RESULTS = run_rows()
+RESULTS_NORMALISED = run_rows(True)
+COUNTS = ("count(*) AS total, count(*) FILTER (WHERE severity = 'pass') AS pass, count(*) FILTER (WHERE severity = 'fail') AS fail, "
+          "count(*) FILTER (WHERE severity = 'error') AS error")

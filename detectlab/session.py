@@ -30,6 +30,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input of a fan-out over all cores. Only an input of fewer partitions than cores (small files) is shuffled;
+    a large input already has its splits and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the cluster's own setting, or a temporary one in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
