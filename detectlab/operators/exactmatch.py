@@ -45,20 +45,27 @@ def registration_counts(dictionary: DataFrame, namespace: str = "edm") -> DataFr
              (F.col("hashes") > WARN_ABOVE).alias("over_limit"))
 
 
-def _windows(text: Column, max_words: int, low: int, high: int) -> Column:
-    """Normalised runs of up to ``max_words`` tokens whose length a dictionary value can have."""
-    tokens = F.transform(
+def _tokens(text: Column) -> Column:
+    """Normalised tokens between white space, without punctuation at their ends."""
+    return F.transform(
         F.split(F.translate(text, _COMPAT_FROM, _COMPAT_TO), r"\s+"),
         lambda t: edm_normalise(F.regexp_replace(t, r"""^[,;:!?"'<>\[\]{}]+|[,;:!?"'<>\[\]{}]+$""", "")),
     )
-    runs = F.transform(tokens, lambda t, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(tokens) - i)),
-        lambda w: F.struct((i + 1).alias("position"), w.alias("words"),
-                           F.array_join(F.slice(tokens, i + 1, w), "").alias("run"))))
-    if max_words == 1:
-        runs = F.transform(tokens, lambda t, i: F.array(
-            F.struct((i + 1).alias("position"), F.lit(1).alias("words"), t.alias("run"))))
-    return F.filter(F.flatten(runs), lambda r: F.length(r["run"]).between(low, high))
+
+
+def _runs(df: DataFrame, keys: Sequence[str], text: str, max_words: int, low: int, high: int) -> DataFrame:
+    """Runs of 1 to ``max_words`` tokens whose length a dictionary value can have: keys, position, words, run.
+
+    The token list is projected once and zipped with itself shifted by one, two, ... words, so that one pass over it
+    yields a row per token with the words that follow, and runs are plain concatenations.
+    """
+    listed = df.select(*keys, _tokens(F.col(text)).alias("__t"))
+    shifted = [F.slice("__t", w + 1, F.size("__t")).alias(f"w{w}") for w in range(max_words)]
+    rows = listed.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("__at", "__w"))
+    words = [F.col(f"__w.w{w}") for w in range(max_words)]
+    lengths = [F.struct(F.lit(w + 1).alias("words"), F.concat(*words[:w + 1]).alias("run")) for w in range(max_words)]
+    return rows.select(*keys, (F.col("__at") + 1).alias("position"), F.inline(F.array(*lengths))).filter(
+        F.col("run").isNotNull() & F.length("run").between(low, high))
 
 
 def find_registered(df: DataFrame, keys: Sequence[str], text: str, dictionary: DataFrame, key: str) -> DataFrame:
@@ -69,14 +76,14 @@ def find_registered(df: DataFrame, keys: Sequence[str], text: str, dictionary: D
     """
     shape = dictionary.agg(F.max("n_words"), F.min("n_chars"), F.max("n_chars")).first()
     max_words, low, high = (int(x or 1) for x in shape)
-    runs = df.select(*keys, F.inline(_windows(F.col(text), max_words, low, high)))
+    runs = _runs(df, keys, text, max_words, low, high)
     hashed = runs.select(*keys, "position", "words", value_hash(F.col("run"), key).alias("value_hash"))
     known = dictionary.select("value_hash", "category", "label", F.col("n_words").alias("__words"))
     small = dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if small:
         return hashed.join(F.broadcast(known), "value_hash").drop("__words")
     salted = hashed.withColumn("__salt", F.pmod(F.xxhash64(*keys, "position"), F.lit(SALTS)))
-    spread = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    spread = known.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])))
     return salted.join(spread.hint("shuffle_hash"), ["value_hash", "__salt"]).drop("__salt", "__words")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,17 +81,23 @@ def detection_run(spark: SparkSession, sf_dir: str, normalised: bool) -> DataFra
                       "ordinal", "strategy", "variant", "detected", "confidence", "error", "severity")
 
 
-_STORED: dict[tuple[str, str, bool], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def outcomes(spark: SparkSession, sf_dir: str, normalised: bool = False) -> DataFrame:
-    """A detection run stored once per session; reports read the stored table, as they would an archived run."""
-    key = (spark.sparkContext.applicationId, sf_dir, normalised)
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table built once per session and written to the shared folder; later queries read the files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = materialise(detection_run(spark, sf_dir, normalised), "outcomes")
+        _STORED[key] = materialise(build(), name)
     return _STORED[key]
 
 
+def outcomes(spark: SparkSession, sf_dir: str, normalised: bool = False) -> DataFrame:
+    """A detection run; reports read the stored table, as they would an archived run."""
+    name = "outcomes-normalised" if normalised else "outcomes"
+    return stored(spark, sf_dir, name, lambda: detection_run(spark, sf_dir, normalised))
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log from events: one run per day and event type; a purchase day is a false-positive run.
 
