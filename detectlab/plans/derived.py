@@ -109,7 +109,8 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("total"), F.count_if(caught).alias("pass"), F.count_if(~caught).alias("fail"),
         *[F.count_if((F.pmod("user_id", F.lit(4)) == i)).alias(f"n{i}") for i in range(4)],
         *[F.count_if((F.pmod("user_id", F.lit(4)) == i) & caught).alias(f"p{i}") for i in range(4)])
-    seq = F.datediff("day", F.lit("2024-01-01").cast("date")) * 10 + F.length("event_type")
+    seq = F.datediff("day", F.lit("2024-01-01").cast("date")) * 10 + F.array_position(
+        F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("event_type"))
     is_fp = F.col("event_type") == "purchase"
     # Sorted by name, so that the run log has one order of keys.
     rates = F.map_filter(F.map_from_arrays(
@@ -125,6 +126,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("fail") * 100 / F.col("total"), 1).alias("fp_rate"), rates.alias("technique_success_rates"))
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 HISTORY_TECHNIQUES = ("fullwidth_digits", "homoglyph_substitution", "hyphen_delimiter", "uppercase")
 
 

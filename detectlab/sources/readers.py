@@ -29,9 +29,12 @@ FP_SCHEMA = (
     "false_positive_rate:double,flagged_values:array<string>>>")
 
 
-def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    """Result rows of scan documents; a document without ``meta`` or ``results`` gives none."""
-    docs = spark.read.schema(SCAN_SCHEMA).option("multiLine", True).json(path)
+def read_scans(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Result rows of scan documents; a document without ``meta`` or ``results`` gives none.
+
+    ``multi_line`` is for indented documents; documents of one line each split better without it.
+    """
+    docs = spark.read.schema(SCAN_SCHEMA).option("multiLine", multi_line).json(path)
     rows = docs.filter(F.col("meta").isNotNull() & F.col("results").isNotNull()).select(
         F.input_file_name().alias("run_id"), F.col("meta.timestamp").alias("run_ts"), F.posexplode("results").alias("ord", "r"))
     return rows.select(
