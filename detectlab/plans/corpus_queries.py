@@ -70,7 +70,7 @@ _DIM = " UNION ALL ".join(f"SELECT '{b}' AS bucket, '{c}' AS category, {i} AS or
 
 
 @query("expand_buckets",
-       f"SELECT category, CAST(f.a AS BIGINT) AS "at", f.o AS ord FROM (SELECT category, min(struct_pack(a := seen, o := ord)) AS f FROM ({_DIM}) JOIN (SELECT upper(b) AS bucket, min(event_id) AS seen FROM "
+       f"SELECT category, CAST(f.a AS BIGINT) AS \"at\", f.o AS ord FROM (SELECT category, min(struct_pack(a := seen, o := ord)) AS f FROM ({_DIM}) JOIN (SELECT upper(b) AS bucket, min(event_id) AS seen FROM "
        "(SELECT event_id, (['pci', 'phi', 'none', 'cred'])[CAST(event_id % 4 AS INT) + 1] AS b FROM events) GROUP BY 1) USING (bucket) GROUP BY category)")
 def expand_buckets(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in ("pci", "phi", "none", "cred")])
