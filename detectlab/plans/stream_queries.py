@@ -52,14 +52,14 @@ def stream_running_counters(spark, sf_dir):
        "FROM events GROUP BY ALL) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_windowed_rate(spark, sf_dir):
     """Windows that the watermark has passed, which are the final ones."""
-    events = _stream(spark, sf_dir, "events").select("ts", "event_type", (F.col("value") > 10).alias("caught"))
+    events = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("value") > 10).alias("caught"))
     return _run_to_files(spark, T.windowed_rate(events, "ts", "event_type", "caught"), "windows")
 
 
 @query("stream_unique_runs", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY ALL")
 def stream_unique_runs(spark, sf_dir):
     """Every event line twice, as after a repeated append; one of each is left."""
-    events = _stream(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    events = _stream(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     kept = _run_to_files(spark, T.unique_runs(events, "ts", ["event_id"]), "unique")
     return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 

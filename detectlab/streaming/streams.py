@@ -50,7 +50,8 @@ def drop_alerts(stream: DataFrame, label: str, order: str, rate: str, fall: floa
             before = float(value)
         if before is not None:
             state.update((before,))
-        yield pd.DataFrame(alerts, columns=["label", "run_seq", "previous", "rate"])
+        if alerts:
+            yield pd.DataFrame(alerts, columns=["label", "run_seq", "previous", "rate"])
 
     return stream.select(label, order, rate).groupBy(label).applyInPandasWithState(
         follow, "label string, run_seq long, previous double, rate double", "previous double", "append",
