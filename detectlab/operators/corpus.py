@@ -153,10 +153,9 @@ def build_corpus(
     for name, own in (evasion_per_category or {}).items():
         rate = F.when(cat == name, float(own)).otherwise(rate)
     keys = entries.columns
-    used = {p for g in weights for p in X._USES.get(g, tuple(X.Parts.shared))}
     chosen = entries.withColumn("__do", D.uniform(seed, "evade", eid) < rate).withColumn(
         "__family", F.when(F.col("__do"), choose_family(plain, cat, D.uniform(seed, "family", eid), weights, mode)))
-    base = X.Parts.project(chosen, "plain_value", [n for n in X.Parts.shared if n in used])
+    base = X.project_parts_of_family(chosen, "plain_value", "__family", list(weights))
     parts = X.Parts(plain)
     options = F.lit(None)
     for g in weights:
@@ -164,15 +163,18 @@ def build_corpus(
             let(t.build(parts), _if_kept(t, plain)) for t in X.FAMILIES[g]
             if techniques is None or t.name in techniques]))
         options = F.when(F.col("__family") == g, built).otherwise(options)
-    n = F.size(F.col("__options"))
-    at = F.floor(D.uniform(seed, "technique", eid) * n).cast("int")
-    picked = base.select(*keys, "__family", options.alias("__options")).withColumn(
-        "__variant", F.when(n > 0, F.get(F.col("__options"), at)))
+    u = D.uniform(seed, "technique", eid)
+
+    def pick(opts: Column) -> Column:
+        return F.get(opts, F.floor(u * F.size(opts)).cast("int"))
+
+    # Expanding the one pick keeps filters on the corpus above it, instead of copying the choice into each of them.
+    picked = base.select(*keys, "__family", F.inline(F.array(let(let(options, pick), lambda v: F.struct(
+        v["technique"].alias("technique"), v["value"].alias("__value"))))))
     out = picked.select(
-        *keys, F.coalesce(F.col("__variant.value"), plain).alias("variant_value"),
-        F.col("__variant.technique").alias("technique"),
-        F.when(F.col("__variant").isNotNull(), F.col("__family")).alias("generator"),
-        F.replace(F.col("__variant.technique"), F.lit("_"), F.lit(" ")).alias("transform_name"))
+        *keys, F.coalesce(F.col("__value"), plain).alias("variant_value"), "technique",
+        F.when(F.col("technique").isNotNull(), F.col("__family")).alias("generator"),
+        F.replace(F.col("technique"), F.lit("_"), F.lit(" ")).alias("transform_name"))
     return embed(out, seed, keyword_rate, language)
 
 

@@ -103,6 +103,16 @@ def _alternating(items: Column, even: str, odd: str) -> Column:
     return F.when(F.size(items) > 1, joined)
 
 
+def project_parts_of_family(df: DataFrame, value: str, family: str, families: Sequence[str]) -> DataFrame:
+    """The shared parts where each row needs one family only: a part is computed just for the families that use it."""
+    columns = []
+    for name, build in Parts.shared.items():
+        users = [g for g in families if name in _USES.get(g, tuple(Parts.shared))]
+        if users:
+            columns.append(F.when(F.col(family).isin(*users), build(F.col(value))).alias(f"__{name}"))
+    return df.select("*", *columns)
+
+
 # --- unicode_encoding -------------------------------------------------------------------------------------------------
 
 def _percent_mixed(p: Parts) -> Column:

@@ -515,7 +515,7 @@ def normalise_steps(source: str, column: str, keep: str = "*") -> str:
     source_chars, target_chars = fold_strings()
     return (
         f"SELECT * EXCLUDE (pieces, ents, e0, e1, e2), translate(regexp_replace(regexp_replace(e2, '(?s)<!--.*?-->', '', 'g'), "
-        f"'(?s)/\*.*?\*/', '', 'g'), {lit(source_chars)}, {lit(target_chars)}) AS norm FROM ("
+        f"'(?s)/\\*.*?\\*/', '', 'g'), {lit(source_chars)}, {lit(target_chars)}) AS norm FROM ("
         f"SELECT *, {once.format('e1')} AS e2 FROM (SELECT *, {once.format('named_')} AS e1 FROM (SELECT *, {named} AS named_ FROM ("
         f"SELECT *, CASE WHEN len(ents) > 0 THEN array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: "
         f"pieces[i] || CASE WHEN i <= len(ents) THEN chr({number}) ELSE '' END), '') ELSE {column} END AS e0 FROM ("
