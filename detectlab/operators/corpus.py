@@ -17,6 +17,7 @@ from detectlab.operators.rates import pct
 
 EVASION_MODES = ("random", "weighted", "adversarial", "exhaustive")
 WEIGHT_FLOOR = 0.05
+SEED_ROWS = 100_000
 
 # Sentences that give a value its context, per category and language.
 SENTENCES = {
@@ -68,9 +69,11 @@ def entries_for(allocation: DataFrame) -> DataFrame:
 def plain_values(entries: DataFrame, seeds: DataFrame, seed: int, categories: Sequence[str]) -> DataFrame:
     """Adds plain_value: synthetic where a rule exists and more entries than seeds are wanted, else seeds in turn.
 
-    ``entries`` has category, idx, n and entry_id; ``seeds`` has category and value (a seed catalogue, small by nature:
-    its size is one row per seed value). Cards are always synthetic.
+    ``entries`` has category, idx, n and entry_id; ``seeds`` is a catalogue with category and value. It is broadcast,
+    so its size is counted first and a table beyond ``SEED_ROWS`` is refused. Cards are always synthetic.
     """
+    if seeds.limit(SEED_ROWS + 1).count() > SEED_ROWS:
+        raise ValueError(f"the seed catalogue has more than {SEED_ROWS} rows")
     pools = seeds.groupBy("category").agg(F.sort_array(F.collect_list("value")).alias("pool"))
     joined = entries.join(F.broadcast(pools), "category", "left")
     drawn = F.lit(None).cast("string")

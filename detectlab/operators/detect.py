@@ -27,6 +27,7 @@ class Rule:
     confirm_compact: Callable[[Column], Column] | None
     keywords: str
     confidence: float
+    needs: str = ""  # text without this cannot match
 
 
 def _card_valid(value: Column) -> Column:
@@ -47,13 +48,13 @@ RULES: dict[str, Rule] = {
     "iban": Rule(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", C.iban_valid, r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", C.iban_valid,
                  "iban|wire|transfer|bank", CHECKED),
     "email": Rule(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", None, None, None,
-                  "mail|contact|address", SHAPED),
-    "phone": Rule(r"\+1-[0-9]{3}-[0-9]{3}-[0-9]{4}", None, r"1[2-9][0-9]{9}", None, "phone|call|tel", SHAPED),
+                  "mail|contact|address", SHAPED, "@"),
+    "phone": Rule(r"\+1-[0-9]{3}-[0-9]{3}-[0-9]{4}", None, r"1[2-9][0-9]{9}", None, "phone|call|tel", SHAPED, "+1-"),
     "ca_ramq": Rule(r"[A-Z]{4} [0-9]{4} [0-9]{4}", C.ramq_valid, r"[A-Z]{4}[0-9]{8}", C.ramq_valid,
                     "ramq|quebec|health", CHECKED),
     "ipv4_address": Rule(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", None, None, None, "ip|host|server", SHAPED),
-    "aws_key": Rule(r"AKIA[0-9A-Z]{16}", None, r"AKIA[0-9A-Z]{16}", None, "aws|key", SHAPED),
-    "jwt": Rule(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", None, None, None, "token|bearer|auth", SHAPED),
+    "aws_key": Rule(r"AKIA[0-9A-Z]{16}", None, r"AKIA[0-9A-Z]{16}", None, "aws|key", SHAPED, "AKIA"),
+    "jwt": Rule(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", None, None, None, "token|bearer|auth", SHAPED, "eyJ"),
 }
 
 
@@ -82,12 +83,16 @@ def find_spans(
     ``gate`` keeps a match only where a keyword of its category stands within ``window`` characters.
     """
     rules = _rules(categories)
-    found = df.select(*keys, F.col(text).alias("__text"), F.array(*[
-        F.struct(F.lit(c).alias("category"), F.lit(r.pattern).alias("pattern"),
-                 extract(F.col(text), r.pattern).alias("matches"))
-        for c, r in rules.items()
-    ]).alias("__found")).select(*keys, "__text", F.inline("__found")).filter(F.size("matches") > 0)
-    # The pattern is a column here, so the pieces are cut rule by rule to keep each pattern compiled once.
+    def matches(rule: Rule) -> Column:
+        found = extract(F.col(text), rule.pattern)
+        return F.when(F.contains(F.col(text), F.lit(rule.needs)), found) if rule.needs else found
+
+    every = F.array(*[F.struct(F.lit(c).alias("category"), matches(r).alias("matches")) for c, r in rules.items()])
+    # Only categories with matches are expanded, so a text is not copied once per rule.
+    hits = F.filter(every, lambda x: F.size(x["matches"]) > 0)
+    found = df.select(*keys, F.col(text).alias("__text"), hits.alias("__found")).select(
+        *keys, "__text", F.inline("__found"))
+    # The pieces are cut rule by rule, so that each pattern stays a literal and is compiled once.
     pieces = F.lit(None).cast("array<string>")
     for category, rule in rules.items():
         pieces = F.when(F.col("category") == category, F.split(F.col("__text"), rule.pattern)).otherwise(pieces)

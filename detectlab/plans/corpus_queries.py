@@ -269,14 +269,16 @@ def corpus_allocation(spark, sf_dir):
 
 
 @query("corpus_plain_values",
-       "WITH pool AS (SELECT category, list_sort(list(value)) AS pool FROM (SELECT c_mktsegment AS category, c_name AS value FROM customer WHERE c_acctbal > 9500) GROUP BY category), "
-       "e AS (SELECT category, unnest(range(0, 400)) AS idx FROM (SELECT DISTINCT c_mktsegment AS category FROM customer)) "
-       "SELECT category, CAST(idx AS INT) AS idx, pool[CAST(idx % len(pool) AS INT) + 1] AS plain_value FROM e JOIN pool USING (category)")
+       "WITH pool AS (SELECT n_regionkey, list_sort(list(n_name)) AS pool FROM nation GROUP BY n_regionkey) SELECT c_custkey AS idx, r_name AS category, "
+       "pool[CAST(c_custkey % len(pool) AS INT) + 1] AS plain_value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN pool USING (n_regionkey)")
 def corpus_plain_values(spark, sf_dir):
-    """Categories without a synthetic rule rotate through their seeds."""
-    customers = read_table(spark, sf_dir, "customer")
-    seeds = customers.filter(F.col("c_acctbal") > 9500).select(F.col("c_mktsegment").alias("category"), F.col("c_name").alias("value"))
-    wanted = G.entries_for(G.allocate(customers.select(F.col("c_mktsegment").alias("category")).distinct(), count=400))
+    """Categories without a synthetic rule rotate through their seeds: nation names, per region of the customer."""
+    regions = read_table(spark, sf_dir, "nation").join(
+        read_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    seeds = regions.select(F.col("r_name").alias("category"), F.col("n_name").alias("value"))
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    wanted = customers.join(regions, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("r_name").alias("category"), F.col("c_custkey").alias("idx"), F.lit(0).alias("n"), F.col("c_custkey").alias("entry_id"))
     return G.plain_values(wanted, seeds, SEED, []).select("category", "idx", "plain_value")
 
 
