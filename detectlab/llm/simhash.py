@@ -85,6 +85,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
     by_group = linked.join(least, "component").select("fp", "least_id")
     owner = distinct.join(by_group, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # Written, so that the join has nothing but its two exchanges below it and Spark can split a hot fingerprint.
+    owner = materialise(owner, "owners")
     return prints.join(owner, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
