@@ -56,6 +56,18 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def space_pieces(text: str) -> list[str] | None:
+    """The text cut before each space, where that is where its words begin; else None.
+
+    It is so for usual characters if no white space stands beside a space.
+    """
+    if _UNUSUAL.search(text) or "  " in text or "\n " in text or " \n" in text:
+        return None
+    first, *rest = text.split(" ")
+    pieces = [" " + chunk for chunk in rest]
+    return [first, *pieces] if first else pieces
+
+
 class Automaton:
     """The compiled merges: ``encode`` and ``decode``."""
 
@@ -169,18 +181,12 @@ class Automaton:
 
     def _plain(self, text: str) -> bytes:
         """Without special tokens."""
-        if _UNUSUAL.search(text):
-            return b"".join(map(self._word, _PIECES.findall(text)))
-        if "  " in text or "\n " in text or " \n" in text:
-            return b"".join(map(self._word, _USUAL_PIECES.findall(text)))
-        # No white space stands beside a space, so every space begins a piece and chunks can be cut there.
-        first, *rest = text.split(" ")
-        found = [self._chunk(first)] if first else []
+        pieces = space_pieces(text)
+        if pieces is None:
+            usual = not _UNUSUAL.search(text)
+            return b"".join(map(self._word, (_USUAL_PIECES if usual else _PIECES).findall(text)))
         get = self.chunks.get
-        for chunk in rest:
-            spaced = " " + chunk
-            found.append(get(spaced) or self._chunk(spaced))
-        return b"".join(found)
+        return b"".join([get(p) or self._chunk(p) for p in pieces])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers; of a null text, none."""

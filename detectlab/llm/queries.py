@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from detectlab.llm import bpe, decontaminate, langid, secrets, sharding, simhash, toxicity
+from detectlab.llm import bpe, decontaminate, htmltext, langid, outliers, secrets, sharding, simhash, tokenfiles, toxicity
 from detectlab.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,21 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -48,6 +58,11 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judged(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
