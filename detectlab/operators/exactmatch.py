@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from detectlab.functions import fixed
 from detectlab.operators.rates import pct
 
-BROADCAST_ROWS = 200_000
 WARN_ABOVE = 50_000
-SALTS = 16
 
 # Compatibility forms that occur in the transforms: Unicode spaces and fullwidth ASCII.
 _COMPAT_FROM = "".join(fixed.UNICODE_SPACES.values()) + "".join(chr(0xFF01 + i) for i in range(94))
@@ -46,45 +44,54 @@ def registration_counts(dictionary: DataFrame, namespace: str = "edm") -> DataFr
 
 
 def _tokens(text: Column) -> Column:
-    """Normalised tokens between white space, without punctuation at their ends."""
-    return F.transform(
+    """Normalised tokens between white space, without punctuation at their ends; empty ones are left out."""
+    cleaned = F.transform(
         F.split(F.translate(text, _COMPAT_FROM, _COMPAT_TO), r"\s+"),
         lambda t: edm_normalise(F.regexp_replace(t, r"""^[,;:!?"'<>\[\]{}]+|[,;:!?"'<>\[\]{}]+$""", "")),
     )
+    return F.filter(cleaned, lambda t: t != "")
 
 
-def _runs(df: DataFrame, keys: Sequence[str], text: str, max_words: int, low: int, high: int) -> DataFrame:
-    """Runs of 1 to ``max_words`` tokens whose length a dictionary value can have: keys, position, words, run.
+def _runs_from(tokens: Column, start: Column, lengths: Sequence[int]) -> Column:
+    """The runs of tokens from ``start`` (1-based) whose characters together are as many as a registered value has.
 
-    The token list is projected once and zipped with itself shifted by one, two, ... words, so that one pass over it
-    yields a row per token with the words that follow, and runs are plain concatenations.
+    A run grows token by token until it is longer than any value, so it has at most as many tokens as the longest value
+    has characters, however the value was typed when it was registered.
     """
-    listed = df.select(*keys, _tokens(F.col(text)).alias("__t"))
-    shifted = [F.slice("__t", w + 1, F.size("__t")).alias(f"w{w}") for w in range(max_words)]
-    rows = listed.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("__at", "__w"))
-    words = [F.col(f"__w.w{w}") for w in range(max_words)]
-    lengths = [F.struct(F.lit(w + 1).alias("words"), F.concat(*words[:w + 1]).alias("run")) for w in range(max_words)]
-    return rows.select(*keys, (F.col("__at") + 1).alias("position"), F.inline(F.array(*lengths))).filter(
-        F.col("run").isNotNull() & F.length("run").between(low, high))
+    longest = max(lengths)
+    wanted = F.array(*[F.lit(n) for n in lengths])
+    empty = F.array().cast("array<struct<words:int,run:string>>")
+    seed = F.struct(F.lit(0).alias("words"), F.lit("").alias("run"), empty.alias("found"))
+
+    def grow(acc: Column, token: Column) -> Column:
+        run = F.when(F.length(acc["run"]) + F.length(token) <= longest, F.concat(acc["run"], token))
+        words = acc["words"] + 1
+        found = F.when(F.array_contains(wanted, F.length(run)),
+                       F.array_append(acc["found"], F.struct(words.alias("words"), run.alias("run")))).otherwise(acc["found"])
+        return F.struct(words.alias("words"), run.alias("run"), found.alias("found"))
+
+    return F.aggregate(F.slice(tokens, start, longest), seed, grow)["found"]
+
+
+def _runs(df: DataFrame, keys: Sequence[str], text: str, lengths: Sequence[int]) -> DataFrame:
+    """keys, position, words, run: every run of tokens that has the length of a registered value."""
+    listed = df.select(*keys, _tokens(F.col(text)).alias("__t")).filter(F.size("__t") > 0)
+    starts = F.transform(F.sequence(F.lit(1), F.size("__t")), lambda i: F.struct(i.alias("position"), _runs_from(F.col("__t"), i, lengths).alias("runs")))
+    at = listed.select(*keys, F.inline(F.filter(starts, lambda x: F.size(x["runs"]) > 0)))
+    return at.select(*keys, "position", F.inline("runs"))
 
 
 def find_registered(df: DataFrame, keys: Sequence[str], text: str, dictionary: DataFrame, key: str) -> DataFrame:
     """One row per registered value found: keys, position, words, category, label, value_hash.
 
-    The dictionary is broadcast only up to ``BROADCAST_ROWS`` rows, which is counted first. Beyond that both sides are
-    shuffled by hash and salt, so that a word that fills a third of the text does not fall to one task.
+    Values are found under any spacing: what counts is the normalised characters, and the lengths that registered values
+    have, which are a short list of small numbers. The join is a plain one on the hash: Spark broadcasts a small dictionary
+    by its size, filters the runs by it or splits a hot run, as it finds at run time.
     """
-    shape = dictionary.agg(F.max("n_words"), F.min("n_chars"), F.max("n_chars")).first()
-    max_words, low, high = (int(x or 1) for x in shape)
-    runs = _runs(df, keys, text, max_words, low, high)
+    lengths = sorted(r[0] for r in dictionary.select("n_chars").distinct().collect() if r[0])
+    runs = _runs(df, keys, text, lengths or [1])
     hashed = runs.select(*keys, "position", "words", value_hash(F.col("run"), key).alias("value_hash"))
-    known = dictionary.select("value_hash", "category", "label", F.col("n_words").alias("__words"))
-    small = dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if small:
-        return hashed.join(F.broadcast(known), "value_hash").drop("__words")
-    salted = hashed.withColumn("__salt", F.pmod(F.xxhash64(*keys, "position"), F.lit(SALTS)))
-    spread = known.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])))
-    return salted.join(spread.hint("shuffle_hash"), ["value_hash", "__salt"]).drop("__salt", "__words")
+    return hashed.join(dictionary.select("value_hash", "category", "label"), "value_hash")
 
 
 def match_rate(dictionary: DataFrame, found: DataFrame) -> DataFrame:
@@ -95,7 +102,8 @@ def match_rate(dictionary: DataFrame, found: DataFrame) -> DataFrame:
     ).withColumn("match_pct", pct(F.col("found"), F.col("registered")))
 
 
-def _every_four(value: Column, sep: str) -> Column:
+def every_four(value: Column, sep: str) -> Column:
+    """Groups of four characters; a shorter value is followed by its first one, so that it is changed as well."""
     longer = F.array_join(F.regexp_extract_all(value, F.lit("(?s)(.{1,4})"), F.lit(1)), sep)
     return F.when(F.length(value) <= 4, F.concat(value, F.lit(sep), F.substring(value, 1, 1))).otherwise(longer)
 
@@ -105,14 +113,14 @@ PROBES = {
     "exact": lambda v: v,
     "uppercase": F.upper,
     "lowercase": F.lower,
-    "dashes": lambda v: _every_four(v, "-"),
-    "spaces": lambda v: _every_four(v, " "),
-    "dots": lambda v: _every_four(v, "."),
-    "slashes": lambda v: _every_four(v, "/"),
-    "nbsp_spaces": lambda v: _every_four(v, "\u00a0"),
+    "dashes": lambda v: every_four(v, "-"),
+    "spaces": lambda v: every_four(v, " "),
+    "dots": lambda v: every_four(v, "."),
+    "slashes": lambda v: every_four(v, "/"),
+    "nbsp_spaces": lambda v: every_four(v, "\u00a0"),
     "homoglyph_0": lambda v: F.replace(v, F.lit("0"), F.lit("\u041e")),
     "homoglyph_o": lambda v: F.replace(v, F.lit("o"), F.lit("\u043e")),
-    "zero_width": lambda v: _every_four(v, "\u200b"),
+    "zero_width": lambda v: every_four(v, "\u200b"),
 }
 
 

@@ -150,15 +150,28 @@ def edm_registration_counts(spark, sf_dir):
     return X.registration_counts(X.register_values(registered_values(spark, sf_dir), KEY))
 
 
-_TOKENS = (f"SELECT doc_id, list_transform(string_split_regex({S.translate('text', _COMPAT_FROM, _COMPAT_TO)}, '\\s+'), lambda t: "
-           + _norm("regexp_replace(t, '^[,;:!?\"''<>\\[\\]{}]+|[,;:!?\"''<>\\[\\]{}]+$', '', 'g')") + ") AS ts FROM documents")
-_FOUND = (f"SELECT doc_id, CAST(i AS INT) AS position, CAST(w AS INT) AS words, category, label, value_hash FROM (SELECT doc_id, i, w, array_to_string(ts[i:i + w - 1], '') AS run FROM "
-          f"(SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM ({_TOKENS})), (SELECT unnest(range(1, (SELECT max(n_words) FROM ({_DICT})) + 1)) AS w) WHERE i + w - 1 <= len(ts)) r "
-          f"JOIN (SELECT value_hash, category, label FROM ({_DICT})) d ON {_hash('r.run')} = d.value_hash WHERE run <> ''")
+_CLEAN = "regexp_replace(t, '^[,;:!?\"''<>\\[\\]{}]+|[,;:!?\"''<>\\[\\]{}]+$', '', 'g')"
+
+
+def _found_sql(texts: str) -> str:
+    """Tokens with the places of their characters in the text; a run is a start and an end that a length apart stand."""
+    tokens = f"list_filter(list_transform(string_split_regex({S.translate('text', _COMPAT_FROM, _COMPAT_TO)}, '\\s+'), lambda t: {_norm(_CLEAN)}), lambda t: t <> '')"
+    return (f"WITH dict AS ({_DICT}), ts AS (SELECT doc_id, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT doc_id, {tokens} AS ts FROM ({texts}))), "
+            "placed AS (SELECT doc_id, i, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(t) AS n FROM ts), "
+            "runs AS (SELECT a.doc_id, a.i, b.i AS j FROM placed a JOIN (SELECT DISTINCT n_chars AS len FROM dict) l ON TRUE JOIN placed b ON b.doc_id = a.doc_id AND b.e = a.e - a.n + l.len), "
+            "joined AS (SELECT r.doc_id, r.i, r.j, array_to_string(l.ts[r.i:r.j], '') AS run FROM runs r JOIN (SELECT doc_id, list(t ORDER BY i) AS ts FROM ts GROUP BY doc_id) l USING (doc_id)) "
+            f"SELECT doc_id, CAST(i AS INT) AS position, CAST(j - i + 1 AS INT) AS words, category, label, value_hash FROM joined JOIN dict ON {_hash('run')} = value_hash")
+
+
+_FOUND = _found_sql("SELECT doc_id, text FROM documents")
+
+
+def _dictionary(spark, sf_dir):
+    return derived.stored(spark, sf_dir, "dictionary", lambda: X.register_values(registered_values(spark, sf_dir), KEY))
 
 
 def _found(spark, sf_dir):
-    dictionary = derived.stored(spark, sf_dir, "dictionary", lambda: X.register_values(registered_values(spark, sf_dir), KEY))
+    dictionary = _dictionary(spark, sf_dir)
     return dictionary, X.find_registered(_docs(spark, sf_dir), ["doc_id"], "text", dictionary, KEY)
 
 
@@ -184,6 +197,25 @@ _PROBES = {"exact": "value", "uppercase": "upper(value)", "lowercase": "lower(va
 _PROBED = " UNION ALL ".join(f"SELECT '{n}' AS probe, {e} AS text FROM vals" for n, e in _PROBES.items())
 
 
+_TYPED = {"spaces": _four(" "), "dashes": _four("-"), "dots": _four("."), "wide": "array_to_string(string_split(value, ''), '  ')"}
+_TYPED_TEXTS = (f"SELECT row_number() OVER (ORDER BY category, value, form) AS doc_id, text FROM (" + " UNION ALL ".join(
+    f"SELECT category, value, '{form}' AS form, 'see ' || {e} || ', please' AS text FROM vals" for form, e in _TYPED.items()) + ")")
+
+
+@query("edm_find_typed", f"WITH vals AS (SELECT DISTINCT category, value FROM ({_VALUES})), found AS ({_found_sql(_TYPED_TEXTS)}) "
+       "SELECT category, position, words, count(*) AS n FROM found GROUP BY ALL")
+def edm_find_typed(spark, sf_dir):
+    """Registered values as people write them: in groups of four by spaces, dashes or dots, and letter by letter."""
+    values = registered_values(spark, sf_dir).select("category", "value").distinct()
+    value = F.col("value")
+    forms = {form: X.every_four(value, sep) for form, sep in (("spaces", " "), ("dashes", "-"), ("dots", "."))}
+    forms["wide"] = F.array_join(F.split(value, ""), "  ")
+    texts = values.select(F.inline(F.array(*[F.struct(
+        F.concat_ws("/", "category", "value", F.lit(form)).alias("doc_id"), F.concat(F.lit("see "), e, F.lit(", please")).alias("text")) for form, e in forms.items()])))
+    found = X.find_registered(texts, ["doc_id"], "text", _dictionary(spark, sf_dir), KEY)
+    return found.groupBy("category", "position", "words").agg(F.count("*").alias("n"))
+
+
 @query("edm_probe_report",
        f"WITH vals AS ({_VALUES}), known AS (SELECT DISTINCT value_hash FROM ({_DICT})) SELECT probe, tested, detected, {S.pct('detected', 'tested')} AS detected_pct, "
        f"CASE WHEN detected * 100 >= tested * 99 THEN 'yes' WHEN detected * 100 >= tested * 20 THEN 'partial' ELSE 'no' END AS absorbed FROM (SELECT probe, count(*) AS tested, "
@@ -369,3 +401,25 @@ def neardup_match_registered(spark, sf_dir):
     passages = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     found = L.similar_registered(_docs(spark, sf_dir), "doc_id", "text", passages, "item_id", "passage", T)
     return found.select("doc_id", "item_id", F.round("jaccard", 6).alias("jaccard"))
+
+
+_EVALUATED = 0.5
+
+
+@query("neardup_evaluation",
+       "WITH " + _ladder_sql(fixed.DISTORTION_RATES).split("WITH ", 1)[1].split("SELECT doc_id, step, distortion, digest, CASE WHEN n = 0")[0].rstrip().rstrip(",").replace("documents", "passages").replace(
+           "v AS (", "passages AS (SELECT item_id AS doc_id, text FROM benchmark), v AS (", 1)
+       + ", au AS (SELECT doc_id AS base, len(s) AS n, unnest(s) AS t FROM a), bu AS (SELECT doc_id, step, len(s) AS n, unnest(s) AS t FROM b), "
+       "p AS (SELECT bu.doc_id, step, base, count(*)::DOUBLE / (any_value(au.n) + any_value(bu.n) - count(*)) AS j FROM au JOIN bu USING (t) GROUP BY ALL), "
+       f"found AS (SELECT doc_id, step, base FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, step ORDER BY j DESC, base) AS rn FROM p WHERE j >= {_EVALUATED}) WHERE rn = 1), "
+       f"judged AS (SELECT coalesce(own.j, 0) >= {_EVALUATED} AS truth, found.base IS NOT NULL AND found.base = b.doc_id AS hit FROM b LEFT JOIN found ON found.doc_id = b.doc_id AND found.step = b.step "
+       "LEFT JOIN p own ON own.doc_id = b.doc_id AND own.step = b.step AND own.base = b.doc_id), "
+       "counts AS (SELECT count(*) FILTER (WHERE truth AND hit) AS tp, count(*) FILTER (WHERE truth AND NOT hit) AS fn, count(*) FILTER (WHERE NOT truth AND hit) AS fp FROM judged) "
+       "SELECT tp, fn, fp, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS recall FROM counts")
+def neardup_evaluation(spark, sf_dir):
+    """Distorted benchmark passages, looked up among all passages: how many lead back to the one that they come from."""
+    passages = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    steps = L.ladder(passages, "item_id", "text").withColumn("variant", F.col("item_id") * 100 + F.col("step"))
+    found = L.similar_registered(steps.select("variant", "variant_text"), "variant", "variant_text",
+                                 passages.select(F.col("item_id").alias("base"), F.col("text").alias("passage")), "base", "passage", _EVALUATED)
+    return L.evaluate_matches(steps.select(F.col("item_id").alias("base"), "variant", "jaccard"), found, _EVALUATED)
