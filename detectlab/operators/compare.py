@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,18 @@ def overall_delta(before: DataFrame, after: DataFrame) -> DataFrame:
         "delta", F.col("rate_b") - F.col("rate_a"))
 
 
-def _rates(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    return df.groupBy(*keys).agg(*tallies()).select(
-        *keys, F.col("total").alias(f"total_{tag}"), F.col("pass").alias(f"pass_{tag}"))
+def _sides(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Both runs in one table; grouping treats nulls as equal, where a join would not."""
+    return before.select(*columns, F.lit("a").alias("side")).unionByName(after.select(*columns, F.lit("b").alias("side")))
 
 
 def _delta(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    joined = _rates(before, keys, "a").join(_rates(after, keys, "b"), keys, "full_outer").fillna(
-        0, ["total_a", "pass_a", "total_b", "pass_b"])
-    return joined.withColumn("rate_a", ratio(F.col("pass_a"), F.col("total_a"))).withColumn(
+    """One pass over both runs; a missing side counts as zeros."""
+    of = lambda side, more=F.lit(True): F.count_if((F.col("side") == side) & more)
+    passed = F.col("severity") == "pass"
+    both = _sides(before, after, [*keys, "severity"]).groupBy(*keys).agg(
+        of("a").alias("total_a"), of("a", passed).alias("pass_a"), of("b").alias("total_b"), of("b", passed).alias("pass_b"))
+    return both.withColumn("rate_a", ratio(F.col("pass_a"), F.col("total_a"))).withColumn(
         "rate_b", ratio(F.col("pass_b"), F.col("total_b"))).withColumn("delta", F.col("rate_b") - F.col("rate_a"))
 
 
@@ -52,20 +57,26 @@ def by_technique_delta(before: DataFrame, after: DataFrame) -> DataFrame:
         "delta", "generator", "technique")
 
 
-def row_diffs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows whose severity changed (a missing side is ``absent``) or whose confidence moved by 0.01 or more.
+def _paired(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Each result key with the last row of either run, ``a`` and ``b`` (null: the run has none).
 
-    The five-part key is nearly unique, so the join spreads evenly; both sides are grouped on it already and are not
-    shuffled a second time.
+    One exchange on the key and one aggregate after it: the key is nearly unique, so an aggregate before the exchange
+    would sort every row and shrink nothing.
     """
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return index_rows(df).select(*KEY, F.col("severity").alias(f"severity_{tag}"),
-                                     F.col("confidence").alias(f"confidence_{tag}"))
+    last = lambda side: F.max_by(
+        F.struct("severity", "confidence"), F.when(F.col("side") == side, F.struct(*[c for c in ORDER]))).alias(side)
+    columns = list(dict.fromkeys([*KEY, *ORDER, "severity", "confidence"]))
+    return _sides(before, after, columns).repartition(*KEY).groupBy(*KEY).agg(last("a"), last("b"))
 
-    joined = side(before, "a").join(side(after, "b"), list(KEY), "full_outer").fillna(
-        "absent", ["severity_a", "severity_b"])
+
+def row_diffs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows whose severity changed (a missing side is ``absent``) or whose confidence moved by 0.01 or more."""
+    absent = F.lit("absent")
+    paired = _paired(before, after).select(
+        *KEY, F.coalesce("a.severity", absent).alias("severity_a"), F.col("a.confidence").alias("confidence_a"),
+        F.coalesce("b.severity", absent).alias("severity_b"), F.col("b.confidence").alias("confidence_b"))
     moved = F.round(F.col("confidence_b") - F.col("confidence_a"), 4)
-    return joined.withColumn("confidence_delta", moved).filter(
+    return paired.withColumn("confidence_delta", moved).filter(
         (F.col("severity_a") != F.col("severity_b")) | F.coalesce(F.abs("confidence_delta") >= 0.01, F.lit(False)))
 
 
@@ -80,4 +91,5 @@ def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def only_in(before: DataFrame, after: DataFrame) -> DataFrame:
     """Result keys that the second run no longer has."""
-    return index_rows(before).join(index_rows(after).select(*KEY), list(KEY), "left_anti")
+    return _paired(before, after).filter("a IS NOT NULL AND b IS NULL").select(
+        *KEY, F.col("a.severity").alias("severity"), F.col("a.confidence").alias("confidence"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from detectlab.session import materialise
+
 
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0.0 for an empty whole."""
@@ -28,58 +31,61 @@ def banded(value: Column, bands: Sequence[tuple[float, str]], rest: str) -> Colu
     return out
 
 
-def range_bucket(df: DataFrame, order: str, buckets: int) -> Column:
-    """A bucket that grows with a numeric ``order`` column, cut so that buckets hold about equally many rows."""
-    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
-    if not cuts:
-        return F.lit(0)
-    literal = F.array(*[F.lit(float(c)) for c in cuts])
-    # A fixed, small array: the bucket is the number of cuts at or below the value.
-    return F.size(F.filter(literal, lambda c: c <= F.col(order).cast("double")))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on keys that may be null. The keys are those of the left side."""
+    named = right.select(*[F.col(k).alias(f"__right_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(named, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """The rows with ``__slice``, which grows with keys and order; each slice is one range partition.
+
+    Ranges hold about equally many rows, so a hot key is cut into as many slices as its share asks for. The table is
+    written, since the numbers of slices must not change between the two reads of it.
+    """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in [*keys, *order]])
+    return materialise(ranged.withColumn("__slice", F.spark_partition_id()), "slices")
 
 
 def number_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n", buckets: int = 64
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n", buckets: int | None = None
 ) -> DataFrame:
-    """1-based number within each key group in ``order``, without bringing a group into one task.
+    """1-based number within each key group in ``order``, without bringing a group into one task. No keys: one group.
 
-    The first order column, a number, cuts every group into ordered slices. Slices are numbered separately and moved up
-    by the row counts of the slices before them, which come from a table of (group, slice) counts.
+    Slices are numbered separately and moved up by the row counts of the slices before them, which come from a table of
+    (group, slice) counts. Null keys are a group of their own.
     """
-    sliced = df.withColumn("__slice", range_bucket(df, order[0], buckets))
-    group = [F.col(k) for k in keys]
-    before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = ordered_slices(df, keys, order, buckets)
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "__slice").agg(F.count("*").alias("__rows"))
         .select(*keys, "__slice", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     )
-    inside = Window.partitionBy(*group, "__slice").orderBy(*order)
-    return (
-        sliced.withColumn("__at", F.row_number().over(inside))
-        .join(offsets, [*keys, "__slice"])
-        .withColumn(name, F.col("__at") + F.col("__before"))
-        .drop("__slice", "__at", "__before")
-    )
+    inside = Window.partitionBy(*keys, "__slice").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    numbered = null_safe_join(sliced.withColumn("__at", F.row_number().over(inside)), offsets, [*keys, "__slice"])
+    return numbered.withColumn(name, F.col("__at") + F.col("__before")).drop("__slice", "__at", "__before")
 
 
 def previous_in_group(
-    df: DataFrame, key: str, order: str, value: str, name: str = "previous", buckets: int = 64
+    df: DataFrame, key: str, order: str, value: str, name: str = "previous", buckets: int | None = None
 ) -> DataFrame:
-    """``value`` of the row before, per key in ``order`` (a number), without bringing a key into one task.
+    """``value`` of the row before, per key in ``order``, without bringing a key into one task.
 
     Within an ordered slice this is ``lag``; a slice's first row takes the last value of the nearest slice before it.
     """
-    sliced = df.withColumn("__slice", range_bucket(df, order, buckets))
-    inside = Window.partitionBy(key, "__slice").orderBy(order)
+    sliced = ordered_slices(df, [key], [order], buckets)
+    inside = Window.partitionBy(key, "__slice").orderBy(F.col(order).asc_nulls_first())
     earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     handed = (
-        sliced.groupBy(key, "__slice").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("__last"))
+        sliced.groupBy(key, "__slice").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(order)).alias("__last"))
         .select(key, "__slice", F.last("__last", ignorenulls=True).over(earlier).alias("__handed"))
     )
     first = F.row_number().over(inside) == 1
+    lagged = sliced.withColumn("__lag", F.lag(value).over(inside)).withColumn("__first", first)
     return (
-        sliced.withColumn("__lag", F.lag(value).over(inside)).withColumn("__first", first)
-        .join(handed, [key, "__slice"])
+        null_safe_join(lagged, handed, [key, "__slice"])
         .withColumn(name, F.when(F.col("__first"), F.col("__handed")["v"]).otherwise(F.col("__lag")))
         .drop("__slice", "__lag", "__first", "__handed")
     )

@@ -9,12 +9,13 @@ and ``bypass_rate_all`` count errors, ``evasion_rate_tested`` does not. ``*_pct`
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from detectlab.operators.catalogue import BUCKETS
-from detectlab.operators.rates import banded, number_in_group, pct, ratio
+from detectlab.operators.rates import banded, null_safe_join, number_in_group, pct, ratio
 
 MIN_SAMPLES = 3
 
@@ -54,27 +55,37 @@ def top_bypass(results: DataFrame, n: int = 5) -> DataFrame:
     return by_generator(results).orderBy(F.desc("bypass_rate_all"), "generator").limit(n)
 
 
-def _first_value(severity: str, width: int) -> Column:
-    """First variant of that outcome. The struct keeps one candidate per group and task."""
-    return F.substring(F.min(F.when(F.col("severity") == severity, F.struct(
-        *[F.col(c) for c in ORDER], F.col("variant"))))["variant"], 1, width)
+def _with_first(rows: DataFrame, keys: list[str], aggregates: list[Column], firsts: dict[str, str]) -> DataFrame:
+    """Aggregates by key, and for each name in ``firsts`` the first variant with that severity.
+
+    The first pass keeps numbers alone, so it is a hash aggregate that shrinks to a row per key and task; the payload ids
+    that it finds pick the few rows among which the first variant is, by the whole order.
+    """
+    least = [F.min(F.when(F.col("severity") == sev, F.col("payload_id"))).alias(f"__id_{name}") for name, sev in firsts.items()]
+    counted = rows.groupBy(*keys).agg(*aggregates, *least)
+    picked = null_safe_join(rows, counted.select(*keys, *[f"__id_{n}" for n in firsts]), keys)
+    of = {n: (F.col("severity") == sev) & (F.col("payload_id") == F.col(f"__id_{n}")) for n, sev in firsts.items()}
+    place = F.struct(*[F.col(c) for c in ORDER], F.col("variant"))
+    found = picked.filter(reduce(lambda x, y: x | y, of.values())).groupBy(*keys).agg(
+        *[F.min(F.when(test, place)).alias(n) for n, test in of.items()])
+    return null_safe_join(counted, found, keys, "left").drop(*[f"__id_{n}" for n in firsts])
 
 
 def by_technique(results: DataFrame, merged: bool = False) -> DataFrame:
     """Per technique and family; ``merged`` joins techniques that two families share."""
-    keys = [technique_name().alias("technique_name")] + ([] if merged else [F.col("generator")])
-    return results.groupBy(*keys).agg(
-        *tallies(), _first_value("fail", 200).alias("example_evaded"), _first_value("pass", 200).alias("example_detected")
-    ).withColumn("evasion_rate_tested", ratio(F.col("fail"), _tested())).withColumn(
+    named = results.withColumn("technique_name", technique_name())
+    keys = ["technique_name"] if merged else ["technique_name", "generator"]
+    example = lambda name: F.substring(F.col(f"{name}.variant"), 1, 200)
+    return _with_first(named, keys, tallies(), {"__evaded": "fail", "__caught": "pass"}).withColumn(
+        "example_evaded", example("__evaded")).withColumn("example_detected", example("__caught")).drop(
+        "__evaded", "__caught").withColumn("evasion_rate_tested", ratio(F.col("fail"), _tested())).withColumn(
         "evasion_pct", pct(F.col("fail"), _tested()))
 
 
 def _pairs(results: DataFrame) -> DataFrame:
-    tested = results.filter(F.col("severity") != "error")
-    return tested.groupBy("category", technique_name().alias("technique_name")).agg(
-        F.count("*").alias("samples"), F.count_if(F.col("severity") == "fail").alias("fail"),
-        F.min(F.when(F.col("severity") == "fail", F.struct(*[F.col(c) for c in ORDER], F.col("variant")))).alias("first"),
-    )
+    tested = results.filter(F.col("severity") != "error").withColumn("technique_name", technique_name())
+    counts = [F.count("*").alias("samples"), F.count_if(F.col("severity") == "fail").alias("fail")]
+    return _with_first(tested, ["category", "technique_name"], counts, {"first": "fail"})
 
 
 def best_and_worst(results: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from detectlab.operators.detect import severity
 from detectlab.operators.history import scan_label
+from detectlab.operators.rates import number_in_group
 from detectlab.operators.scoring import tallies
 
 PAYLOAD = "struct<value:string,category:string,category_type:string,label:string>"
@@ -50,14 +51,24 @@ def read_scans(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run log lines; blank and broken lines are skipped. ``run_seq`` follows file and line order."""
-    lines = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
-    parsed = lines.select("__at", F.from_json("value", RUN_SCHEMA, {"mode": "PERMISSIVE"}).alias("r"),
-                          F.try_parse_json("value").isNotNull().alias("ok"))
-    return parsed.filter(F.col("ok") & F.col("r").isNotNull() & (F.size(F.array_compact(F.array(
+    """Run log lines; blank and broken lines are skipped.
+
+    ``run_seq`` counts the runs in append order: by their ``run_seq`` as written by ``append_runs``, where they have one,
+    then by timestamp, by when the file was written, by its name, and by the place in the file. Spark reads large files
+    first, so the order in which it hands out lines says nothing.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_modification_time").alias("__written"), F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
+    places = ["__written", "__file", "__block", "__line"]
+    parsed = lines.select(*places, F.from_json("value", RUN_SCHEMA, {"mode": "PERMISSIVE"}).alias("r"),
+                          F.try_parse_json("value").isNotNull().alias("ok"),
+                          F.get_json_object("value", "$.append_seq").cast("long").alias("__append"))
+    kept = parsed.filter(F.col("ok") & F.col("r").isNotNull() & (F.size(F.array_compact(F.array(
         "r.timestamp", "r.type", "r.tool"))) > 0)).select(
-        F.col("__at").alias("run_seq"), F.try_to_timestamp("r.timestamp").alias("ts"), F.col("r.timestamp").alias("ts_raw"),
-        "r.*").drop("timestamp")
+        *places, "__append", F.try_to_timestamp("r.timestamp").alias("ts"), F.col("r.timestamp").alias("ts_raw"), "r.*").drop("timestamp")
+    numbered = number_in_group(kept, [], ["__append", "ts", *places], "run_seq")
+    return numbered.select("run_seq", *[c for c in kept.columns if c not in (*places, "__append")])
 
 
 def read_false_positives(spark: SparkSession, path: str) -> DataFrame:
@@ -105,7 +116,8 @@ def run_rows(results: DataFrame, kind: str = "scan") -> DataFrame:
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").json(path)
+    """Appends runs to the log; ``append_seq`` (microseconds of the append) keeps the order of appends."""
+    runs.withColumn("append_seq", F.unix_micros(F.current_timestamp())).write.mode("append").json(path)
 
 
 def backfill(spark: SparkSession, pattern: str) -> DataFrame:
