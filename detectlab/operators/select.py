@@ -19,13 +19,11 @@ def filter_categories(df: DataFrame, categories: Sequence[str] | None = None, he
     return out if categories is None else out.filter(F.col("category").isin(*categories))
 
 
-def filter_tier(df: DataFrame, tier: str) -> DataFrame:
-    if tier not in K.TIERS:
-        raise ValueError(f"unknown tier {tier!r}; one of {', '.join(K.TIERS)}")
-    if tier == "full":
-        return df
-    members = K.dim_tier(df.sparkSession).filter(F.col("tier") == tier)
-    return df.join(F.broadcast(members), "category", "left_semi")
+def filter_tier(df: DataFrame, tier: str, members: DataFrame | None = None) -> DataFrame:
+    """Rows whose category the tier holds. ``members`` (tier, category) is a user's own table and replaces the tiers in it."""
+    if members is None:
+        return df.filter(K.in_tier(tier, F.col("category")))
+    return df.join(members.filter(F.col("tier") == tier).select("category").distinct(), "category", "left_semi")
 
 
 def cross_strategies(df: DataFrame, strategies: Sequence[str] = ("text", "docx", "pdf", "xlsx")) -> DataFrame:
@@ -46,10 +44,11 @@ def expand_buckets(wanted: DataFrame) -> DataFrame:
         "first").select("category", F.col("first.at").alias("at"), F.col("first.ord").alias("ord"))
 
 
-def with_group(df: DataFrame) -> DataFrame:
+def with_group(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Catalogue group: named, else by country prefix (health identifiers to healthcare), else by word, else Other.
 
-    A prefix is everything up to the first underscore, so the prefix lookup is an equi-join.
+    A prefix is everything up to the first underscore, so the prefix lookup is an equi-join. ``groups`` (category,
+    catalog_group), a user's own table with a row a category, wins over all of these.
     """
     spark = df.sparkSession
     cat = F.col("category")
@@ -66,9 +65,13 @@ def with_group(df: DataFrame) -> DataFrame:
         by_word = F.when(hit, group).otherwise(by_word)
     joined = df.join(named, "category", "left").withColumn(
         "prefix", F.concat(F.substring_index(cat, "_", 1), F.lit("_"))).join(regional, "prefix", "left")
+    own = F.lit(None).cast("string")
+    if groups is not None:
+        joined = joined.join(groups.select("category", F.col("catalog_group").alias("__own")), "category", "left")
+        own = F.col("__own")
     return joined.withColumn("catalog_group", F.coalesce(
-        F.col("__named"), F.when(F.col("__regional").isNotNull() & health, "Healthcare"), F.col("__regional"), by_word,
-    )).drop("__named", "__regional", "prefix")
+        own, F.col("__named"), F.when(F.col("__regional").isNotNull() & health, "Healthcare"), F.col("__regional"), by_word,
+    )).drop("__own", "__named", "__regional", "prefix")
 
 
 def value_format(value: Column) -> Column:
