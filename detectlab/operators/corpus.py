@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,11 +14,13 @@ from detectlab.functions.synth import SYNTHS, corpus_card, synth
 from detectlab.functions.text import alnum, let
 from detectlab.operators import variants as X
 from detectlab.operators.history import NEUTRAL
-from detectlab.operators.rates import pct
+from detectlab.operators.rates import null_safe_join, number_in_group, pct
 
 EVASION_MODES = ("random", "weighted", "adversarial", "exhaustive")
 WEIGHT_FLOOR = 0.05
-SEED_ROWS = 100_000
+CHUNK_ROWS = 1 << 16
+# The families that ``emits`` has a rule for: those of the library itself.
+WHOLE_FAMILIES = frozenset(X.FAMILIES)
 
 # Sentences that give a value its context, per category and language.
 SENTENCES = {
@@ -61,34 +64,52 @@ def allocate(categories: DataFrame, count: int = 100, per_category: dict[str, in
 
 
 def entries_for(allocation: DataFrame) -> DataFrame:
-    """One row per entry: category, idx, n, entry_id. Spread evenly before the expensive columns."""
-    rows = allocation.filter(F.col("n") > 0).withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return rows.repartition("category", "idx").withColumn("entry_id", F.xxhash64("category", "idx"))
+    """One row per entry: category, idx, n, entry_id. Ids are dense: those of a category follow those of the one before.
+
+    A category is cut into chunks of ``CHUNK_ROWS``, the few chunk rows are dealt out, and each makes its own entries, so a
+    large category uses all tasks and the entries themselves are not shuffled.
+    """
+    earlier = Window.orderBy("category").rowsBetween(Window.unboundedPreceding, -1)  # one row a category
+    placed = allocation.filter(F.col("n") > 0).withColumn("__first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1, F.lit(CHUNK_ROWS).cast("long"))
+    chunks = placed.withColumn("__chunk", F.explode(starts)).repartition("category", "__chunk")
+    ends = F.least(F.col("__chunk") + CHUNK_ROWS, F.col("n").cast("long")) - 1
+    return chunks.withColumn("idx", F.explode(F.sequence("__chunk", ends))).select(
+        "category", "idx", "n", (F.col("__first") + F.col("idx")).alias("entry_id"))
 
 
 def plain_values(entries: DataFrame, seeds: DataFrame, seed: int, categories: Sequence[str]) -> DataFrame:
     """Adds plain_value: synthetic where a rule exists and more entries than seeds are wanted, else seeds in turn.
 
-    ``entries`` has category, idx, n and entry_id; ``seeds`` is a catalogue with category and value. It is broadcast,
-    so its size is counted first and a table beyond ``SEED_ROWS`` is refused. Cards are always synthetic.
+    ``entries`` has category, idx, n and entry_id; ``seeds`` is a catalogue with category and value, of any size. Seeds are
+    numbered within their category, and an entry is joined with the one whose turn it is. Cards are always synthetic.
     """
-    if seeds.limit(SEED_ROWS + 1).count() > SEED_ROWS:
-        raise ValueError(f"the seed catalogue has more than {SEED_ROWS} rows")
-    pools = seeds.groupBy("category").agg(F.sort_array(F.collect_list("value")).alias("pool"))
-    joined = entries.join(F.broadcast(pools), "category", "left")
+    turns = number_in_group(seeds.select("category", "value"), ["category"], ["value"], "__turn")
+    sizes = turns.groupBy("category").agg(F.count("*").alias("__size"))
+    turns = turns.select("category", (F.col("__turn") - 1).alias("__turn"), F.col("value").alias("__seed"))
+    sized = null_safe_join(entries, sizes, ["category"], "left").withColumn("__turn", F.pmod(F.col("idx").cast("long"), F.col("__size")))
+    joined = null_safe_join(sized, turns, ["category", "__turn"], "left")
     drawn = F.lit(None).cast("string")
     for name in categories:
         build = corpus_card if name == "credit_card" else SYNTHS.get(name)
         if build is not None:
             drawn = F.when(F.col("category") == name, build(seed, F.col("entry_id"))).otherwise(drawn)
-    size = F.coalesce(F.size("pool"), F.lit(0))
-    turn = F.try_element_at("pool", F.when(size > 0, (F.col("idx") % size + 1).cast("int")).otherwise(1))
-    wanted = (F.col("category") == "credit_card") | (F.col("n") > size)
-    return joined.withColumn("plain_value", F.when(wanted, F.coalesce(drawn, turn)).otherwise(turn)).drop("pool")
+    turn = F.col("__seed")
+    wanted = (F.col("category") == "credit_card") | (F.col("n") > F.coalesce("__size", F.lit(0)))
+    return joined.withColumn("plain_value", F.when(wanted, F.coalesce(drawn, turn)).otherwise(turn)).drop(
+        "__size", "__turn", "__seed")
 
 
-def emits(generator: str, value: Column) -> Column:
-    """Whether a family gives at least one variant of the value."""
+def emits(generator: str, value: Column, techniques: Sequence[str] | None = None) -> Column:
+    """Whether a family gives at least one variant of the value, by the techniques that are allowed.
+
+    For a whole family of the library this is a short rule. Families with a part of their techniques, and families added by
+    ``register_transform``, are asked technique by technique.
+    """
+    if techniques is not None or generator not in WHOLE_FAMILIES:
+        parts = X.Parts.direct(value)
+        given = [_if_kept(t, value)(t.build(parts)).isNotNull() for t in X.FAMILIES[generator] if techniques is None or t.name in techniques]
+        return reduce(lambda x, y: x | y, given, F.lit(False))
     raw = alnum(value)
     if generator in ("regional_digits", "morse_code"):
         return value.rlike("[0-9]")
@@ -118,11 +139,11 @@ def family_weights(mode: str, expected: dict[str, float] | None, families: Seque
 
 
 def choose_family(value: Column, category: Column, u: Column, weights: dict[str, float], mode: str,
-                  applicable: dict[str, Sequence[str]] | None = None) -> Column:
+                  applicable: dict[str, Sequence[str]] | None = None, techniques: Sequence[str] | None = None) -> Column:
     """A family among those that apply and give a variant, by weight; the first by name in exhaustive mode."""
     names = sorted(weights)
     options = F.array_compact(F.array(*[
-        F.when(X.applies(g, category, applicable) & emits(g, value),
+        F.when(X.applies(g, category, applicable) & emits(g, value, techniques),
                F.struct(F.lit(g).alias("g"), F.lit(float(weights[g])).alias("w"))) for g in names]))
     if mode == "exhaustive":
         return F.get(options, F.lit(0))["g"]
@@ -157,7 +178,7 @@ def build_corpus(
         rate = F.when(cat == name, float(own)).otherwise(rate)
     keys = entries.columns
     chosen = entries.withColumn("__do", D.uniform(seed, "evade", eid) < rate).withColumn(
-        "__family", F.when(F.col("__do"), choose_family(plain, cat, D.uniform(seed, "family", eid), weights, mode)))
+        "__family", F.when(F.col("__do"), choose_family(plain, cat, D.uniform(seed, "family", eid), weights, mode, techniques=techniques)))
     base = X.project_parts_of_family(chosen, "plain_value", "__family", list(weights))
     parts = X.Parts(plain)
     options = F.lit(None)

@@ -47,6 +47,15 @@ class Parts:
         for name in self.shared:
             setattr(self, name, F.col(f"__{name}"))
 
+    @classmethod
+    def direct(cls, value: Column) -> Parts:
+        """Parts as expressions of the value, for use without a projection."""
+        parts = cls.__new__(cls)
+        parts.v = value
+        for name, build in cls.shared.items():
+            setattr(parts, name, build(value))
+        return parts
+
     @classmethod
     def project(cls, df: DataFrame, value: str, used: Iterable[str]) -> DataFrame:
         return df.select("*", *[cls.shared[name](F.col(value)).alias(f"__{name}") for name in used])
@@ -150,11 +159,21 @@ _USES["delimiter"] = ("raw", "groups")
 
 
 def _json_text(value: Column) -> Column:
-    """A JSON string literal; ASCII payloads, so only the quote, the backslash and line breaks need an escape."""
-    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    """A JSON string literal in ASCII: other characters as ``\\u`` escapes of their UTF-16 units."""
+    short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def unit(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return F.regexp_replace(units, "(.{4})", r"\\u$1")
+
+    def escaped(c: Column) -> Column:
+        out = F.when(c.rlike(r"[^\x20-\x7E]"), unit(c)).otherwise(c)
+        for raw, text in short.items():
+            out = F.when(c == raw, text).otherwise(out)
+        return out
+
+    plain = ~value.rlike(r'[^\x20-\x7E]|["\\]')
+    return F.concat(F.lit('"'), F.when(plain, value).otherwise(F.array_join(F.transform(chars(value), escaped), "")), F.lit('"'))
 
 
 def _xml_text(value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from detectlab.functions import fixed
@@ -18,7 +19,7 @@ from detectlab.plans import sqlref as S
 from detectlab.plans.registry import query
 from detectlab.plans.value_queries import synth_sql
 from detectlab.sources import readers, sinks
-from detectlab.session import read_table, shared_dir, spread
+from detectlab.session import materialise, read_table, shared_dir, spread
 
 SEED = 42
 
@@ -85,6 +86,23 @@ _GROUP += " " + " ".join(
     f"WHEN split_part(category, '_', 1) IN {S.in_list(ps)} AND contains(category, '_') THEN CASE WHEN {_HEALTH} THEN 'Healthcare' ELSE '{g}' END" for g, ps in K.REGION_PREFIXES.items())
 _GROUP += " " + " ".join("WHEN " + " OR ".join(f"contains(category, '{w}')" for w in ws) + f" THEN '{g}'" for g, ws in K.KEYWORD_GROUPS) + " ELSE 'Other' END"
 _NAMES = tuple(c for c in fixed.FORMAT_SPECS) + ("credit_card", "uae_eid", "us_npi", "x_secret", "drug_code", "wallet_id", "misc")
+# Expected members, written out: a table that is cut short must show.
+_TIER_NAMES = ("credit_card", "ssn", "email", "uk_nin", "us_zip4", "de_tax_id", "fr_passport", "jp_passport", "br_cep", "zw_id", "mx_rfc", "bitcoin", "lei_num", "reg_sar", "au_dl", "eg_nid")
+_IN_TIER = {"core": ("credit_card", "ssn", "email", "uk_nin", "us_zip4", "de_tax_id", "fr_passport", "lei_num", "reg_sar", "au_dl"),
+            "regional": ("credit_card", "ssn", "email", "uk_nin", "us_zip4", "de_tax_id", "fr_passport", "jp_passport", "mx_rfc", "lei_num", "reg_sar", "au_dl")}
+
+
+def _tier(name):
+    def run(spark, sf_dir):
+        names = F.array(*[F.lit(x) for x in _TIER_NAMES])
+        events = read_table(spark, sf_dir, "events").select("event_id", F.element_at(names, (F.col("event_id") % len(_TIER_NAMES) + 1).cast("int")).alias("category"))
+        return Q.filter_tier(events, name)
+
+    return run
+
+
+for _t, _members in _IN_TIER.items():
+    query(f"select_tier_{_t}", f"SELECT * FROM (SELECT event_id, ({S.array(_TIER_NAMES)})[CAST(event_id % {len(_TIER_NAMES)} AS INT) + 1] AS category FROM events) WHERE category IN {S.in_list(_members)}")(_tier(_t))
 
 
 @query("classify_group", f"SELECT event_id, category, {_GROUP} AS catalog_group FROM (SELECT event_id, ({S.array(_NAMES)})[CAST(event_id % {len(_NAMES)} AS INT) + 1] AS category FROM events)")
@@ -168,20 +186,22 @@ def corpus(spark, sf_dir, **options):
     return G.build_corpus(entries(spark, sf_dir), seed=SEED, **options)
 
 
-def corpus_sql(families, weights: dict[str, float], evasion_rate: float = 0.5, keyword_rate: float = 0.5, exhaustive: bool = False, language: str = "en") -> str:
+def corpus_sql(families, weights: dict[str, float], evasion_rate: float = 0.5, keyword_rate: float = 0.5, exhaustive: bool = False, language: str = "en", techniques=None) -> str:
     """The corpus in SQL: draw, family by cumulative weight, technique by place among the emitted, sentence."""
     names = sorted(families)
     emits = {"regional_digits": "regexp_matches(value, '[0-9]')", "morse_code": "regexp_matches(value, '[0-9]')",
              "leetspeak": "regexp_matches(value, '(?i)[aeiostlgbzqrkxhwmnucdfjpvy]')", "unicode_whitespace": "(raw <> value OR length(raw) > 4)"}
     ok = {g: "(" + (f"category IN {S.in_list(K.APPLICABLE[g])}" if g in K.APPLICABLE else "TRUE") + " AND " + emits.get(g, "TRUE") + ")" for g in names}
+    listed = {g: "list_filter([" + ", ".join(
+        f"CASE WHEN {keep.replace('variant', f'({e})')} THEN {{'t': '{t}', 'v': {e}}} END" for t, e, keep in S.VARIANTS[g] if techniques is None or t in techniques)
+        + "], lambda x: x IS NOT NULL AND x.v IS NOT NULL)" for g in names if techniques is None or any(t in techniques for t, _, _ in S.VARIANTS[g])}
+    if techniques is not None:  # a family counts if an allowed technique gives a variant
+        ok = {g: f"({ok[g]} AND len({listed[g]}) > 0)" if g in listed else "FALSE" for g in names}
     upto = {g: "(" + " + ".join(f"CASE WHEN {ok[h]} THEN {float(weights[h])}::DOUBLE ELSE 0 END" for h in names[:i + 1]) + ")" for i, g in enumerate(names)}
     u = S.uniform(SEED, "family", "entry_id")
     test = (lambda g: ok[g]) if exhaustive else (lambda g: f"{ok[g]} AND {u} * {upto[names[-1]]} < {upto[g]}")
     family = "CASE " + " ".join(f"WHEN {test(g)} THEN '{g}'" for g in names) + " END"
-    options = "CASE family " + " ".join(
-        f"WHEN '{g}' THEN list_filter([" + ", ".join(
-            f"CASE WHEN {keep.replace('variant', f'({e})')} THEN {{'t': '{t}', 'v': {e}}} END" for t, e, keep in S.VARIANTS[g]) + "], lambda x: x IS NOT NULL AND x.v IS NOT NULL)"
-        for g in names) + " END"
+    options = "CASE family " + " ".join(f"WHEN '{g}' THEN {o}" for g, o in listed.items()) + " END"
     pick = f"options[CAST(floor({S.uniform(SEED, 'technique', 'entry_id')} * len(options)) AS INT) + 1]"
     us = S.uniform(SEED, "sentence", "entry_id")
     texts = G.SENTENCES[language]
@@ -237,13 +257,50 @@ def corpus_technique_mix(spark, sf_dir):
     return corpus(spark, sf_dir, families=PICK, mix=_MIX, language="fr-CA")
 
 
-@query("corpus_all_families")
+_ALLOWED = ("uppercase", "hyphen_delimiter", "leet_minimal")
+
+
+@query("corpus_allow_list", corpus_sql(PICK, {g: 1.0 for g in PICK}, 1.0, 0.3, techniques=_ALLOWED))
+def corpus_allow_list(spark, sf_dir):
+    """Three techniques allowed, every entry to be varied: those stay plain that no allowed technique changes."""
+    return corpus(spark, sf_dir, families=PICK, techniques=_ALLOWED, evasion_rate=1.0, keyword_rate=0.3)
+
+
+def _family_counts_sql(families) -> str:
+    """Categories and families: the family drawn first, then one branch per family that asks for its emitted variants."""
+    names = sorted(families)
+    digit, letter = "regexp_matches(value, '[0-9]')", "regexp_matches(value, '(?i)[aeiostlgbzqrkxhwmnucdfjpvy]')"
+    longest = "list_max(list_transform(string_split_regex(value, '[ \\t\\n,;''\"()\\[\\]{}=:]'), lambda t: length(t)))"
+    emits = {"regional_digits": digit, "morse_code": digit, "leetspeak": letter, "unicode_whitespace": "(raw <> value OR length(raw) > 4)", "entropy_evasion": f"{longest} >= 4"}
+    ok = {g: f"({f'category IN {S.in_list(K.APPLICABLE[g])}' if g in K.APPLICABLE else 'TRUE'} AND {emits.get(g, 'TRUE')})" for g in names}
+    listed = ", ".join(f"CASE WHEN {ok[g]} THEN '{g}' END" for g in names)
+    kept = {g: ", ".join(f"CASE WHEN {keep.replace('variant', f'({e})')} THEN {e} END" for _, e, keep in S.VARIANTS[g]) for g in names}
+    branches = " UNION ALL ".join(
+        f"SELECT category, CASE WHEN len(list_filter([{kept[g]}], lambda x: x IS NOT NULL)) > 0 THEN '{g}' END AS generator FROM f WHERE family = '{g}'"
+        for g in names)
+    return (f"WITH o AS (SELECT *, list_filter([{listed}], lambda x: x IS NOT NULL) AS options FROM (SELECT entry_id, category, plain_value AS value, regexp_replace(plain_value, '[^A-Za-z0-9]', '', 'g') AS raw FROM ({ENTRIES}))), "
+            f"f AS MATERIALIZED (SELECT *, CASE WHEN {S.uniform(SEED, 'evade', 'entry_id')} < 0.5 THEN options[CAST(floor({S.uniform(SEED, 'family', 'entry_id')} * len(options)) AS INT) + 1] END AS family FROM o) "
+            f"SELECT category, generator, count(*) AS n FROM ({branches} UNION ALL SELECT category, NULL AS generator FROM f WHERE family IS NULL) GROUP BY ALL")
+
+
+@query("corpus_all_families", _family_counts_sql(FAMILIES))
 def corpus_all_families(spark, sf_dir):
-    """Every family; no SQL, since the list of all techniques per row is too slow there."""
+    """Every family, with equal weights."""
     return corpus(spark, sf_dir).groupBy("category", "generator").agg(F.count("*").alias("n"))
 
 
-@query("corpus_random_mode")
+def _mode_sql() -> str:
+    """Categories, rates and number of categories drawn by the same hashes, as one-row expressions."""
+    keyed = ", ".join(f"({S.hashed(SEED, f'mode.categories.{i}', '0')}, '{c}')" for i, c in enumerate(sorted(CORPUS_CATEGORIES)))
+    n = S.between(SEED, "mode.n", "0", 2, min(5, len(CORPUS_CATEGORIES)))
+    chosen = f"SELECT c FROM (SELECT c, row_number() OVER (ORDER BY k, c) AS rn FROM (VALUES {keyed}) t(k, c)) WHERE rn <= {n}"
+    rate = lambda salt: f"(0.2::DOUBLE + 0.6::DOUBLE * {S.uniform(SEED, salt, '0')})"
+    rows = corpus_sql(PICK, {g: 1.0 for g in PICK}, rate("mode.evasion"), rate("mode.keyword"))
+    return (f"SELECT coalesce(category, 'ALL') AS category, count(*) AS entries, count(technique) AS variants, count(*) FILTER (WHERE has_keywords) AS with_keywords, "
+            f"{S.pct('count(technique)', 'count(*)')} AS variant_pct FROM ({rows}) WHERE category IN ({chosen}) GROUP BY ROLLUP (category)")
+
+
+@query("corpus_random_mode", _mode_sql())
 def corpus_random_mode(spark, sf_dir):
     """Categories and rates drawn from the seed."""
     drawn = G.random_parameters(spark, SEED, CORPUS_CATEGORIES)
@@ -453,6 +510,20 @@ def source_run_log(spark, sf_dir):
     return back.groupBy("type", "scanner_label").agg(F.count("*").alias("runs"), F.sum("total").alias("total"), F.sum("pass").alias("pass"), F.max("ts").alias("last_ts"))
 
 
+@query("source_run_order", f"SELECT row_number() OVER (ORDER BY day) AS run_seq, total, pass FROM (SELECT CAST(ts AS DATE) AS day, CAST(sum(total) AS BIGINT) AS total, CAST(sum(pass) AS BIGINT) AS pass FROM ({RUNS}) GROUP BY 1)")
+def source_run_order(spark, sf_dir):
+    """Runs appended one day first and all later days in a larger file after it: numbered in append order."""
+    path = _path(spark, "ordered-runs")
+    days = derived.run_log(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.sum("total").alias("total"), F.sum("pass").alias("pass"))
+    day = F.first_value("day").over(Window.orderBy("day"))  # one row a day of the log
+    marked = materialise(days.withColumn("first", F.col("day") == day), "days")
+    for first in (True, False):
+        runs = marked.filter(F.col("first") == first).select(
+            F.lit("scan").alias("type"), F.date_format("day", "yyyy-MM-dd'T'00:00:00XXX").alias("timestamp"), "total", "pass")
+        readers.append_runs(runs.coalesce(1), path)
+    return readers.read_runs(spark, path).select("run_seq", "total", "pass")
+
+
 # --- history ----------------------------------------------------------------------------------------------------------
 
 def _runs(spark, sf_dir):

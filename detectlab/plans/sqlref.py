@@ -36,6 +36,10 @@ def key(seed: int, salt: str, row_id: str) -> str:
     return f"('{seed}|{salt}|' || CAST({row_id} AS VARCHAR))"
 
 
+def hashed(seed: int, salt: str, row_id: str) -> str:
+    return f"md5({key(seed, salt, row_id)})"
+
+
 def hex_int(expr: str, start: int, size: int) -> str:
     return f"CAST('0x' || substr({expr}, {start}, {size}) AS BIGINT)"
 
