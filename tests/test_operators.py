@@ -157,20 +157,115 @@ def test_corpus_modes(spark):
         G.family_weights("nothing", None, ["a"])
 
 
+def test_numbering_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(None, 2), (None, 1), ("a", 5), ("a", None)], "k string, o long")
+    got = {(r.k, r.o): r.n for r in R.number_in_group(rows, ["k"], ["o"], "n").collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("a", None): 1, ("a", 5): 2}
+    before = {(r.k, r.o): r.p for r in R.previous_in_group(rows, "k", "o", "o", "p").collect()}
+    assert before == {(None, 1): None, (None, 2): 1, ("a", None): None, ("a", 5): None}
+
+
+def test_a_run_equals_itself(spark):
+    from detectlab.operators import compare as P
+
+    row = "payload_value string, category string, generator string, technique string, strategy string, payload_id long, ordinal int, severity string, confidence double"
+    a = spark.createDataFrame([("v", "c", "g", None, "text", 1, 0, "pass", 0.9), ("v", None, "g", "t", "text", 1, 1, "fail", None)], row)
+    b = spark.createDataFrame([("v", "c", "g", None, "text", 1, 0, "fail", 0.9)], row)
+    assert P.row_diffs(a, a).count() == P.by_technique_delta(a, a).count() == P.only_in(a, a).count() == 0
+    assert {(r.technique, r.severity_a, r.severity_b) for r in P.row_diffs(a, b).collect()} == {(None, "pass", "fail"), ("t", "fail", "absent")}
+    assert [r.technique for r in P.only_in(a, b).collect()] == ["t"]
+    assert {r.technique for r in P.by_technique_delta(a, b).collect()} == {None}
+
+
+def test_row_comparison_is_one_exchange(spark, sf):
+    from detectlab.operators.compare import row_diffs
+    from detectlab.plans.derived import outcomes
+
+    a = outcomes(spark, sf)
+    plan = row_diffs(a, a)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_tiers_nest_and_are_complete(spark):
+    from detectlab.operators import catalogue as K
+
+    names = ["credit_card", "dob", "us_zip4", "nz_nhi", "reg_sar", "be_vat", "uae_visa", "br_cep", "jp_postal_code", "zw_id", "bitcoin", "uk"]
+    df = spark.createDataFrame([(n,) for n in names], "category string")
+    of = lambda tier, members=None: [r.category for r in Q.filter_tier(df, tier, members).collect()]
+    assert of("banking") == ["credit_card", "dob"]
+    assert of("core") == ["credit_card", "dob", "us_zip4", "nz_nhi", "reg_sar"]
+    assert of("regional") == ["credit_card", "dob", "us_zip4", "nz_nhi", "reg_sar", "be_vat", "uae_visa"]
+    assert of("full") == names
+    assert of("core", spark.createDataFrame([("core", "bitcoin"), ("core", "bitcoin")], "tier string, category string")) == ["bitcoin"]
+    assert len(set(K.TIER_CORE_EXTRA)) == 72 and len(K.TIER_BANKING) == 71
+
+
+def test_groups(spark):
+    pairs = {"pc_gdpr": "Classification", "geohash": "PII", "monero": "Crypto", "reg_sar": "Regulatory & Legal", "bearer_token": "Secrets & Credentials",
+             "zw_id": "Middle East & Africa IDs", "uae_eid": "Middle East & Africa IDs", "ua_id": "European IDs", "jm_trn": "Latin America IDs",
+             "fj_id": "Asia-Pacific IDs", "jp_health_ins": "Healthcare", "us_npi": "Healthcare", "check_number": "Banking", "my_secret": "Asia-Pacific IDs", "odd": "Other"}
+    df = spark.createDataFrame([(c,) for c in pairs], "category string")
+    assert {r.category: r.catalog_group for r in Q.with_group(df).collect()} == pairs
+    own = spark.createDataFrame([("odd", "Mine"), ("monero", "Mine")], "category string, catalog_group string")
+    assert {r.category: r.catalog_group for r in Q.with_group(df, own).collect()} == pairs | {"odd": "Mine", "monero": "Mine"}
+
+
+def test_json_split_escapes_what_is_not_ascii(spark):
+    import json
+
+    for value in ("Éric \"x\\ \n", "plain text", "a😀b\x7f\x01"):
+        half = len(value) // 2
+        text = variants_of(spark, value, "unknown", generators=["splitting"], normal_form_rows=False)["json_field_split"]
+        assert text.isascii() and text == json.dumps({"part1": value[:half], "part2": value[half:]}).replace("\x7f", "\\u007f")
+
+
+def test_run_log_is_read_in_append_order(spark, tmp_path):
+    (tmp_path / "part-00000.json").write_text('{"type": "scan", "timestamp": "2026-01-01T00:00:00Z", "total": 1}\n')
+    (tmp_path / "part-00001.json").write_text("".join(
+        f'{{"type": "scan", "timestamp": "2026-01-02T00:00:00Z", "total": {i}}}\n' for i in range(200)))
+    rows = readers.read_runs(spark, str(tmp_path)).orderBy("run_seq").collect()
+    assert [r.run_seq for r in rows] == list(range(1, 202)) and [r.total for r in rows] == [1, *range(200)]
+
+
+def test_entries_have_dense_ids(spark, monkeypatch):
+    monkeypatch.setattr(G, "CHUNK_ROWS", 7)
+    rows = G.entries_for(spark.createDataFrame([("b", 20), ("a", 15), ("c", 0), ("d", 1)], "category string, n int")).collect()
+    assert sorted((r.entry_id, r.category, r.idx) for r in rows) == [
+        (i, "a" if i < 15 else "b" if i < 35 else "d", i if i < 15 else i - 15 if i < 35 else 0) for i in range(36)]
+
+
+def test_corpus_from_allocation_to_documents(spark):
+    """Allocation, entries, values from rules and from seeds, variants, documents of 50 lines."""
+    seeds = spark.createDataFrame([("word", f"w{i:03d}") for i in range(30)] + [("phone", "+1-416-555-0100")], "category string, value string")
+    entries_ = G.entries_for(G.allocate(spark.createDataFrame([("word",), ("phone",), ("credit_card",)], "category string"), count=1000))
+    values_ = G.plain_values(entries_, seeds, 42, ["phone", "credit_card"])
+    corpus = G.build_corpus(values_.drop("idx", "n"), evasion_rate=1.0, techniques=["uppercase"])
+    rows = corpus.collect()
+    words = [r for r in rows if r.category == "word"]
+    assert len(rows) == 3000 and {r.plain_value for r in words} == {f"w{i:03d}" for i in range(30)}
+    # Of the allowed technique all rows that it changes are variants, and no others.
+    assert all((r.technique == "uppercase") == (r.plain_value.upper() != r.plain_value) for r in rows)
+    assert sinks.assemble_documents(corpus, "generic", "low", 50).count() == 60
+
+
 def test_allocation_gives_the_remainder_to_the_first(spark):
     cats = spark.createDataFrame([("b",), ("a",), ("c",)], "category string")
     assert {r.category: r.n for r in G.allocate(cats, total=8).collect()} == {"a": 3, "b": 3, "c": 2}
 
 
-def test_exact_match_is_the_same_beyond_the_broadcast_limit(spark, monkeypatch):
-    vals = spark.createDataFrame([("card", "l", "4111 1111 1111 1111"), ("name", "l", "Ada (Byron)")], "category string, label string, value string")
-    docs = spark.createDataFrame([(1, "x 4111-1111-1111-1111, ada byron"), (2, "4111 1111 1111 1111 4111111111111111")], "id long, text string")
-    dictionary = X.register_values(vals, "k")
-    find = lambda: sorted((r.id, r.position, r.words, r.category) for r in X.find_registered(docs, ["id"], "text", dictionary, "k").collect())
-    small = find()
-    assert small == [(1, 2, 1, "card"), (1, 3, 2, "name"), (2, 1, 4, "card"), (2, 5, 1, "card")]
-    monkeypatch.setattr(X, "BROADCAST_ROWS", 0)
-    assert find() == small
+def test_exact_match_under_any_spacing(spark):
+    vals = spark.createDataFrame([("card", "l", "4111 1111 1111 1111"), ("name", "l", "Ada (Byron)"), ("pan", "l", "4532015112830366")],
+                                 "category string, label string, value string")
+    docs = spark.createDataFrame([
+        (1, "x 4111-1111-1111-1111, ada byron"), (2, "4111 1111 1111 1111 4111111111111111"), (3, "4532 0151 1283 0366"), (4, "45 320151 1283 03 66."),
+        (5, "4 5 3 2 0 1 5 1 1 2 8 3 0 3 6 6"), (6, "94532 0151 1283 0366"), (7, None), (8, " - ")], "id long, text string")
+    find = lambda d: sorted((r.id, r.position, r.words, r.category) for r in X.find_registered(docs, ["id"], "text", d, "k").collect())
+    found = find(X.register_values(vals, "k"))
+    assert found == [(1, 2, 1, "card"), (1, 3, 2, "name"), (2, 1, 4, "card"), (2, 5, 1, "card"), (3, 1, 4, "pan"), (4, 1, 5, "pan"), (5, 1, 16, "pan")]
+    # What else is registered makes no difference.
+    alone = find(X.register_values(vals.filter("category = 'pan'"), "k"))
+    assert alone == [f for f in found if f[3] == "pan"]
+    assert find(X.register_values(vals.limit(0), "k")) == []
 
 
 def test_entropy(spark):

@@ -10,7 +10,8 @@ SAMPLE = (
     "variants_delimiter", "variants_encoding", "check_iban", "synth_national_ids", "near_miss_iban", "detection_run",
     "score_by_technique", "score_best_and_worst", "score_key_findings", "score_recommendations", "score_feedback",
     "score_regression_cases", "score_bucket_metrics", "compare_row_diffs", "compare_by_technique", "detect_context_gate",
-    "edm_find_documents", "entropy_tokens_gated", "neardup_ladder", "neardup_match_registered", "corpus_random",
+    "edm_find_documents", "edm_find_typed", "corpus_allow_list", "corpus_all_families", "corpus_random_mode", "source_run_order", "neardup_evaluation",
+    "entropy_tokens_gated", "neardup_ladder", "neardup_match_registered", "corpus_random",
     "sink_json_records", "history_baseline", "history_pair_false_positives", "history_fast_subset", "stream_windowed_rate",
     "stream_drop_alerts",
 )
@@ -39,12 +40,3 @@ def test_entry_runs(spark):
 
 def test_every_reference_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_broadcast_is_not_used_for_the_row_comparison(spark, sf):
-    from detectlab.operators.compare import row_diffs
-    from detectlab.plans.derived import outcomes
-
-    a = outcomes(spark, sf)
-    plan = row_diffs(a, a)._jdf.queryExecution().optimizedPlan().toString()
-    assert "FullOuter" in plan and "ResolvedHint" not in plan
