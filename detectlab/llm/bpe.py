@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +36,8 @@ from pyspark.sql import types as T
 from detectlab.llm.common import map_texts
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of each word cache; a full cache starts anew.
-CACHE_WORDS = 300_000
+#: Entries of a cache; a full one starts anew.
+CACHE_WORDS, CACHE_CHUNKS = 100_000, 1_200_000
 
 #: White space as the pre-tokenizer has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -68,6 +69,11 @@ def space_pieces(text: str) -> list[str] | None:
     return [first, *pieces] if first else pieces
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Automaton:
     """The compiled merges: ``encode`` and ``decode``."""
 
@@ -107,7 +113,11 @@ class Automaton:
                 self.born[z], self.left[z], self.right[z] = rank, a, b
                 usable.add(z)
         self.token = {label[i]: i for i in usable}
-        self.lengths = sorted({len(b) for b in self.token}, reverse=True)
+        # The longest token that begins with four given bytes; other tokens have three at most.
+        self.longest: dict[bytes, int] = {}
+        for b in self.token:
+            if len(b) > 3:
+                self.longest[b[:4]] = max(len(b), self.longest.get(b[:4], 0))
 
     def _arc(self, s: int, t: int, before: int) -> bool:
         """Whether token t may follow token s when the gadgets of rank under ``before`` have been applied."""
@@ -126,7 +136,7 @@ class Automaton:
     def _follows(self, s: int, t: int) -> bool:
         known = self.arcs.get((s, t))
         if known is None:
-            if len(self.arcs) > 4 * CACHE_WORDS:
+            if len(self.arcs) > CACHE_CHUNKS:
                 self.arcs.clear()
             known = self.arcs[s, t] = self._arc(s, t, 1 << 60)
         return known
@@ -136,31 +146,38 @@ class Automaton:
         whole = self.token.get(word)
         if whole is not None:
             return [whole]
+        token, longest = self.token, self.longest
         end, at, out, starts = len(word), 0, [], []
         failed: set[int] = set()
-        choices = self.lengths
-        first = 0
+        size = 0  # of the next token to try; 0: the longest possible
         while at < end:
+            if not size:
+                size = min(longest.get(word[at : at + 4], 3), end - at)
             last = out[-1] if out else -1
-            for k in range(first, len(choices)):
-                n = choices[k]
-                if at + n > end or at + n in failed:
-                    continue
-                t = self.token.get(word[at : at + n])
-                if t is not None and (last < 0 or self._follows(last, t)):
-                    out.append(t)
-                    starts.append(at)
-                    at += n
-                    first = 0
+            while size:
+                t = token.get(word[at : at + size])
+                if t is not None and (last < 0 or self._follows(last, t)) and at + size not in failed:
                     break
-            else:
-                if not out:
-                    raise ValueError("a byte is not in the vocabulary")
-                failed.add(at)
-                length = at - starts[-1]
-                at = starts.pop()
+                size -= 1
+            if size:
+                out.append(t)
+                starts.append(at)
+                at += size
+                size = 0
+                continue
+            # No arc leads on from here: the token before was too long.
+            if not out:
+                raise ValueError("a byte is not in the vocabulary")
+            failed.add(at)
+            while True:
+                start = starts.pop()
                 out.pop()
-                first = choices.index(length) + 1
+                size, at = at - start - 1, start
+                if size:
+                    break
+                failed.add(at)
+                if not out:
+                    raise ValueError("no path spells the word")
         return out
 
     def _word(self, word: str) -> bytes:
@@ -168,15 +185,16 @@ class Automaton:
         if ids is None:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
-            ids = self.words[word] = np.array(self.path(word.encode()), dtype="<u4").tobytes()
+            ids = self.words[word] = _packed(self.path(word.encode()))
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
         ids = self.chunks.get(chunk)
         if ids is None:
-            if len(self.chunks) >= CACHE_WORDS:
+            if len(self.chunks) >= CACHE_CHUNKS:
                 self.chunks.clear()
-            ids = self.chunks[chunk] = b"".join(map(self._word, _USUAL_PIECES.findall(chunk)))
+            path = self.path
+            ids = self.chunks[chunk] = _packed([i for word in _USUAL_PIECES.findall(chunk) for i in path(word.encode())])
         return ids
 
     def _plain(self, text: str) -> bytes:
