@@ -3,11 +3,13 @@
 Each id is predicted from the one before it (order 1), the two before it (order 2) and from what the block has had so far
 (order 0). The prediction is a mixture
 
-    P(x) = w2 [x = what followed the last two ids] + w1 [x = what followed the last id] + w0 P0(x),
+    P(x) = w2 [x = what followed the last two ids] + w1 [x = what followed the last id] + w0 P0(x).
 
-whose weights adapt for each state of the contexts, and P0 is an adaptive tree over the id's two upper nibbles with an even
-low byte. A range coder (64-bit interval, carries, 32-bit words) turns the choices into bytes. Blocks are independent: models
-start anew in each one, and each has its own checksum.
+The weights adapt, one set for each state of the contexts (which predictions there are, whether they differ, which one was
+right last time); w0 P0 is spread over the sixteen values of the id's uppermost bits in the same adaptive distribution, then
+over the next bits by another one, and evenly over the lowest eight. A range coder (64-bit interval, carries, 32-bit words)
+turns the choices into bytes: one choice for an id that was predicted, two for others. Blocks are independent: models start
+anew in each one, and each has its own checksum.
 
 Coding is sequential within a block, so all blocks of a call advance together: a step is one id of every block, as array
 operations. Encoder and decoder share the model code and so stay in step.
@@ -20,82 +22,82 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-MAX_ID = 1 << 16
+#: Ids are smaller than this; the number itself means that there is no prediction.
+MAX_ID = (1 << 16) - 1
 _TABLE_BITS = 10
-_NONE = MAX_ID  # no prediction
-_BITS = 15
+_STATES, _CHOICES, _PARTS = 12, 18, 16
+_BITS, _LOW_BITS = 15, 8
 _ONE = 1 << _BITS
 _U = np.uint64
-_SHIFT, _WORD = _U(_BITS), _U(32)
+_SHIFT, _LONG_SHIFT, _WORD = _U(_BITS), _U(_BITS + _LOW_BITS), _U(32)
 _LOW_LIMIT = _U(1 << 32)
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
 _RATE = 5
 
 
-def _targets(n: int, least: int) -> np.ndarray:
+def _targets(n: int, least: int = 64) -> np.ndarray:
     """Row s: the starts of all symbols when s has nearly everything."""
     i, s = np.arange(n)[None, :], np.arange(n)[:, None]
-    return np.where(i <= s, i * least, _ONE - (n - i) * least).astype(np.int32)
+    return np.where(i <= s, i * least, _ONE - (n - i) * least).astype(np.int16)
 
 
-_TARGET3, _TARGET16 = _targets(3, 64), _targets(16, 64)
+_TO_CHOICE, _TO_PART = _targets(_CHOICES), _targets(_PARTS)
 
 
 class _Model:
-    """Context tables of all blocks; blocks are rows."""
+    """Context tables of all blocks; blocks are rows. Distributions are rows of starts in 1 / 2^15."""
 
     def __init__(self, blocks: int):
         self.row = np.arange(blocks, dtype=np.int64)
-        self.after1 = np.full(blocks << _TABLE_BITS, _NONE, dtype=np.int32)
-        self.after2 = np.full(blocks << _TABLE_BITS, _NONE, dtype=np.int32)
-        self.weights = np.tile((np.arange(3) * (_ONE // 3)).astype(np.int32), (blocks * 12, 1))
-        even = (np.arange(16) * (_ONE // 16)).astype(np.int32)
-        self.first = np.tile(even, (blocks, 1))
-        self.second = np.tile(even, (blocks * 16, 1))
+        self.base = self.row << _TABLE_BITS
+        self.after1 = np.full(blocks << _TABLE_BITS, MAX_ID, dtype=np.uint16)
+        self.after2 = np.full(blocks << _TABLE_BITS, MAX_ID, dtype=np.uint16)
+        even = lambda n: (np.arange(n) * (_ONE // n)).astype(np.int16)
+        self.choice = np.tile(even(_CHOICES), (blocks * _STATES, 1))
+        self.part = np.tile(even(_PARTS), (blocks * 16, 1))
         self.last1 = np.zeros(blocks, dtype=np.int64)
         self.last2 = np.zeros(blocks, dtype=np.int64)
         self.outcome = np.full(blocks, 2, dtype=np.int64)
 
-    def predict(self, n: int) -> None:
-        """Places and predictions for the next id of the first n blocks."""
+    def predict(self, n: int) -> np.ndarray:
+        """Predictions for the next id of the first n blocks, and the distributions of the first choice."""
         mask = (1 << _TABLE_BITS) - 1
-        base = self.row[:n] << _TABLE_BITS
-        a, b = self.last1[:n], self.last2[:n]
-        self.place1 = base + ((a * 40503 >> 7) & mask)
-        self.place2 = base + ((a * 40503 + b * 60493 >> 6) & mask)
+        a = self.last1[:n] * 40503
+        self.place1 = self.base[:n] + (a >> 7 & mask)
+        self.place2 = self.base[:n] + (a + self.last2[:n] * 60493 >> 6 & mask)
         self.guess1, self.guess2 = self.after1[self.place1], self.after2[self.place2]
-        state = (self.guess2 < _NONE) * 2 + ((self.guess1 < _NONE) & (self.guess1 != self.guess2))
-        self.state = self.row[:n] * 12 + state * 3 + self.outcome[:n]
+        state = (self.guess2 != MAX_ID) * 2 + ((self.guess1 != MAX_ID) & (self.guess1 != self.guess2))
+        self.state = self.row[:n] * _STATES + state * 3 + self.outcome[:n]
+        return self.choice[self.state]
 
-    def learn(self, n: int, ids: np.ndarray, outcome: np.ndarray) -> None:
+    def learn(self, n: int, ids: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> None:
         self.after1[self.place1] = ids
         self.after2[self.place2] = ids
-        rows = self.weights[self.state]
-        rows += (_TARGET3[outcome] - rows) >> _RATE
-        self.weights[self.state] = rows
-        self.outcome[:n] = outcome
+        rows += (_TO_CHOICE[chosen] - rows) >> _RATE
+        self.choice[self.state] = rows
+        self.outcome[:n] = np.minimum(chosen, 2)
         self.last2[:n] = self.last1[:n]
         self.last1[:n] = ids
 
-
-def _adapt(table: np.ndarray, at: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> None:
-    rows += (_TARGET16[symbol] - rows) >> _RATE
-    table[at] = rows
+    def learn_part(self, at: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> None:
+        rows += (_TO_PART[chosen] - rows) >> _RATE
+        self.part[at] = rows
 
 
 def _bounds(rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and width of a symbol in each row."""
-    at, n = np.arange(len(rows)), rows.shape[1]
-    start = rows[at, symbol]
-    end = np.where(symbol + 1 < n, rows[at, np.minimum(symbol + 1, n - 1)], _ONE)
-    return start.astype(_U), (end - start).astype(_U)
+    n = rows.shape[1]
+    flat, at = rows.ravel(), np.arange(0, len(rows) * n, n) + symbol
+    start = flat[at].astype(np.int64)
+    end = np.where(symbol == n - 1, np.int64(_ONE), flat[np.minimum(at + 1, len(flat) - 1)].astype(np.int64))
+    return start, end - start
 
 
 class _Encoder:
     def __init__(self, blocks: int, longest: int):
         self.low = np.zeros(blocks, dtype=_U)
         self.range = np.full(blocks, _FULL)
-        # An id takes under 4 coded choices of 15 bits, and the two last words.
+        # An id takes under 15 + 23 bits: at most two words.
         self.out = np.zeros((blocks, 2 * longest + 4), dtype=np.uint32)
         self.size = np.zeros(blocks, dtype=np.int64)
 
@@ -106,30 +108,32 @@ class _Encoder:
             again = self.out[rows, at] == 0
             rows, at = rows[again], at[again] - 1
 
-    def put(self, rows: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        part = self.range[rows] >> _SHIFT
+    def put(self, rows: slice | np.ndarray, start: np.ndarray, width: np.ndarray, shift: np.uint64 = _SHIFT) -> None:
+        """Narrows the intervals of some blocks to a part of them, in 1 / 2^shift."""
+        span = self.range[rows] >> shift
         old = self.low[rows]
-        low = old + part * start
+        low = old + span * start.astype(_U)
         over = low < old
         if over.any():
-            self._carry(rows[over])
-        span = part * width
-        full = span < _LOW_LIMIT
-        if full.any():
-            some = rows[full]
-            self.out[some, self.size[some]] = (low[full] >> _WORD).astype(np.uint32)
+            self._carry(np.flatnonzero(over) if isinstance(rows, slice) else rows[over])
+        span *= width.astype(_U)
+        full = np.flatnonzero(span < _LOW_LIMIT)
+        if len(full):
+            some = full if isinstance(rows, slice) else rows[full]
+            short = low[full]
+            self.out[some, self.size[some]] = short >> _WORD
             self.size[some] += 1
-            low = np.where(full, low << _WORD, low)
-            span = np.where(full, span << _WORD, span)
+            low[full] = short << _WORD
+            span[full] <<= _WORD
         self.low[rows], self.range[rows] = low, span
 
     def finish(self) -> list[bytes]:
-        """One word that lies in the last interval of each block."""
+        """One word that lies in the last interval of each block: intervals are at least as wide as a word."""
         rows = np.arange(len(self.low))
-        last = (self.low >> _WORD) + _U(1)
-        over = last >> _WORD > 0
-        if over.any():
-            self._carry(rows[over])
+        last = (self.low >> _WORD) + (self.low & (_LOW_LIMIT - _U(1)) != 0)
+        over = np.flatnonzero(last >> _WORD)
+        if len(over):
+            self._carry(over)
         self.out[rows, self.size] = last.astype(np.uint32)
         self.size += 1
         return [self.out[i, : self.size[i]].astype("<u4").tobytes() for i in range(len(rows))]
@@ -146,20 +150,21 @@ class _Decoder:
         self.next += 2
         self.range = np.full(len(payloads), _FULL)
 
-    def peek(self, rows: np.ndarray) -> np.ndarray:
-        """Where the code lies, in 1 / 2^15 of the interval."""
-        self.part = self.range[rows] >> _SHIFT
-        return np.minimum(self.code[rows] // self.part, _U(_ONE - 1))
-
-    def take(self, rows: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        code = self.code[rows] - self.part * start
-        span = self.part * width
-        full = span < _LOW_LIMIT
-        if full.any():
-            some = rows[full]
+    def peek(self, rows: slice | np.ndarray, shift: np.uint64 = _SHIFT) -> np.ndarray:
+        """Where the code lies, in 1 / 2^shift of the interval."""
+        self.span = self.range[rows] >> shift
+        self.at = self.code[rows]
+        return np.minimum(self.at // self.span, _U((1 << int(shift)) - 1)).astype(np.int64)
+
+    def take(self, rows: slice | np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        code = self.at - self.span * start.astype(_U)
+        span = self.span * width.astype(_U)
+        full = np.flatnonzero(span < _LOW_LIMIT)
+        if len(full):
+            some = full if isinstance(rows, slice) else rows[full]
             code[full] = (code[full] << _WORD) | self.words[self.next[some]]
             self.next[some] += 1
-            span = np.where(full, span << _WORD, span)
+            span[full] <<= _WORD
         self.code[rows], self.range[rows] = code, span
 
 
@@ -178,23 +183,19 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     model, coder = _Model(blocks), _Encoder(blocks, BLOCK)
     for step in range(BLOCK if blocks > 1 else last):
         n = blocks if step < last else blocks - 1
-        rows, x = model.row[:n], table[step, :n]
-        model.predict(n)
-        outcome = np.where(x == model.guess2, 0, np.where(x == model.guess1, 1, 2))
-        coder.put(rows, *_bounds(model.weights[model.state], outcome))
-        some = np.flatnonzero(outcome == 2)
+        x = table[step, :n]
+        rows = model.predict(n)
+        chosen = np.where(x == model.guess2, 0, np.where(x == model.guess1, 1, 2 + (x >> 12)))
+        coder.put(slice(0, n), *_bounds(rows, chosen))
+        some = np.flatnonzero(chosen > 1)
         if len(some):
             y = x[some]
-            one, two, byte = y >> 12, y >> 8 & 15, y & 255
-            cells = model.first[some]
-            coder.put(some, *_bounds(cells, one))
-            _adapt(model.first, some, cells, one)
-            at = some * 16 + one
-            cells = model.second[at]
-            coder.put(some, *_bounds(cells, two))
-            _adapt(model.second, at, cells, two)
-            coder.put(some, (byte << (_BITS - 8)).astype(_U), np.full(len(some), 1 << (_BITS - 8), dtype=_U))
-        model.learn(n, x, outcome)
+            at, part = some * 16 + (y >> 12), y >> 8 & 15
+            cells = model.part[at]
+            start, width = _bounds(cells, part)
+            coder.put(some, (start << _LOW_BITS) + (y & 255) * width, width, _LONG_SHIFT)
+            model.learn_part(at, cells, part)
+        model.learn(n, x, rows, chosen)
     sizes = [BLOCK] * (blocks - 1) + [last]
     return [
         (size, zlib.crc32(flat[i * BLOCK : i * BLOCK + size].astype("<u4").tobytes()), payload)
@@ -214,29 +215,25 @@ def decode_blocks(coded: list[tuple[int, int, bytes]]) -> np.ndarray:
     table = np.zeros((int(left[0]), len(coded)), dtype=np.uint32)
     for step in range(int(left[0])):
         n = int(np.searchsorted(-left, -step, side="left"))
-        rows = model.row[:n]
-        model.predict(n)
-        weights = model.weights[model.state]
-        place = coder.peek(rows).astype(np.int32)
-        outcome = (place >= weights[:, 1]).astype(np.int64) + (place >= weights[:, 2])
-        coder.take(rows, *_bounds(weights, outcome))
-        x = np.where(outcome == 0, model.guess2, model.guess1).astype(np.int64)
-        some = np.flatnonzero(outcome == 2)
+        rows = model.predict(n)
+        place = coder.peek(slice(0, n))
+        chosen = (rows <= place[:, None]).sum(axis=1) - 1
+        coder.take(slice(0, n), *_bounds(rows, chosen))
+        x = np.where(chosen == 0, model.guess2, model.guess1).astype(np.int64)
+        some = np.flatnonzero(chosen > 1)
         if len(some):
-            cells = model.first[some]
-            one = (cells <= coder.peek(some).astype(np.int32)[:, None]).sum(axis=1) - 1
-            coder.take(some, *_bounds(cells, one))
-            _adapt(model.first, some, cells, one)
-            at = some * 16 + one
-            cells = model.second[at]
-            two = (cells <= coder.peek(some).astype(np.int32)[:, None]).sum(axis=1) - 1
-            coder.take(some, *_bounds(cells, two))
-            _adapt(model.second, at, cells, two)
-            byte = (coder.peek(some) >> _U(_BITS - 8)).astype(np.int64)
-            coder.take(some, (byte << (_BITS - 8)).astype(_U), np.full(len(some), 1 << (_BITS - 8), dtype=_U))
-            x[some] = one << 12 | two << 8 | byte
+            high = chosen[some] - 2
+            at = some * 16 + high
+            cells = model.part[at]
+            place = coder.peek(some, _LONG_SHIFT)
+            part = (cells <= (place >> _LOW_BITS)[:, None]).sum(axis=1) - 1
+            start, width = _bounds(cells, part)
+            low = (place - (start << _LOW_BITS)) // width
+            coder.take(some, (start << _LOW_BITS) + low * width, width)
+            model.learn_part(at, cells, part)
+            x[some] = high << 12 | part << 8 | low
         table[step, :n] = x
-        model.learn(n, x, outcome)
+        model.learn(n, x, rows, chosen)
     columns = np.ascontiguousarray(table.T)
     found: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(coded)
     for row, i in enumerate(order):

@@ -62,10 +62,10 @@ class LibraryEncoder:
         if pieces is None:
             return self._whole(text)
         different = set(pieces)
-        if len(different) > bpe.CACHE_WORDS:
+        if len(different) > bpe.CACHE_CHUNKS:
             return self._whole(text)
         new = [p for p in different if p not in self.chunks]
-        if len(self.chunks) + len(new) > bpe.CACHE_WORDS:
+        if len(self.chunks) + len(new) > bpe.CACHE_CHUNKS:
             self.chunks.clear()
             new = list(different)
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
