@@ -69,7 +69,7 @@ def space_pieces(text: str) -> list[str] | None:
     return [first, *pieces] if first else pieces
 
 
-def _packed(ids: list[int]) -> bytes:
+def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit numbers."""
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -185,7 +185,7 @@ class Automaton:
         if ids is None:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
-            ids = self.words[word] = _packed(self.path(word.encode()))
+            ids = self.words[word] = packed(self.path(word.encode()))
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
@@ -194,7 +194,7 @@ class Automaton:
             if len(self.chunks) >= CACHE_CHUNKS:
                 self.chunks.clear()
             path = self.path
-            ids = self.chunks[chunk] = _packed([i for word in _USUAL_PIECES.findall(chunk) for i in path(word.encode())])
+            ids = self.chunks[chunk] = packed([i for word in _USUAL_PIECES.findall(chunk) for i in path(word.encode())])
         return ids
 
     def _plain(self, text: str) -> bytes:

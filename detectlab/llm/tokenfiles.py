@@ -61,16 +61,16 @@ class LibraryEncoder:
         pieces = None if any(name in text for name in self.special) else bpe.space_pieces(text)
         if pieces is None:
             return self._whole(text)
-        different = set(pieces)
-        if len(different) > bpe.CACHE_CHUNKS:
-            return self._whole(text)
-        new = [p for p in different if p not in self.chunks]
-        if len(self.chunks) + len(new) > bpe.CACHE_CHUNKS:
-            self.chunks.clear()
-            new = list(different)
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.chunks[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.chunks.__getitem__, pieces))
+        found = list(map(self.chunks.get, pieces))
+        if None in found:
+            new = list({p for p, ids in zip(pieces, found, strict=True) if ids is None})
+            if len(self.chunks) + len(new) > bpe.CACHE_CHUNKS:
+                self.chunks.clear()
+                new = list(set(pieces))
+            for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.chunks[piece] = bpe.packed(coded.ids)
+            found = map(self.chunks.__getitem__, pieces)
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
