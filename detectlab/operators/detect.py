@@ -28,6 +28,7 @@ class Rule:
     keywords: str
     confidence: float
     needs: str = ""  # text without this cannot match
+    by_default: bool = True  # else only where the category is asked for by name: bare shapes that plain numbers have too
 
 
 def _card_valid(value: Column) -> Column:
@@ -55,6 +56,19 @@ RULES: dict[str, Rule] = {
     "ipv4_address": Rule(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", None, None, None, "ip|host|server", SHAPED),
     "aws_key": Rule(r"AKIA[0-9A-Z]{16}", None, r"AKIA[0-9A-Z]{16}", None, "aws|key", SHAPED, "AKIA"),
     "jwt": Rule(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", None, None, None, "token|bearer|auth", SHAPED, "eyJ"),
+    "cusip_num": Rule(r"[0-9A-Z]{8}[0-9]", C.cusip_valid, r"[0-9A-Z]{8}[0-9]", C.cusip_valid, "cusip|security|bond", CHECKED, by_default=False),
+    "sedol_num": Rule(r"[0-9B-DF-HJ-NP-TV-Z]{6}[0-9]", C.sedol_valid, r"[0-9B-DF-HJ-NP-TV-Z]{6}[0-9]", C.sedol_valid, "sedol|security|stock",
+                      CHECKED, by_default=False),
+    "isin": Rule(r"[A-Z]{2}[0-9A-Z]{9}[0-9]", C.isin_valid, r"[A-Z]{2}[0-9A-Z]{9}[0-9]", C.isin_valid, "isin|security|bond|stock", CHECKED,
+                 by_default=False),
+    "figi_num": Rule(r"[B-DF-HJ-NP-TV-Z]{2}G[0-9B-DF-HJ-NP-TV-Z]{8}[0-9]", C.figi_valid, r"[B-DF-HJ-NP-TV-Z]{2}G[0-9B-DF-HJ-NP-TV-Z]{8}[0-9]",
+                     C.figi_valid, "figi|instrument", CHECKED, by_default=False),
+    "lei_num": Rule(r"[0-9A-Z]{18}[0-9]{2}", C.lei_valid, r"[0-9A-Z]{18}[0-9]{2}", C.lei_valid, "lei|legal entity", CHECKED, by_default=False),
+    "br_cpf": Rule(r"[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}", C.cpf_valid, r"[0-9]{11}", C.cpf_valid, "cpf|contribuinte", CHECKED, by_default=False),
+    "de_tax_id": Rule(r"[1-9][0-9]{10}", C.de_tax_valid, r"[1-9][0-9]{10}", C.de_tax_valid, "steuer|tax", CHECKED, by_default=False),
+    "au_medicare": Rule(r"[2-6][0-9]{3} [0-9]{5} [0-9]", C.medicare_valid, r"[2-6][0-9]{9}", C.medicare_valid, "medicare", CHECKED, by_default=False),
+    "uk_nin": Rule(r"[A-Z]{2} [0-9]{2} [0-9]{2} [0-9]{2} [A-D]", C.nin_valid, r"[A-Z]{2}[0-9]{6}[A-D]", C.nin_valid, "national insurance|nino",
+                   CHECKED, by_default=False),
 }
 
 
@@ -63,7 +77,7 @@ def register_detector(category: str, rule: Rule) -> None:
 
 
 def _rules(categories: Sequence[str] | None) -> dict[str, Rule]:
-    names = list(RULES) if categories is None else list(categories)
+    names = [c for c, r in RULES.items() if r.by_default] if categories is None else list(categories)
     unknown = [c for c in names if c not in RULES]
     if unknown:
         raise ValueError(f"no detection rule for {unknown}")

@@ -444,6 +444,27 @@ def sink_documents(spark, sf_dir):
     return docs.select("doc", "lines", F.md5("text").alias("digest"))
 
 
+def _layout_sql(layout: str, noise: str) -> str:
+    header, line, footer = sinks.LAYOUTS[layout]
+    text = f"replace(replace({S.lit(line)}, '{{category}}', category), '{{text}}', embedded_text)"
+    extra = f"CASE WHEN entry_id % {sinks.NOISE[noise]} = 0 THEN chr(10) || ({S.array(sinks.NOISE_LINES)})[CAST(entry_id % {len(sinks.NOISE_LINES)} AS INT) + 1] ELSE '' END"
+    head = f"replace({S.lit(header)}, '{{doc}}', CAST(entry_id // 50 AS VARCHAR))"
+    return (f"SELECT entry_id // 50 AS doc, count(*) AS lines, md5(any_value({head}) || chr(10) || string_agg({text} || {extra}, chr(10) ORDER BY entry_id) || chr(10) || {S.lit(footer)}) AS digest "
+            f"FROM ({C_RANDOM}) GROUP BY entry_id // 50")
+
+
+def _layout(layout, noise):
+    def run(spark, sf_dir):
+        return sinks.assemble_documents(_corpus(spark, sf_dir), layout, noise, 50).select("doc", "lines", F.md5("text").alias("digest"))
+
+    return run
+
+
+for _i, _l in enumerate(n for n in sinks.LAYOUTS if n != "generic"):
+    _n = list(sinks.NOISE)[_i % len(sinks.NOISE)]
+    query(f"sink_documents_{_l}", _layout_sql(_l, _n))(_layout(_l, _n))
+
+
 @query("sink_fillers", f"SELECT c_custkey AS entry_id, name, address, date, timestamp, amount FROM (SELECT c_custkey, c_custkey AS entry_id, {_FILL_NAME} AS name, {_FILL_ADDR} AS address, {_FILL_DATE} AS date, {_FILL_TS} AS timestamp, {_FILL_AMOUNT} AS amount FROM customer)")
 def sink_fillers(spark, sf_dir):
     fake = sinks.fillers(F.col("c_custkey"), SEED)
@@ -510,6 +531,67 @@ def source_run_log(spark, sf_dir):
     return back.groupBy("type", "scanner_label").agg(F.count("*").alias("runs"), F.sum("total").alias("total"), F.sum("pass").alias("pass"), F.max("ts").alias("last_ts"))
 
 
+@query("source_payloads", f"SELECT category, count(*) AS n, count(DISTINCT value) AS different FROM ({PAY}) GROUP BY category")
+def source_payloads(spark, sf_dir):
+    """A user's payload table from CSV."""
+    path = _path(spark, "payloads")
+    derived.customer_payloads(spark, sf_dir).select("value", "category", "label").write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_payloads(spark, path, "csv").groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("value").alias("different"))
+
+
+_FLAGS = "SELECT event_type AS category, count(*) AS total, count(*) FILTER (WHERE value > 10) AS flagged FROM events GROUP BY 1"
+
+
+def _flag_reports(spark, sf_dir):
+    """One false-positive report per tool over event types, as JSON documents."""
+    counted = read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 10).alias("flagged"))
+    item = F.struct("total", "flagged", (F.col("flagged") / F.col("total")).alias("false_positive_rate"), F.array().cast("array<string>").alias("flagged_values"))
+    return counted.agg(F.map_from_entries(F.collect_list(F.struct(F.col("event_type"), item))).alias("by_category"), F.sum("total").alias("total_tested"), F.sum("flagged").alias("total_flagged")).select(
+        F.lit("scanner").alias("tool"), "total_tested", "total_flagged", "by_category")  # a few event types: one small document
+
+
+@query("source_false_positives", f"WITH c AS ({_FLAGS}) SELECT 'scanner' AS tool, category, total, flagged, (SELECT CAST(sum(total) AS BIGINT) FROM c) AS total_tested FROM c")
+def source_false_positives(spark, sf_dir):
+    path = _path(spark, "fp-reports")
+    _flag_reports(spark, sf_dir).write.json(path)
+    return readers.read_false_positives(spark, path).select("tool", "category", "total", "flagged", "total_tested")
+
+
+@query("source_dictionary", "SELECT DISTINCT 'part_name' AS category, 'part \"x\", ' || p_brand AS label, p_name AS value FROM part")
+def source_dictionary(spark, sf_dir):
+    """A dictionary with quotes and commas, through CSV and through JSON: the rows that both give."""
+    values = read_table(spark, sf_dir, "part").select(
+        F.lit("part_name").alias("category"), F.concat(F.lit('part "x", '), "p_brand").alias("label"), F.col("p_name").alias("value")).distinct()
+    a, b = _path(spark, "dictionary-csv"), _path(spark, "dictionary-json")
+    sinks.write_dictionary_csv(values, a)
+    sinks.write_dictionary_json(values, b)
+    return readers.read_dictionary(spark, a).intersect(readers.read_dictionary(spark, b, "json"))
+
+
+@query("source_archive", "SELECT CAST(ts AS DATE) AS run_date, regexp_replace(event_type || ' / x', '[^A-Za-z0-9._-]', '_', 'g') AS scanner_label, count(*) AS n FROM events GROUP BY ALL")
+def source_archive(spark, sf_dir):
+    """Results archived by day and label in two appends; labels as folder names carry them."""
+    path = _path(spark, "archive")
+    events = read_table(spark, sf_dir, "events").select("ts", F.concat("event_type", F.lit(" / x")).alias("scanner_label"), "event_id", "value")
+    for high in (True, False):
+        readers.archive_runs(events.filter((F.col("value") > 10) == high), path)
+    return spark.read.parquet(path).groupBy(F.col("run_date").cast("date").alias("run_date"), "scanner_label").agg(F.count("*").alias("n"))
+
+
+@query("source_backfill", f"WITH c AS ({_FLAGS}) SELECT 'falsepos' AS type, CAST(sum(total) AS BIGINT) AS total FROM c UNION ALL SELECT 'scan' AS type, total FROM c")
+def source_backfill(spark, sf_dir):
+    """Loose documents of both kinds in one folder, and one of neither."""
+    path = _path(spark, "loose")
+    _flag_reports(spark, sf_dir).write.json(path)
+    scans = read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("total"))
+    meta = F.struct(F.lit("2026-04-19T06:00:00+00:00").alias("timestamp"), F.col("event_type").alias("scanner"), "total")
+    document = F.to_json(F.struct(meta.alias("meta"), F.array().cast("array<struct<x:int>>").alias("results")))
+    scans.select(document.alias("value")).write.option("maxRecordsPerFile", 1).mode("append").text(path)  # a document a file
+    spark.range(1).select(F.lit('{"other": 1}').alias("value")).write.mode("append").text(path)
+    rows = readers.backfill(spark, path)
+    return rows.select("type", F.coalesce("total", "total_tested").alias("total"))
+
+
 @query("source_run_order", f"SELECT row_number() OVER (ORDER BY day) AS run_seq, total, pass FROM (SELECT CAST(ts AS DATE) AS day, CAST(sum(total) AS BIGINT) AS total, CAST(sum(pass) AS BIGINT) AS pass FROM ({RUNS}) GROUP BY 1)")
 def source_run_order(spark, sf_dir):
     """Runs appended one day first and all later days in a larger file after it: numbered in append order."""

@@ -56,6 +56,17 @@ def stream_windowed_rate(spark, sf_dir):
     return _run_to_files(spark, T.windowed_rate(events, "ts", "event_type", "caught"), "windows")
 
 
+@query("stream_windowed_rate_all",
+       "SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS tested, count(*) FILTER (WHERE value > 10) AS detected FROM events GROUP BY ALL")
+def stream_windowed_rate_all(spark, sf_dir):
+    """All windows, those that are still open at the end of the stream with what they hold: the last update of each."""
+    events = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("value") > 10).alias("caught"))
+    path, checkpoint = _out(spark, "all-windows")
+    T.latest_to_files(T.windowed_rate(events, "ts", "event_type", "caught"), path, checkpoint)
+    batches = spark.read.schema("window_start timestamp, window_end timestamp, event_type string, tested long, detected long, batch int").parquet(path)
+    return T.latest_rows(batches, ["window_start", "window_end", "event_type"], ("tested", "detected"))
+
+
 @query("stream_unique_runs", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY ALL")
 def stream_unique_runs(spark, sf_dir):
     """Every event line twice, as after a repeated append; one of each is left."""

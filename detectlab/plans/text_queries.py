@@ -11,10 +11,12 @@ from detectlab.operators import detect as D
 from detectlab.operators import entropyscan as N
 from detectlab.operators import exactmatch as X
 from detectlab.operators import neardup as L
+from detectlab.operators.corpus import synthetic_values
 from detectlab.operators.variants import expand_variants
 from detectlab.plans import derived
 from detectlab.plans import sqlref as S
 from detectlab.plans.registry import query
+from detectlab.plans.value_queries import synth_sql
 from detectlab.session import read_table, spread
 
 KEY = "edm-key"
@@ -51,6 +53,37 @@ def detect_spans_conversations(spark, sf_dir):
     return D.find_spans(rows, ["conv_id", "turn"])
 
 
+_MESSAGES = f"(SELECT conv_id, turn, text || ' - card ' || {S.card('conv_id * 100 + turn')} || CASE WHEN turn % 2 = 0 THEN '' ELSE ', mail me' || conv_id || '@mail.example.com' END AS text FROM conversations)"
+
+
+@query("detect_spans_messages", "SELECT conv_id, turn, category, match, start FROM (" + spans_sql(_MESSAGES, "conv_id, turn") + ")")
+def detect_spans_messages(spark, sf_dir):
+    """Messages that end with a card number, and every second one with an address."""
+    rows = spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    mail = F.when(F.col("turn") % 2 == 0, "").otherwise(F.concat(F.lit(", mail me"), F.col("conv_id").cast("string"), F.lit("@mail.example.com")))
+    text = F.concat("text", F.lit(" - card "), derived.card_number(F.col("conv_id") * 100 + F.col("turn")), mail)
+    return D.find_spans(rows.select("conv_id", "turn", text.alias("text")), ["conv_id", "turn"])
+
+
+_IDENTIFIERS = ("cusip_num", "sedol_num", "isin", "figi_num", "lei_num", "br_cpf", "de_tax_id", "au_medicare", "uk_nin")
+_ID_SQL = " UNION ALL ".join(f"SELECT c_custkey, '{c}' AS category, value FROM ({synth_sql(c)})" for c in _IDENTIFIERS)
+
+
+@query("detect_spans_identifiers",
+       f"SELECT c_custkey, category, value AS match, 5 AS start FROM ({_ID_SQL}) WHERE c_custkey % 2 = 0")
+def detect_spans_identifiers(spark, sf_dir):
+    """One drawn identifier a line; every second line has its last digit, or first letter, changed and must not be found."""
+    ids = spread(read_table(spark, sf_dir, "customer").select("c_custkey"))
+    lines = synthetic_values(ids, "c_custkey", _IDENTIFIERS, 42)
+    # The check digit is the last sign, in Medicare numbers the one before the issue number.
+    turned = lambda keep: F.expr(f"concat(left(value, length(value) - {keep}), translate(substr(value, length(value) - {keep} + 1, 1), '0123456789', '1234567890'), right(value, {keep} - 1))")
+    broken = (F.when(F.col("category") == "uk_nin", F.concat(F.lit("D"), F.substr("value", F.lit(2))))
+              .when(F.col("category") == "au_medicare", turned(3)).otherwise(turned(1)))
+    text = F.concat(F.lit("id: "), F.when(F.col("c_custkey") % 2 == 0, F.col("value")).otherwise(broken))
+    found = D.find_spans(lines.select("c_custkey", F.col("category").alias("own"), text.alias("text")), ["c_custkey", "own"], categories=_IDENTIFIERS)
+    return found.filter(F.col("own") == F.col("category")).select("c_custkey", "category", "match", "start")
+
+
 _WINDOW = "substr(text, greatest(start - 80, 1), start + length(match) + 80 - greatest(start - 80, 1))"
 _NEAR = "CASE category " + " ".join(f"WHEN '{c}' THEN regexp_matches(lower({_WINDOW}), '{k}')" for c, k in S.SPAN_KEYWORDS.items()) + " END"
 

@@ -39,21 +39,23 @@ def unique_runs(stream: DataFrame, ts: str, key: Sequence[str], delay: str = "1
 
 
 def drop_alerts(stream: DataFrame, label: str, order: str, rate: str, fall: float) -> DataFrame:
-    """Runs whose rate fell by more than ``fall`` points against the label's previous run. State: one number per label."""
+    """Runs whose rate fell by more than ``fall`` points against the label's previous run. State: one number per label.
+
+    Runs are compared in their order within a batch and with the last run of the batches before; a run that arrives after
+    a later one was seen is compared with that one.
+    """
     def follow(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState):
-        rows = pd.concat(list(frames)).sort_values(order)
-        before = state.get[0] if state.exists else None
-        alerts = []
-        for seq, value in zip(rows[order], rows[rate]):
-            if before is not None and before - value > fall:
-                alerts.append((key[0], int(seq), before, value))
-            before = float(value)
-        if before is not None:
-            state.update((before,))
-        if alerts:
-            yield pd.DataFrame(alerts, columns=["label", "run_seq", "previous", "rate"])
-
-    return stream.select(label, order, rate).groupBy(label).applyInPandasWithState(
+        # Run rows of one label in one trigger: order and rate alone.
+        rows = pd.concat(list(frames)).sort_values(order, ignore_index=True)
+        before = rows[rate].shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        state.update((float(rows[rate].iloc[-1]),))
+        fallen = rows[before - rows[rate] > fall]
+        if len(fallen):
+            yield pd.DataFrame({"label": key[0], "run_seq": fallen[order], "previous": before[fallen.index], "rate": fallen[rate]})
+
+    return stream.filter(F.col(rate).isNotNull()).select(label, order, rate).groupBy(label).applyInPandasWithState(
         follow, "label string, run_seq long, previous double, rate double", "previous double", "append",
         GroupStateTimeout.NoTimeout)
 
@@ -73,8 +75,9 @@ def latest_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
         availableNow=True).start().awaitTermination()
 
 
-def latest_rows(batches: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+def latest_rows(batches: DataFrame, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The last update of each key."""
-    return batches.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select(key, "row.*")
+    keys = [key] if isinstance(key, str) else list(key)
+    return batches.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select(*keys, "row.*")
 
 
