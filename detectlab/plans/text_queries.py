@@ -11,6 +11,7 @@ from detectlab.operators import detect as D
 from detectlab.operators import entropyscan as N
 from detectlab.operators import exactmatch as X
 from detectlab.operators import neardup as L
+from detectlab.functions.nearmiss import wrap_in_context
 from detectlab.operators.corpus import synthetic_values
 from detectlab.operators.variants import expand_variants
 from detectlab.plans import derived
@@ -143,6 +144,19 @@ def detection_run_decoded(spark, sf_dir):
     return run.groupBy("generator", "technique").agg(F.count("*").alias("n"), F.count_if("detected").alias("detected"))
 
 
+_WRAPPED = "replace(CASE category " + " ".join(f"WHEN '{c}' THEN {S.lit(t)}" for c, t in fixed.WRAP_TEMPLATES.items()) + f" ELSE {S.lit(fixed.WRAP_FALLBACK)} END, '{{value}}', variant)"
+_SURE = ("credit_card", "ssn", "sin", "iban")
+
+
+@query("detection_run_wrapped",
+       f"SELECT category, technique, count(*) AS n, count(*) FILTER (WHERE category IN {S.in_list(_SURE)} AND {S.hit('t')}) AS detected FROM (SELECT *, {_WRAPPED} AS t FROM ({S.variants(S.SUPPLIER_PAYLOADS, ['structural'])})) GROUP BY ALL")
+def detection_run_wrapped(spark, sf_dir):
+    """Values in a sentence of their category; only matches that a check digit confirms count."""
+    rows = expand_variants(derived.supplier_payloads(spark, sf_dir), generators=["structural"], normal_form_rows=False)
+    run = D.run_detection(rows, wrap=wrap_in_context, min_confidence=0.9)
+    return run.groupBy("category", "technique").agg(F.count("*").alias("n"), F.count_if("detected").alias("detected"))
+
+
 # --- exact-data match -------------------------------------------------------------------------------------------------
 
 _COMPAT_FROM = "".join(fixed.UNICODE_SPACES.values()) + "".join(chr(0xFF01 + i) for i in range(94))
