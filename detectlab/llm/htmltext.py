@@ -51,8 +51,11 @@ _ASIDE_WORDS = frozenset(
     " menu breadcrumb breadcrumbs footer header masthead sidebar aside rail banner cookie cookies consent gdpr notice alert popup"
     " modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations outbrain"
     " taboola comment comments commentlist respond reply replies disqus discussion pagination pager toolbar widget search form"
-    " paywall teaser copyright skip".split()
+    " paywall teaser copyright skip notices disclaimer announcement toast".split()
 )
+#: Parts of words that say the same when they are written together, as in ``rightsidebar``.
+_ASIDE_STEMS = ("sidebar", "sidenav", "navbar", "breadcrumb", "masthead", "comment", "cookie", "advert", "newsletter", "disqus")
+_ARTICLE_WORDS = frozenset(["commentary", "commented", "uncommented"])
 _LEAST_SIBLING = 0.2
 
 
@@ -71,7 +74,8 @@ def _is_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         return False
     for name, value in attrs:
         if name in ("class", "id") and value:
-            if not _ASIDE_WORDS.isdisjoint(w.lower() for w in _PARTS.findall(value)):
+            words = {w.lower() for w in _PARTS.findall(value)}
+            if not _ASIDE_WORDS.isdisjoint(words) or any(s in w for w in words - _ARTICLE_WORDS for s in _ASIDE_STEMS):
                 return True
         elif name == "role" and value and value.strip().lower() in _ROLES:
             return True
@@ -188,17 +192,27 @@ def _score(nodes: list[_Node]) -> list[_Node]:
     return list(scored.values())
 
 
+def _has(node: _Node, tag: str) -> bool:
+    stack = [node]
+    while stack:
+        at = stack.pop()
+        if at.tag == tag and not at.gone and not at.aside:
+            return True
+        stack += [i for i in at.items if not isinstance(i, str)]
+    return False
+
+
 def _kept(best: _Node) -> list[_Node]:
     """The best container and the siblings that belong to it, in page order."""
     if best.parent is None or best.tag == "body":
         return [best]
-    least, out = max(10.0, _LEAST_SIBLING * best.score), []
+    least, out, titled = max(10.0, _LEAST_SIBLING * best.score), [], _has(best, "h1")
     for item in best.parent.items:
         if item is best:
             out.append(item)
         elif isinstance(item, str) or item.gone or item.aside:
             continue
-        elif item.tag == "h1" or item.score >= least and item.tag not in ("table", "ul", "ol", "dl"):
+        elif item.tag == "h1" and not titled or item.score >= least and item.tag not in ("table", "ul", "ol", "dl"):
             out.append(item)
         elif item.tag in _PARAGRAPHS - {"li"} and item.text > 80 and item.links * 4 < item.text:
             out.append(item)
