@@ -275,11 +275,33 @@ PREFIX_FIXES = {
     "base32_": "add a base32 view", "hex_": "add a hex view", "url_": "decode percent escapes",
     "double_url_": "decode percent escapes twice", "shy_": "strip soft hyphens", "wj_": "strip word joiners",
 }
+# What a family does to a value, and what undoes it where the technique has no line of its own.
+FAMILY_NOTES = {
+    "unicode_encoding": ("characters are replaced by look-alikes, entities or invisible ones", "fold characters to ASCII before matching"),
+    "delimiter": ("groups of the value are joined by other delimiters", "match on the value without delimiters"),
+    "splitting": ("the value is broken up by markup, noise or line breaks", "strip markup and join lines before matching"),
+    "leetspeak": ("letters are written as digits and signs", "match a second view with signs read as letters"),
+    "regional_digits": ("digits come from other scripts", "map decimal digits to ASCII"),
+    "structural": ("the value is padded, cut, repeated or re-cased", "match inside longer runs and without regard to case"),
+    "encoding": ("the value is encoded once", "decode likely encodings and match the result"),
+    "encoding_chains": ("the value is encoded twice", "decode in layers and match every layer"),
+    "context_injection": ("the value stands within a sentence or record", "match inside running text, not whole fields alone"),
+    "bidirectional": ("direction marks surround or cut the value", "strip direction marks"),
+    "morse_code": ("digits are written in Morse code", "decode Morse digits"),
+    "soft_hyphen": ("invisible hyphens or joiners stand in the value", "strip soft hyphens and word joiners"),
+    "unicode_whitespace": ("groups are parted by unusual spaces", "map Unicode spaces to a space"),
+    "entropy_evasion": ("a secret is cut, diluted or encoded so that its entropy falls", "join adjacent strings before measuring entropy"),
+}
 GENERAL_FIX = "add a normalisation step for this technique"
+GENERAL_NOTE = "the value is changed by a transform of the user's own"
 
 
-def fix_for(technique: Column) -> Column:
+def fix_for(technique: Column, generator: Column | None = None) -> Column:
+    """By the technique's name, its beginning, its family, or the general line."""
     out = F.lit(GENERAL_FIX)
+    if generator is not None:
+        for name, (_, fix) in FAMILY_NOTES.items():
+            out = F.when(generator == name, fix).otherwise(out)
     for prefix, fix in sorted(PREFIX_FIXES.items(), key=lambda kv: len(kv[0])):
         out = F.when(technique.startswith(prefix), fix).otherwise(out)
     for name, fix in FIXES.items():
@@ -287,11 +309,19 @@ def fix_for(technique: Column) -> Column:
     return out
 
 
+def description_for(generator: Column) -> Column:
+    out = F.lit(GENERAL_NOTE)
+    for name, (note, _) in FAMILY_NOTES.items():
+        out = F.when(generator == name, note).otherwise(out)
+    return out
+
+
 def suggestions(results: DataFrame) -> DataFrame:
     """One row per failing technique."""
     return results.filter(F.col("severity") == "fail").groupBy("technique").agg(
         F.min("generator").alias("generator"), F.count("*").alias("fail")
-    ).withColumn("suggested_fix", fix_for(F.col("technique")))
+    ).withColumn("description", description_for(F.col("generator"))).withColumn(
+        "suggested_fix", fix_for(F.col("technique"), F.col("generator")))
 
 
 def feedback(results: DataFrame, examples: int = 3) -> DataFrame:

@@ -191,10 +191,14 @@ def _fix_sql() -> str:
     arms = " ".join(f"WHEN technique = '{n}' THEN {S.lit(t)}" for n, t in M.FIXES.items())
     arms += " " + " ".join(f"WHEN starts_with(technique, '{p}') THEN {S.lit(t)}" for p, t in sorted(
         M.PREFIX_FIXES.items(), key=lambda kv: -len(kv[0])))
+    arms += " " + " ".join(f"WHEN generator = '{g}' THEN {S.lit(fix)}" for g, (_, fix) in M.FAMILY_NOTES.items())
     return f"CASE {arms} ELSE {S.lit(M.GENERAL_FIX)} END"
 
 
-@query("score_suggestions", R + f"SELECT technique, generator, fail, {_fix_sql()} AS suggested_fix FROM (SELECT technique, min(generator) AS generator, count(*) AS fail FROM results WHERE severity = 'fail' GROUP BY technique)")
+_NOTE = "CASE " + " ".join(f"WHEN generator = '{g}' THEN {S.lit(note)}" for g, (note, _) in M.FAMILY_NOTES.items()) + f" ELSE {S.lit(M.GENERAL_NOTE)} END"
+
+
+@query("score_suggestions", R + f"SELECT technique, generator, fail, {_NOTE} AS description, {_fix_sql()} AS suggested_fix FROM (SELECT technique, min(generator) AS generator, count(*) AS fail FROM results WHERE severity = 'fail' GROUP BY technique)")
 def score_suggestions(spark, sf_dir):
     return M.suggestions(_out(spark, sf_dir))
 

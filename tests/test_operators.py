@@ -200,6 +200,17 @@ def test_tiers_nest_and_are_complete(spark):
     assert len(set(K.TIER_CORE_EXTRA)) == 72 and len(K.TIER_BANKING) == 71
 
 
+def test_every_technique_has_a_fix(spark):
+    from detectlab.operators import scoring as M
+
+    rows = technique_catalogue(spark).select("generator", "technique", M.fix_for(F.col("technique"), F.col("generator")).alias("fix"),
+                                             M.description_for(F.col("generator")).alias("note")).collect()
+    assert {r.generator for r in rows} == set(FAMILIES) and not any(r.fix == M.GENERAL_FIX or r.note == M.GENERAL_NOTE for r in rows)
+    fixes = {r.technique: r.fix for r in rows}
+    assert fixes["rlo_wrap"] == "strip direction marks" and fixes["entropy_split"] == "join adjacent strings before measuring entropy"
+    assert fixes["regional_thai"] == "map decimal digits to ASCII"
+
+
 def test_groups(spark):
     pairs = {"pc_gdpr": "Classification", "geohash": "PII", "monero": "Crypto", "reg_sar": "Regulatory & Legal", "bearer_token": "Secrets & Credentials",
              "zw_id": "Middle East & Africa IDs", "uae_eid": "Middle East & Africa IDs", "ua_id": "European IDs", "jm_trn": "Latin America IDs",
