@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from detectlab.llm.common import map_texts
+from detectlab.llm.common import fresh, map_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of a cache; a full one starts anew.
@@ -276,7 +276,6 @@ def encoded(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
         return one
 
-    taken = [c for c in docs.columns if c.lower() not in ("token_ids", "n_tokens")]
-    return docs.select(*[F.col(f"`{c}`") for c in taken], map_texts(make, schema)(F.col(text_col)).alias("__r")).select(
-        *[F.col(f"`{c}`") for c in taken], "__r.*"
-    )
+    taken = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("token_ids", "n_tokens")]
+    name = fresh(docs, "encoded")
+    return docs.select(*taken, map_texts(make, schema)(F.col(text_col)).alias(name)).select(*taken, f"{name}.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from detectlab.llm.common import map_texts, materialise, space_words
+from detectlab.llm.common import fresh, map_texts, materialise, space_words
 from detectlab.llm.components import connected_components
 
 BITS, SEGMENTS, MAX_DISTANCE = 64, 4, 2
@@ -95,5 +95,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows whose id is the least of their group; all columns stay. Of rows that repeat that id each one stays."""
     groups = near_duplicates(docs, id_col, text_col, shingle)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first_id")).distinct()
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("__first_id")), "left_semi")
+    name = fresh(docs, "first_id")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(first, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
