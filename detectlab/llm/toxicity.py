@@ -63,7 +63,7 @@ _CLASS = bytes(
 _SPELT = b"a a a a"
 _BETWEEN = re.compile(rb"a1+a")
 _NOT_LETTERS = bytes(b if (97 <= b <= 122 or b >= 128) else 32 for b in range(256))
-_LONGEST, _LONGEST_TOKEN = 64, 200
+_LONGEST, _LONGEST_TOKEN = 40, 200
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -127,7 +127,7 @@ class Restorer:
                 self.cache.clear()
             letters = sum(c.isalpha() for c in word)
             # Numbers, keys and very long strings are no disguised words.
-            plain = 2 * letters < len(word.replace(" ", "")) or letters > _LONGEST
+            plain = 3 * letters < len(word.replace(" ", "")) or len(word) > _LONGEST
             known = self.cache[word] = word if plain else self._decode(word)
         return known
 

@@ -233,7 +233,8 @@ def test_restoring():
     assert restore("the 1d10t and the c|own") == "the idiot and the clown"
     assert restore("you l o s e r !") == "you loser !"
     assert restore("l.o.s.e.r") == "loser" and restore("looooser") == "loser"
-    assert restore("hello the 555-6503 athe*** a|b") == "hello the 555-6503 athe*** a|b" or "athe***" in restore("athe***")
+    # Numbers, keys and signs at the end of a word are left alone.
+    assert restore("hello the 555-6503 athe*** 24be64439e3e49cf46b2d7c90f3602a3d0b907ff1") == "hello the 555-6503 athe*** 24be64439e3e49cf46b2d7c90f3602a3d0b907ff1"
 
 
 def test_held_out_quality(spark, sf):
