@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -23,6 +24,16 @@ def uniform(seed: int, salt: str, row_id: Column) -> Column:
     return _hex_int(F.md5(_key(seed, salt, row_id)), 1, 8) / F.lit(4294967296.0)
 
 
+def uniform_of(seed: int, salt: str, row_id: int) -> float:
+    """The same number on the driver, for parameters that are drawn while a plan is made."""
+    return int(hashlib.md5(f"{seed}|{salt}|{row_id}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def permutation_of(seed: int, salt: str, row_id: int, items: Sequence[str]) -> list[str]:
+    keyed = [(hashlib.md5(f"{seed}|{salt}.{i}|{row_id}".encode()).hexdigest(), item) for i, item in enumerate(items)]
+    return [item for _, item in sorted(keyed)]
+
+
 def below(seed: int, salt: str, row_id: Column, n: int | Column) -> Column:
     """Whole number in [0, n)."""
     n = F.lit(n) if isinstance(n, int) else n

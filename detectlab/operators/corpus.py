@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from detectlab.functions import draws as D
@@ -232,14 +232,13 @@ def embed(corpus: DataFrame, seed: int, keyword_rate: float, language: str = "en
         "embedded_text", F.when(~own & drawn, wrapped).otherwise(F.col("variant_value")))
 
 
-def random_parameters(spark: SparkSession, seed: int, categories: Sequence[str]) -> dict:
-    """2 to 5 categories and both rates in [0.2, 0.8], drawn from the seed on a one-row table."""
-    one = spark.range(1)
-    order = one.select(D.permutation(seed, "mode.categories", F.col("id"), sorted(categories)),
-                       D.between(seed, "mode.n", F.col("id"), 2, min(5, len(categories))),
-                       D.uniform(seed, "mode.evasion", F.col("id")), D.uniform(seed, "mode.keyword", F.col("id"))).first()
-    return {"categories": sorted(order[0][:order[1]]), "evasion_rate": 0.2 + 0.6 * order[2],
-            "keyword_rate": 0.2 + 0.6 * order[3]}
+def random_parameters(seed: int, categories: Sequence[str]) -> dict:
+    """2 to 5 categories and both rates in [0.2, 0.8], drawn from the seed."""
+    most = min(5, len(categories))
+    n = 2 + int(D.uniform_of(seed, "mode.n", 0) * (most - 2 + 1))
+    order = D.permutation_of(seed, "mode.categories", 0, sorted(categories))
+    return {"categories": sorted(order[:n]), "evasion_rate": 0.2 + 0.6 * D.uniform_of(seed, "mode.evasion", 0),
+            "keyword_rate": 0.2 + 0.6 * D.uniform_of(seed, "mode.keyword", 0)}
 
 
 def summarise(corpus: DataFrame) -> DataFrame:

@@ -174,7 +174,3 @@ def restrict_by_history(techniques: DataFrame, history: DataFrame, limit: float
 def observed_rates(catalogue: DataFrame, history: DataFrame) -> DataFrame:
     """The technique catalogue with the rate seen last; null where it never ran."""
     return catalogue.join(history.select("technique", F.col("latest").alias("observed_rate")), "technique", "left")
-
-
-def labels_of(runs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return runs.select(*columns).distinct()

@@ -413,11 +413,3 @@ def top_caught(results: DataFrame, n: int = 5, given: DataFrame | None = None, e
     rates = given if given is not None else technique_rates(results)
     order = F.asc("pass_rate") if evading else F.desc("pass_rate")
     return rates.orderBy(order, "technique_name").limit(n)
-
-
-def group_report(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts and all three rates for any grouping."""
-    return results.groupBy(*keys).agg(*tallies()).withColumn(
-        "detection_rate_all", ratio(F.col("pass"), F.col("total"))).withColumn(
-        "evasion_rate_tested", ratio(F.col("fail"), _tested())).withColumn(
-        "bypass_rate_all", ratio(F.col("fail"), F.col("total")))

@@ -303,7 +303,7 @@ def _mode_sql() -> str:
 @query("corpus_random_mode", _mode_sql())
 def corpus_random_mode(spark, sf_dir):
     """Categories and rates drawn from the seed."""
-    drawn = G.random_parameters(spark, SEED, CORPUS_CATEGORIES)
+    drawn = G.random_parameters(SEED, CORPUS_CATEGORIES)
     chosen = entries(spark, sf_dir).filter(F.col("category").isin(*drawn["categories"]))
     return G.summarise(G.build_corpus(chosen, seed=SEED, evasion_rate=drawn["evasion_rate"], keyword_rate=drawn["keyword_rate"], families=PICK))
 

@@ -219,10 +219,6 @@ def sql_table(corpus: DataFrame, seed: int = 42) -> DataFrame:
         *[F.when(cat.isin(*cats), _field_value()).alias(name) for name, cats in by_field.items()])
 
 
-def quote_sql(value: Column) -> Column:
-    """A SQL text literal: quotes and backslashes doubled."""
-    return F.concat(F.lit("'"), F.replace(F.replace(value, F.lit("'"), F.lit("''")), F.lit("\\"), F.lit("\\\\")), F.lit("'"))
-
 
 # Layouts of text documents: header, line and footer. ``{category}`` and ``{text}`` are filled per line.
 LAYOUTS = {
