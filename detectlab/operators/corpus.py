@@ -13,7 +13,7 @@ from detectlab.functions.nearmiss import near_miss, wrap_in_context
 from detectlab.functions.synth import SYNTHS, corpus_card, synth
 from detectlab.functions.text import alnum, let
 from detectlab.operators import variants as X
-from detectlab.operators.history import NEUTRAL
+from detectlab.operators.history import NEUTRAL, SEED_WEIGHTS
 from detectlab.operators.rates import null_safe_join, number_in_group, pct
 
 EVASION_MODES = ("random", "weighted", "adversarial", "exhaustive")
@@ -124,12 +124,17 @@ def emits(generator: str, value: Column, techniques: Sequence[str] | None = None
 
 def family_weights(mode: str, expected: dict[str, float] | None, families: Sequence[str],
                    mix: dict[str, float] | None = None) -> dict[str, float]:
-    """Weight per family. ``expected`` is the expected pass rate per family (history blended with priors)."""
+    """Weight per family. ``expected`` is the expected pass rate per family (history blended with priors).
+
+    Without any history the priors stand alone, as in ``history.blend_seeds``.
+    """
     if mode not in EVASION_MODES:
         raise ValueError(f"unknown evasion mode {mode!r}; one of {', '.join(EVASION_MODES)}")
     if mix:
         return {g: w for g, w in mix.items() if w > 0 and g in families}
-    rate = lambda g: (expected or {}).get(g, NEUTRAL)
+    if expected is None:
+        expected = {g: 1 - SEED_WEIGHTS.get(g, NEUTRAL) for g in families}
+    rate = lambda g: expected.get(g, NEUTRAL)
     if mode == "weighted":
         return {g: max(1.0 - rate(g), WEIGHT_FLOOR) for g in families}
     if mode == "adversarial":

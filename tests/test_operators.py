@@ -211,6 +211,13 @@ def test_every_technique_has_a_fix(spark):
     assert fixes["regional_thai"] == "map decimal digits to ASCII"
 
 
+def test_weights_without_history_follow_the_priors():
+    weights = G.family_weights("weighted", None, ["bidirectional", "context_injection", "own"])
+    assert {g: round(w, 9) for g, w in weights.items()} == {"bidirectional": 0.76, "context_injection": 0.4, "own": 0.5}
+    assert set(G.family_weights("adversarial", None, ["bidirectional", "context_injection"])) == {"bidirectional"}
+    assert set(G.family_weights("weighted", {}, ["bidirectional"]).values()) == {0.5}
+
+
 def test_groups(spark):
     pairs = {"pc_gdpr": "Classification", "geohash": "PII", "monero": "Crypto", "reg_sar": "Regulatory & Legal", "bearer_token": "Secrets & Credentials",
              "zw_id": "Middle East & Africa IDs", "uae_eid": "Middle East & Africa IDs", "ua_id": "European IDs", "jm_trn": "Latin America IDs",
