@@ -37,7 +37,7 @@ from detectlab.llm.common import fresh, map_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of a cache; a full one starts anew.
-CACHE_WORDS, CACHE_CHUNKS = 100_000, 1_200_000
+CACHE_WORDS, CACHE_CHUNKS, CACHE_ARCS = 100_000, 900_000, 300_000
 
 #: White space as the pre-tokenizer has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -136,7 +136,7 @@ class Automaton:
     def _follows(self, s: int, t: int) -> bool:
         known = self.arcs.get((s, t))
         if known is None:
-            if len(self.arcs) > CACHE_CHUNKS:
+            if len(self.arcs) >= CACHE_ARCS:
                 self.arcs.clear()
             known = self.arcs[s, t] = self._arc(s, t, 1 << 60)
         return known
