@@ -1,9 +1,10 @@
 """Toxicity by a noisy channel: restore disguised words with a character model, then score the restored text.
 
 1. A character trigram model is counted over all words of all documents.
-2. Strings that look disguised (symbols or digits between letters, letters spelt out with separators, a letter three or
-   more times in a row) become a lattice: a symbol is one of the letters that it stands for or a break, a repeated letter
-   is kept or skipped, a separator between single letters is skipped. Viterbi search finds the likeliest reading.
+2. Strings that look disguised (symbols or digits beside letters, letters and symbols spelt out with separators, a letter
+   three or more times in a row) become a lattice: a symbol is one of the letters that it stands for or a break, a repeated
+   letter is kept or skipped, a separator between single letters is skipped or a break. Viterbi search finds the likeliest
+   reading. Long strings are cut where their words are joined; none is left out for its length but keys and numbers.
 3. Words and word beginnings of the restored text that tell toxic from other documents get a weight, and a logistic
    regression on how many there are, how strong and how dense gives the score.
 
@@ -50,20 +51,25 @@ for _c in range(0x250):
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i"}
 _SIGN_COST, _BREAK_COST, _KEEP_COST, _SKIP_COST = -0.7, -6.0, -2.0, -0.2
+_EDGE_COST = -3.0  # a break at the edge of a word, where signs are mostly what they seem
+_PUNCTUATION = frozenset("!|+(*")
 _SIGN_SET = re.escape("".join(SIGNS))
-_SPELT_OUT = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])", re.IGNORECASE)  # letters one by one
+_LETTER = r"[^\W\d_]"
+_PLAIN_SIGNS = re.escape("".join(c for c in SIGNS if c not in _PUNCTUATION))
+# Letters one by one, signs among them.
+_SPELT_OUT = re.compile(
+    rf"(?<![^\W_])(?:{_LETTER}|[{_PLAIN_SIGNS}])[ .\-_*](?:(?:{_LETTER}|[{_SIGN_SET}])[ .\-_*]){{2,}}"
+    rf"(?:{_LETTER}|[{_PLAIN_SIGNS}])(?![^\W_])")
 _TOKEN = re.compile(r"\S+")
-_INNER = re.compile(  # signs between letters, or a letter three times in a row
-    rf"[^\W\d_][{_SIGN_SET}*._\-]*[{_SIGN_SET}*][{_SIGN_SET}*._\-]*[^\W\d_]|([^\W\d_])\1\1", re.IGNORECASE
+_INNER = re.compile(  # a letter and a sign with nothing but separators between, or a letter three times in a row
+    rf"{_LETTER}[*._\-]*[{_SIGN_SET}]|[{_SIGN_SET}][*._\-]*{_LETTER}|{_LETTER}\*+{_LETTER}|({_LETTER})\1\1"
 )
-_CLASS = bytes(
-    97 if (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else 49 if chr(b) in SIGNS or b == 42 else 32 if b in b" .-_" else 35
-    for b in range(256)
-)
-_SPELT = b"a a a a"
-_BETWEEN = re.compile(rb"a1+a")
+_PIECES = re.compile(rf"(?:\w|[{_SIGN_SET}.\-_*])+")
+_JOINS = re.compile(r"(?<=[^\s.\-_*]{2})[.\-_*]+|[.\-_*]+(?=[^\s.\-_*]{2})")
+_LONG_RUN = re.compile(rf"({_LETTER})\1{{3,}}")
 _NOT_LETTERS = bytes(b if (97 <= b <= 122 or b >= 128) else 32 for b in range(256))
-_LONGEST, _LONGEST_TOKEN = 40, 200
+#: Longer words without separators are keys where a fifth of the characters are signs or digits.
+_LONGEST = 40
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -97,78 +103,135 @@ def character_model(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 5 * pairs[None, :, :]) / (three.sum(axis=2, keepdims=True) + 5)).astype(np.float32)
 
 
+_KIND = bytes(97 if (97 <= b <= 122 or b >= 128) else 49 if chr(b) in SIGNS else 35 for b in range(256))
+_SPELT_KIND = bytes(97 if (97 <= b <= 122 or b >= 128 or chr(b) in SIGNS) else 32 if b in b" .-_*" else 35 for b in range(256))
+_TRIPLE = re.compile(r"([^\x00-\x7f])\1\1")
+
+
+def disguised(text: str) -> tuple[bool, bool]:
+    """Whether ``text``, in lower case, may hold words spelt out, and other disguised words; true wherever there are any."""
+    data = text.encode()
+    # A character is one byte without the bytes that continue it.
+    spelt = b"a a a a" in data.translate(_SPELT_KIND, bytes(range(128, 192)))
+    kinds = data.translate(_KIND, b"._-*")
+    if b"a1" in kinds or b"1a" in kinds or b"*" in data:
+        return spelt, True
+    if not data.isascii() and ("€" in text or "¡" in text or _TRIPLE.search(text)):
+        return spelt, True
+    raw = np.frombuffer(data, dtype=np.uint8)
+    same = raw[1:] == raw[:-1]
+    return spelt, bool((same[1:] & same[:-1] & (raw[2:] >= 97)).any())
+
+
 class Restorer:
     """Viterbi decoding of disguised strings, in lower case."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
-        self.cache: dict[str, str] = {}
+        self.model = model.ravel().tolist()
+        self.cache: dict[tuple[str, bool], str] = {}
 
     def restore(self, text: str) -> str:
         """``text`` in lower case, disguised strings in their likeliest reading."""
-        data = text.encode()
-        kinds = data.translate(_CLASS)
-        raw = np.frombuffer(data, dtype=np.uint8)
-        same = raw[1:] == raw[:-1]
-        if _SPELT not in kinds.replace(b"1", b" ") and not _BETWEEN.search(kinds) and not (
-            (same[1:] & same[:-1]) & (np.frombuffer(kinds, dtype=np.uint8)[2:] == 97)
-        ).any():
-            return text
-        text = _SPELT_OUT.sub(lambda m: self._reading(m.group()), text)
-        return _TOKEN.sub(lambda m: self._token(m.group()), text)
+        return self.decoded(text, *disguised(text))
 
-    def _token(self, word: str) -> str:
-        return self._reading(word) if len(word) <= _LONGEST_TOKEN and _INNER.search(word) else word
+    def decoded(self, text: str, spelt: bool = True, other: bool = True) -> str:
+        """``restore`` without the gate."""
+        if spelt:
+            text = _SPELT_OUT.sub(lambda m: self._reading(m.group(), True), text)
+        return _TOKEN.sub(lambda m: self._token(m.group()), text) if other else text
 
-    def _reading(self, word: str) -> str:
-        known = self.cache.get(word)
+    def _token(self, word: str) -> str:
+        # No word begins or ends in the same letter three times, so such signs are none.
+        start, stop = 0, len(word)
+        while stop - start >= 3 and not word[start].isalnum() and word[start] == word[start + 1] == word[start + 2]:
+            start = stop - len(word[start:stop].lstrip(word[start]))
+        while stop - start >= 3 and not word[stop - 1].isalnum() and word[stop - 1] == word[stop - 2] == word[stop - 3]:
+            stop = start + len(word[start:stop].rstrip(word[stop - 1]))
+        return word[:start] + self._core(word[start:stop]) + word[stop:]
+
+    def _core(self, word: str) -> str:
+        if not _INNER.search(word):
+            return word
+        if len(word) <= _LONGEST:
+            return self._reading(word)
+        return _PIECES.sub(lambda m: self._piece(m.group()), word)
+
+    def _piece(self, word: str) -> str:
+        """A piece of a long string; pieces that are long themselves fall apart where their words are joined."""
+        word = _LONG_RUN.sub(r"\1\1\1", word)
+        if len(word) <= _LONGEST:
+            return self._reading(word) if _INNER.search(word) else word
+        parts, at = [], 0
+        for join in [*_JOINS.finditer(word), None]:
+            part = word[at : join.start() if join else len(word)]
+            parts.append(self._reading(part) if _INNER.search(part) else part)
+            if join:
+                parts.append(join.group())
+                at = join.end()
+        return "".join(parts)
+
+    def _reading(self, word: str, spelt: bool = False) -> str:
+        known = self.cache.get((word, spelt))
         if known is None:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
-            letters = sum(c.isalpha() for c in word)
-            # Numbers, keys and very long strings are no disguised words.
-            plain = 3 * letters < len(word.replace(" ", "")) or len(word) > _LONGEST
-            known = self.cache[word] = word if plain else self._decode(word)
+            short = _LONG_RUN.sub(r"\1\1\1", word)
+            letters = sum(c.isalpha() for c in short)
+            told = sum(c.isalnum() or c in SIGNS for c in short)
+            # Numbers and keys are no disguised words.
+            plain = 3 * letters < told or spelt and 2 * letters < told
+            key = not spelt and len(short) > _LONGEST and 5 * (told - letters) >= len(short)
+            known = word if plain or key else self._decode(short, spelt)
+            if len(word) <= 200:
+                self.cache[word, spelt] = known
         return known
 
-    def _options(self, word: str) -> list[list[tuple[str, float]]]:
+    def _options(self, word: str, spelt: bool) -> list[list[tuple[str, float]]]:
         """For each sign of the word what it may be: a letter, a break, or nothing."""
-        spelt = bool(re.fullmatch(r"(?:[^\W\d_][ .\-_*])+[^\W\d_]", word))
         out, start, stop = [], 0, len(word)
-        while start < stop and not word[start].isalnum():
+        while start < stop and not (word[start].isalnum() or word[start] in SIGNS):
             start += 1
-        while stop > start and not word[stop - 1].isalnum():
+        while stop > start and not (word[stop - 1].isalnum() or word[stop - 1] in SIGNS):
             stop -= 1
+        first = next((i for i in range(start, stop) if word[i].isalpha()), stop)
+        last = next((i for i in range(stop - 1, start - 1, -1) if word[i].isalpha()), start)
         for i in range(start, stop):
             c = word[i]
             if c.isalpha():
                 run = i - len(word[start:i].rstrip(c)) - start
                 again = i > start and word[i - 1] == c and (run >= 2 or word[i + 1 : i + 2] == c)
                 out.append([(c, _KEEP_COST), ("", _SKIP_COST)] if again else [(c, 0.0)])
-            elif spelt:
-                out.append([("", 0.0)])
             elif c in SIGNS:
-                out.append([*((x, _SIGN_COST) for x in SIGNS[c]), (" ", _BREAK_COST)])
+                inside = first < i < last
+                cost = _BREAK_COST if inside else _SIGN_COST if c in _PUNCTUATION else _EDGE_COST
+                out.append([*((x, _SIGN_COST) for x in SIGNS[c]), (" ", cost)])
+            elif spelt:
+                out.append([("", 0.0), (" ", _SKIP_COST)])
             else:
                 out.append([("", _SKIP_COST), (" ", _KEEP_COST)])
         return out
 
-    def _decode(self, word: str) -> str:
+    def _decode(self, word: str, spelt: bool = False) -> str:
         model, code = self.model, _CODE
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self._options(word):
+        places, first, a, b = self._options(word, spelt), 0, 0, 0
+        # Letters before the first choice are as they are.
+        while first < len(places) and len(places[first]) == 1:
+            a, b = b, code.get(places[first][0][0], OTHER)
+            first += 1
+        best: dict[tuple[int, int], tuple[float, str]] = {(a, b): (0.0, "".join(o[0][0] for o in places[:first]))}
+        for options in places[first:]:
             step: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, read) in best.items():
                 for letter, cost in options:
                     if letter:
                         c = code.get(letter, OTHER)
-                        state, value, path = (b, c), score + cost + float(model[a, b, c]), read + letter
+                        state, value, path = (b, c), score + cost + model[(a * WIDTH + b) * WIDTH + c], read + letter
                     else:
                         state, value, path = (a, b), score + cost, read
                     if state not in step or step[state] < (value, path):
                         step[state] = (value, path)
             best = step
-        return max((score + float(model[a, b, 0]), read) for (a, b), (score, read) in best.items())[1]
+        return max((score + model[(a * WIDTH + b) * WIDTH], read) for (a, b), (score, read) in best.items())[1]
 
 
 @dataclass
