@@ -2,8 +2,10 @@
 
 Paragraphs (and loose text of a container, as if it stood in one) earn points for length and commas and pass them to their
 ancestors: all to the parent, half to its parent, less above. A container's score is discounted by its link density. The
-best container is kept with those siblings that look like more of the article. Within what is kept, menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments go, told by element, role or the words of class and id.
+best container is kept with those siblings that look like more of the article; inside an article or main element, with all
+that is not link-dense. Within what is kept, menus, headers, footers, sidebars, notices, adverts, forms and reader comments go,
+told by element, role or the words of class and id. A form, or an element told by such words, that holds most of the page's text
+is unwrapped, unless it is named as reader comments or the page's article or title stands elsewhere.
 
 Blocks are joined by one space; white space within a block is one space; inline elements add none. Nothing is cut off.
 
@@ -56,40 +58,46 @@ _ASIDE_WORDS = frozenset(
 #: Parts of words that say the same when they are written together, as in ``rightsidebar``.
 _ASIDE_STEMS = ("sidebar", "sidenav", "navbar", "breadcrumb", "masthead", "comment", "cookie", "advert", "newsletter", "disqus")
 _ARTICLE_WORDS = frozenset(["commentary", "commented", "uncommented"])
+_COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 _LEAST_SIBLING = 0.2
+NAMED, CERTAIN = 1, 2
+NAMED, CERTAIN = 1, 2
 
 
 class _Node:
     __slots__ = ("tag", "parent", "items", "gone", "score", "text", "links", "aside")
 
-    def __init__(self, tag: str, parent: _Node | None, gone: bool, aside: bool):
+    def __init__(self, tag: str, parent: _Node | None, gone: bool, aside: int):
         self.tag, self.parent, self.gone, self.aside = tag, parent, gone, aside
         self.items: list[str | _Node] = []
         self.score, self.text, self.links = 0.0, 0, 0
 
 
-def _is_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Told by role or by a word of class or id; the page's frame is never one."""
+def _is_aside(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """Told by role (CERTAIN) or by a word of class or id (NAMED; CERTAIN for comments); the page's frame is never one."""
     if tag in ("html", "body"):
-        return False
+        return 0
+    found = 0
     for name, value in attrs:
         if name in ("class", "id") and value:
             words = {w.lower() for w in _PARTS.findall(value)}
             if not _ASIDE_WORDS.isdisjoint(words) or any(s in w for w in words - _ARTICLE_WORDS for s in _ASIDE_STEMS):
-                return True
+                comments = not _COMMENT_WORDS.isdisjoint(words) or any("comment" in w for w in words - _ARTICLE_WORDS)
+                found = CERTAIN if comments else max(found, NAMED)
         elif name == "role" and value and value.strip().lower() in _ROLES:
-            return True
+            return CERTAIN
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return CERTAIN
         elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return CERTAIN
+    return found
 
 
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.open = _Node("html", None, False, False)
+        self.root = self.open = _Node("html", None, False, 0)
         self.nodes = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -105,7 +113,7 @@ class _Tree(HTMLParser):
             if tag == "html":
                 return
         parent = self.open
-        node = _Node(tag, parent, parent.gone or tag in _NEVER, _is_aside(tag, attrs))
+        node = _Node(tag, parent, tag in _NEVER, _is_aside(tag, attrs))
         parent.items.append(node)
         self.nodes.append(node)
         if tag not in _VOID:
@@ -152,6 +160,51 @@ def _own_text(node: _Node) -> str:
     return "".join(out)
 
 
+def _within(node: _Node, other: _Node) -> bool:
+    at: _Node | None = node
+    while at is not None and at is not other:
+        at = at.parent
+    return at is not None
+
+
+def _unwrap(nodes: list[_Node]) -> None:
+    """Forms and elements with an aside's name that hold most of the page's text, without links, are containers like others."""
+    if not any(n.tag == "form" or n.aside == NAMED for n in nodes):
+        return
+    held: dict[int, int] = {}
+    for node in reversed(nodes):
+        if node.tag == "a" or node.aside == CERTAIN or node.gone and node.tag != "form":
+            held[id(node)] = 0
+            continue
+        total = held[id(node)] = held.get(id(node), 0) + sum(_length(i) for i in node.items if isinstance(i, str))
+        if node.parent is not None:
+            held[id(node.parent)] = held.get(id(node.parent), 0) + total
+    marks = [n for n in nodes if n.tag in ("article", "main", "h1") and held[id(n)]]
+    for node in nodes:
+        if not (node.tag == "form" or node.aside == NAMED) or node.aside == CERTAIN or 2 * held[id(node)] <= held[id(nodes[0])]:
+            continue
+        # An article, or a title, that stands elsewhere says that this is none.
+        if all(_within(m, node) or m.tag != "h1" and _within(node, m) for m in marks):
+            node.aside, node.gone = 0, node.gone and node.tag != "form"
+
+
+def _unwrap(nodes: list[_Node]) -> None:
+    """Forms and elements with an aside's name that hold most of the page's text, without links, are containers like others."""
+    if not any(n.tag == "form" or n.aside == NAMED for n in nodes):
+        return
+    held: dict[int, int] = {}
+    for node in reversed(nodes):
+        if node.tag == "a" or node.aside == CERTAIN or node.gone and node.tag != "form":
+            held[id(node)] = 0
+            continue
+        total = held[id(node)] = held.get(id(node), 0) + sum(_length(i) for i in node.items if isinstance(i, str))
+        if node.parent is not None:
+            held[id(node.parent)] = held.get(id(node.parent), 0) + total
+    for node in nodes:
+        if (node.tag == "form" or node.aside == NAMED) and node.aside != CERTAIN and 2 * held[id(node)] > held[id(nodes[0])]:
+            node.aside, node.gone = 0, node.gone and node.tag != "form"
+
+
 def _measure(nodes: list[_Node]) -> None:
     """Text and link lengths, from the leaves up; what is set aside counts nowhere."""
     for node in nodes[1:]:
@@ -203,7 +256,20 @@ def _has(node: _Node, tag: str) -> bool:
 
 
 def _kept(best: _Node) -> list[_Node]:
-    """The best container and the siblings that belong to it, in page order."""
+    """The best container and what belongs to it, in page order."""
+    around = None if best.tag in ("article", "main") else best.parent
+    while around is not None and around.tag not in ("article", "main"):
+        around = around.parent
+    if around is not None:
+        at = best
+        while at is not around:
+            for item in at.parent.items:
+                if item is not at and not isinstance(item, str) and item.tag in _BLOCKS and 2 * item.links > item.text:
+                    item.gone = True
+            at = at.parent
+        titled = around.parent is None or _has(around, "h1")
+        return [i for i in (around.parent.items if around.parent else [around])
+                if i is around or not titled and not isinstance(i, str) and i.tag == "h1"]
     if best.parent is None or best.tag == "body":
         return [best]
     least, out, titled = max(10.0, _LEAST_SIBLING * best.score), [], _has(best, "h1")
@@ -248,6 +314,8 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _unwrap(tree.nodes)
+    _unwrap(tree.nodes)
     _measure(tree.nodes)
     scored = _score(tree.nodes)
     if not scored:
