@@ -184,7 +184,8 @@ def _unwrap(nodes: list[_Node]) -> None:
         if not (node.tag == "form" or node.aside == NAMED) or node.aside == CERTAIN or 2 * held[id(node)] <= held[id(nodes[0])]:
             continue
         # An article, or a title, that stands elsewhere says that this is none.
-        if all(_within(m, node) or m.tag != "h1" and _within(node, m) for m in marks):
+        placed = [_within(m, node) or m.tag != "h1" and _within(node, m) for m in marks]
+        if all(placed) and (placed or node.tag == "form"):
             node.aside, node.gone = 0, node.gone and node.tag != "form"
 
 
