@@ -59,10 +59,8 @@ _ASIDE_WORDS = frozenset(
 _ASIDE_STEMS = ("sidebar", "sidenav", "navbar", "breadcrumb", "masthead", "comment", "cookie", "advert", "newsletter", "disqus")
 _ARTICLE_WORDS = frozenset(["commentary", "commented", "uncommented"])
 _COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
-_COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 _LEAST_SIBLING = 0.2
 NAMED, CERTAIN = 1, 2
-NAMED, CERTAIN = 1, 2
 
 
 class _Node:
@@ -189,23 +187,6 @@ def _unwrap(nodes: list[_Node]) -> None:
             node.aside, node.gone = 0, node.gone and node.tag != "form"
 
 
-def _unwrap(nodes: list[_Node]) -> None:
-    """Forms and elements with an aside's name that hold most of the page's text, without links, are containers like others."""
-    if not any(n.tag == "form" or n.aside == NAMED for n in nodes):
-        return
-    held: dict[int, int] = {}
-    for node in reversed(nodes):
-        if node.tag == "a" or node.aside == CERTAIN or node.gone and node.tag != "form":
-            held[id(node)] = 0
-            continue
-        total = held[id(node)] = held.get(id(node), 0) + sum(_length(i) for i in node.items if isinstance(i, str))
-        if node.parent is not None:
-            held[id(node.parent)] = held.get(id(node.parent), 0) + total
-    for node in nodes:
-        if (node.tag == "form" or node.aside == NAMED) and node.aside != CERTAIN and 2 * held[id(node)] > held[id(nodes[0])]:
-            node.aside, node.gone = 0, node.gone and node.tag != "form"
-
-
 def _measure(nodes: list[_Node]) -> None:
     """Text and link lengths, from the leaves up; what is set aside counts nowhere."""
     for node in nodes[1:]:
@@ -316,7 +297,6 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     _unwrap(tree.nodes)
-    _unwrap(tree.nodes)
     _measure(tree.nodes)
     scored = _score(tree.nodes)
     if not scored:
