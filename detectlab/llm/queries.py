@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from detectlab.llm import bpe, decontaminate, htmltext, langid, outliers, secrets, sharding, simhash, tokenfiles, toxicity
+from detectlab.llm import (
+    bpe, decontaminate, htmltext, langid, merkle, outliers, pieces, secrets, sharding, simhash, tokenfiles, toxicity,
+)
 from detectlab.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +87,13 @@ def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verification(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(read_table(spark, sf_dir, "documents"))

@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from detectlab.llm import components, sharding, simhash, toxicity
+from detectlab.llm import components, nearcopies, sharding, simhash, toxicity
 from detectlab.llm.queries import QUERIES
 from detectlab.session import read_table
+from tests.llm.test_near_copies import roots
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -251,7 +252,7 @@ def test_pipeline_equals_its_stages(spark, sf):
     texts = {r.doc_id: r.text for r in docs.collect()}
     flagged = {r.doc_id for r in QUERIES["op10_toxicity"](spark, sf).collect() if r.predicted}
     left = {i: t for i, t in texts.items() if i not in flagged}
-    owner = groups_of({i: fingerprint(t) for i, t in left.items()})
+    owner = roots({i: nearcopies.shingles(t) for i, t in left.items()})
     left = {i: t for i, t in left.items() if owner[i] == i}
     dirty = {r.doc_id for r in QUERIES["op3_decontamination"](spark, sf).collect() if r.contaminated}
     want = set(left) - dirty
