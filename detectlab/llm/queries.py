@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from detectlab.llm import (
-    bpe, decontaminate, htmltext, langid, merkle, outliers, pieces, secrets, sharding, simhash, tokenfiles, toxicity,
+    bpe, decontaminate, dialogue, htmltext, langid, merkle, outliers, pieces, secrets, sharding, simhash, tokenfiles, toxicity,
 )
 from detectlab.session import read_table
 
@@ -89,6 +89,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = dialogue.conversations(read_table(spark, sf_dir, "conversations"))
+    return dialogue.repair_report(dialogue.damaged(turns))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verification(read_table(spark, sf_dir, "documents"))
