@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from detectlab.llm import (
-    bpe, decontaminate, dialogue, htmltext, langid, merkle, outliers, pieces, secrets, sharding, simhash, tokenfiles, toxicity,
+    bpe, decontaminate, dialogue, htmltext, langid, merkle, outliers, pieces, secrets, sharding, simhash, sql, tokenfiles, toxicity,
 )
 from detectlab.session import read_table
 
@@ -95,11 +95,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_report(dialogue.damaged(turns))
 
 
+ORACLES["op11_conversation_repair"] = sql.repair()
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verification(read_table(spark, sf_dir, "documents"))
 
 
+ORACLES["op12_merkle_manifest"] = sql.manifest()
+
+
 @query
 def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(read_table(spark, sf_dir, "documents"))
