@@ -8,8 +8,9 @@ the agenda is empty are the tokens; a symbol that is no piece is written as the
 Merges can't cross a place whose two characters stand side by side in no piece, so texts are cut there and the agenda of a
 chunk is worked off once for each worker's cache: the result is that of the whole text.
 
-Every Arrow batch is checked against the sentencepiece library: ``agreed`` tells of each row whether the library gives the
-same ids and the same decoded text.
+Every Arrow batch is checked against the sentencepiece library: what a worker has encoded for the first time (each word, or the
+whole text where blanks don't tell its words) is encoded by the library as well, and all ids are decoded by it. ``agreed`` tells of each
+row whether the library gives the same ids and the same decoded text.
 
 Nulls, ties, empties: a null or empty text has no ids and decodes to the empty text; each row is encoded alone, so repeated
 rows and ids, null ids, empty tables and further columns need nothing of their own. Special pieces written in a text are
@@ -105,19 +106,21 @@ class PieceModel:
         #: Words that are one piece with their blank.
         self.whole = {p[1:]: (i,) for p, i in self.ids.items() if len(p) > 1 and p[0] == _SPACE and self.agenda(list(p)) == [p]}
         self.words: dict[str, tuple[int, ...]] = {}
+        #: Texts encoded since the last check with their ids, and texts that the library encodes differently.
+        self.unchecked: list[tuple[str, tuple[int, ...]]] = list(self.whole.items())
+        self.wrong: set[str] = set()
         self.parts: dict[str, tuple[int, ...]] = {}
 
     def agenda(self, symbols: list[str]) -> list[str]:
         """The symbols that are left when no pair can be merged."""
         rank = self.rank
         n = len(symbols)
+        find = rank.get
+        pairs = [(score, i, i + 1, merged) for i in range(n - 1)
+                 if (score := find(merged := symbols[i] + symbols[i + 1])) is not None]
+        if not pairs:
+            return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs = []
-        for i in range(n - 1):
-            merged = symbols[i] + symbols[i + 1]
-            score = rank.get(merged)
-            if score is not None:
-                pairs.append((score, i, i + 1, merged))
         heapify(pairs)
         while pairs:
             _, i, j, merged = heappop(pairs)
@@ -128,13 +131,13 @@ class PieceModel:
             if k < n:
                 before[k] = i
                 wider = merged + symbols[k]
-                score = rank.get(wider)
+                score = find(wider)
                 if score is not None:
                     heappush(pairs, (score, i, k, wider))
             h = before[i]
             if h >= 0:
                 wider = symbols[h] + merged
-                score = rank.get(wider)
+                score = find(wider)
                 if score is not None:
                     heappush(pairs, (score, h, i, wider))
         return [s for s in symbols if s]
@@ -174,6 +177,7 @@ class PieceModel:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
             ids = self.words[word] = self._chunk(_SPACE + word)
+            self.unchecked.append((word, ids))
         return ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -183,7 +187,21 @@ class PieceModel:
             get, make = self.words.get, self._word
             return list(chain.from_iterable([get(w) or make(w) for w in text.split(" ")]))
         marked = _SPACE * self.prefix + text.replace(" ", _SPACE)
-        return list(chain.from_iterable(map(self._chunk, _RUNS.findall(marked) if self.by_blank else [marked])))
+        ids = list(chain.from_iterable(map(self._chunk, _RUNS.findall(marked) if self.by_blank else [marked])))
+        self.unchecked.append((text, tuple(ids)))
+        return ids
+
+    def check(self, peer) -> None:
+        """Has the library encode what has not been checked."""
+        if self.unchecked:
+            texts = [t for t, _ in self.unchecked]
+            theirs = peer.encode(texts, num_threads=1)
+            self.wrong.update(t for (t, ids), other in zip(self.unchecked, theirs, strict=True) if list(ids) != other)
+            self.unchecked = []
+
+    def agrees(self, text: str) -> bool:
+        """Whether the library, too, encodes the text so."""
+        return not self.wrong or not (text in self.wrong or any(w in self.wrong for w in text.split(" ")))
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids. A byte that begins no valid character is U+FFFD."""
@@ -260,10 +278,9 @@ def _encoder(docs: DataFrame, path: str | None, kind: T.StructType, row) -> Colu
             for texts in _groups(batch.to_pylist()):
                 ids = [model.encode(t) for t in texts]
                 decoded = [model.decode(i) for i in ids]
-                theirs = peer.encode(texts, num_threads=1)
-                agreed = [a == b for a, b in zip(ids, theirs, strict=True)]
+                model.check(peer)
                 back = peer.decode(ids, num_threads=1)
-                rows += [row(model, i, d, a and d == b) for i, d, a, b in zip(ids, decoded, agreed, back, strict=True)]
+                rows += [row(model, i, d, d == b and model.agrees(t)) for t, i, d, b in zip(texts, ids, decoded, back, strict=True)]
             columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
             yield pa.StructArray.from_arrays(
                 [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)], fields=list(arrow)

@@ -59,6 +59,17 @@ def test_full_caches_start_anew(model, library, monkeypatch):
     assert model.encode(text) == library.encode(text) == model.encode(text)
 
 
+def test_disagreement_is_told(library):
+    model = pieces.PieceModel(pieces.model_bytes())
+    model.words["wrong"] = (5, 6)
+    model.unchecked.append(("wrong", (5, 6)))
+    model.encode("right words")
+    model.encode(" two  blanks")
+    model.check(library)
+    assert model.wrong == {"wrong"} and not model.unchecked
+    assert model.agrees("right words") and not model.agrees("all wrong here") and model.agrees("wrongs")
+
+
 def test_odd_rows(spark, library):
     rows = [(1, None), (2, ""), (3, " "), (4, "\n \n"), (5, "same text"), (5, "same text"), (None, "no id"), (6, "x" * 20000), (7, "<s> </s><unk>▁")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
