@@ -9,8 +9,8 @@ Merges can't cross a place whose two characters stand side by side in no piece,
 chunk is worked off once for each worker's cache: the result is that of the whole text.
 
 Every Arrow batch is checked against the sentencepiece library: what a worker has encoded for the first time (each word, or the
-whole text where blanks don't tell its words) is encoded by the library as well, and all ids are decoded by it. ``agreed`` tells of each
-row whether the library gives the same ids and the same decoded text.
+whole text where blanks don't tell its words) is encoded and decoded by the library as well. ``agreed`` tells of each row whether
+the library gives the same ids and the same decoded text for all that it consists of.
 
 Nulls, ties, empties: a null or empty text has no ids and decodes to the empty text; each row is encoded alone, so repeated
 rows and ids, null ids, empty tables and further columns need nothing of their own. Special pieces written in a text are
@@ -105,7 +105,7 @@ class PieceModel:
         self.marked = [p.startswith(_SPACE) and kind == _NORMAL for p, _, kind in pieces]
         #: Words that are one piece with their blank.
         self.whole = {p[1:]: (i,) for p, i in self.ids.items() if len(p) > 1 and p[0] == _SPACE and self.agenda(list(p)) == [p]}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = dict(self.whole)
         #: Texts encoded since the last check with their ids, and texts that the library encodes differently.
         self.unchecked: list[tuple[str, tuple[int, ...]]] = list(self.whole.items())
         self.wrong: set[str] = set()
@@ -171,13 +171,12 @@ class PieceModel:
         return tuple(chain.from_iterable(map(self._part, self._cut(chunk))))
 
     def _word(self, word: str) -> tuple[int, ...]:
-        """The ids of a word with a blank before it."""
-        ids = self.whole.get(word)
-        if ids is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            ids = self.words[word] = self._chunk(_SPACE + word)
-            self.unchecked.append((word, ids))
+        """The ids of a word with a blank before it, which is not in the cache."""
+        if len(self.words) >= CACHE_WORDS + len(self.whole):
+            self.words.clear()
+            self.words.update(self.whole)
+        ids = self.words[word] = self._chunk(_SPACE + word)
+        self.unchecked.append((word, ids))
         return ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -192,11 +191,13 @@ class PieceModel:
         return ids
 
     def check(self, peer) -> None:
-        """Has the library encode what has not been checked."""
+        """Has the library encode what has not been checked, and decode its ids."""
         if self.unchecked:
             texts = [t for t, _ in self.unchecked]
             theirs = peer.encode(texts, num_threads=1)
-            self.wrong.update(t for (t, ids), other in zip(self.unchecked, theirs, strict=True) if list(ids) != other)
+            back = peer.decode(theirs, num_threads=1)
+            self.wrong.update(t for (t, ids), other, text in zip(self.unchecked, theirs, back, strict=True)
+                              if list(ids) != other or self.decode(list(ids)) != text)
             self.unchecked = []
 
     def agrees(self, text: str) -> bool:
@@ -279,8 +280,7 @@ def _encoder(docs: DataFrame, path: str | None, kind: T.StructType, row) -> Colu
                 ids = [model.encode(t) for t in texts]
                 decoded = [model.decode(i) for i in ids]
                 model.check(peer)
-                back = peer.decode(ids, num_threads=1)
-                rows += [row(model, i, d, d == b and model.agrees(t)) for t, i, d, b in zip(texts, ids, decoded, back, strict=True)]
+                rows += [row(model, i, d, model.agrees(t)) for t, i, d in zip(texts, ids, decoded, strict=True)]
             columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
             yield pa.StructArray.from_arrays(
                 [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)], fields=list(arrow)
