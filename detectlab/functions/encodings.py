@@ -84,6 +84,12 @@ def unbase32(value: Column) -> Column:
     )
 
 
+def unbase32_hex(value: Column) -> Column:
+    """The same for the alphabet of digits first."""
+    bare = F.upper(F.rtrim(value, F.lit("=")))
+    return F.when(bare.rlike("^[0-9A-V]{2,}$"), unbase32(F.translate(bare, fixed.BASE32_HEX, fixed.BASE32)))
+
+
 def bytes_text(value: Column) -> Column:
     """Bytes as UTF-8 text, null when they are not valid UTF-8."""
     return F.try_validate_utf8(value.cast("string"))

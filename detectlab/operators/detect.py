@@ -12,6 +12,7 @@ from detectlab.functions import checks as C
 from detectlab.functions import encodings as E
 from detectlab.functions import fixed
 from detectlab.functions.text import digits_only, let, starts_in_order
+from detectlab.functions.unicode import normal_form, unescape_named
 from detectlab.operators.variants import HOMOGLYPH_FROM, HOMOGLYPH_TO
 
 EXACT, CHECKED, SHAPED = 1.0, 0.95, 0.6
@@ -184,7 +185,7 @@ def code_point_text(number: Column) -> Column:
 
 
 def unescape_html(text: Column) -> Column:
-    """Numeric entities of any code point, and the five named ones."""
+    """Numeric entities of any code point, and all named ones."""
     def number(entity: Column) -> Column:
         body = F.regexp_replace(entity, "[&#;]", "")
         hexed = F.lower(F.substring(body, 1, 1)) == "x"
@@ -199,6 +200,7 @@ def unescape_html(text: Column) -> Column:
         lambda x: F.concat(x["piece"], F.coalesce(decoded(x["entity"]), F.lit(""))),
     ), "")
     out = F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
+    out = let(out, lambda t: F.when(F.contains(t, F.lit("&")), unescape_named(t)).otherwise(t))
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
     return out
@@ -226,11 +228,12 @@ def unmorse(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Undo character-level and markup-level obfuscation: entities, percent escapes (two layers), comments,
-    invisible and look-alike characters, Morse digits. Stays on the JVM."""
+    invisible and look-alike characters, compatibility forms (NFKC), Morse digits. Stays on the JVM."""
     out = unescape_html(text)
     for _ in range(2):
         out = let(out, lambda t: F.when(F.contains(t, F.lit("%")), E.unpercent(t)).otherwise(t))
-    return let(fold_characters(strip_comments(out)), unmorse)
+    folded = let(fold_characters(strip_comments(out)), lambda t: normal_form(t, "NFKC"))
+    return let(folded, unmorse)
 
 
 def compact(text: Column) -> Column:
@@ -241,15 +244,48 @@ def compact(text: Column) -> Column:
 # --- layered decoding -------------------------------------------------------------------------------------------------
 
 
-def decoded_views(text: Column) -> Column:
-    """What the text may hold under one or two layers of encoding; nulls (not that encoding) are left out."""
-    def layer(t: Column) -> list[Column]:
-        return [E.unbase64(t), E.unhex(t), E.unbase32(t), E.rot13(t)]
+#: Layers that only some texts can be; null where a text is none of them.
+_STRICT = (E.unbase64, E.unhex, E.unbase32, E.unbase32_hex, lambda t: F.when(F.contains(t, F.lit("%")), E.unpercent(t)))
+#: Layers that any text can be; beyond the second layer they would only multiply the views.
+_LOOSE = (E.rot13, F.reverse)
+MAX_LAYERS = 3
 
-    first = F.array_compact(F.array(*layer(text), F.reverse(text)))
-    second = F.array_compact(F.flatten(F.transform(first, lambda t: F.array(*layer(t)))))
-    third = F.array_compact(F.transform(second, E.unhex))
-    return F.array_distinct(F.concat(first, second, third))
+
+def _next_views(frontier: Column, seen: Column, depth: int) -> Column:
+    """The texts one layer below the frontier that have not been seen."""
+    layers = _STRICT + (_LOOSE if depth <= 2 else ())
+    below = F.flatten(F.transform(frontier, lambda t: F.array(*[layer(t) for layer in layers])))
+    return F.array_except(F.array_compact(below), seen)
+
+
+def search_views(text: Column, found: Callable[[Column], Column], max_layers: int = MAX_LAYERS) -> Column:
+    """The least number of encoding layers under which a view of the text satisfies ``found``; null if none does.
+
+    Breadth first: a layer is decoded only where no view of the layers before was found, and no text is looked at twice.
+    """
+    def at(depth: int, frontier: Column, seen: Column) -> Column:
+        def look(views: Column) -> Column:
+            hit = F.when(F.exists(views, found), F.lit(depth))
+            if depth == max_layers:
+                return hit
+            return hit.otherwise(F.when(F.size(views) > 0, let(F.concat(seen, views), lambda all_: at(depth + 1, views, all_))))
+
+        return let(_next_views(frontier, seen, depth), look)
+
+    return at(1, F.array(text), F.array(text))
+
+
+def decoded_views(text: Column, max_layers: int = MAX_LAYERS) -> Column:
+    """All texts that the text may hold under one to ``max_layers`` layers of encoding, without the text itself."""
+    def at(depth: int, frontier: Column, seen: Column) -> Column:
+        def grow(views: Column) -> Column:
+            if depth == max_layers:
+                return F.concat(seen, views)
+            return let(F.concat(seen, views), lambda all_: at(depth + 1, views, all_))
+
+        return let(_next_views(frontier, seen, depth), grow)
+
+    return F.array_except(at(1, F.array(text), F.array(text)), F.array(text))
 
 
 # --- detection runs ---------------------------------------------------------------------------------------------------
@@ -278,9 +314,9 @@ def run_detection(
         confidence = F.coalesce(confidence, let(normalise(F.col("__scanned")), lambda t: F.when(
             detects(cat, t), _confidence(cat) * 0.9).when(detects_compact(cat, compact(t)), _confidence(cat) * 0.8)))
     if decode:
-        views = decoded_views(normalise(F.col("__scanned")) if normalised else F.col("__scanned"))
-        confidence = F.coalesce(confidence, F.when(
-            F.exists(views, lambda t: detects(cat, t) | detects_compact(cat, compact(t))), _confidence(cat) * 0.7))
+        plain = normalise(F.col("__scanned")) if normalised else F.col("__scanned")
+        layers = search_views(plain, lambda t: detects(cat, t) | detects_compact(cat, compact(t)))
+        confidence = F.coalesce(confidence, F.when(layers.isNotNull(), _confidence(cat) * 0.7))
     failed = F.lit("") if error is None else F.coalesce(F.col(error), F.lit(""))
     out = rows.withColumn("__confidence", F.when(failed == "", confidence)).drop("__scanned")
     out = out.withColumn("detected", F.coalesce(F.col("__confidence") >= min_confidence, F.lit(False)))

@@ -3,37 +3,60 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detectlab.functions import fixed
+from detectlab.functions.unicode import normal_form
 from detectlab.operators.rates import pct
 
 WARN_ABOVE = 50_000
 
-# Compatibility forms that occur in the transforms: Unicode spaces and fullwidth ASCII.
-_COMPAT_FROM = "".join(fixed.UNICODE_SPACES.values()) + "".join(chr(0xFF01 + i) for i in range(94))
-_COMPAT_TO = " " * len(fixed.UNICODE_SPACES) + "".join(chr(0x21 + i) for i in range(94))
+#: Starts of runs that are looked at together; a long text is cut into so many tokens, each part with what may follow.
+WINDOW = 128
+#: Characters of a value's head.
+HEAD = 4
+#: Cells of the filter of registered values: one byte each, so many for a value, and no more than so many in all.
+CELLS_A_VALUE, MOST_CELLS = 16, 1 << 23
+
+
+#: Spaces that have no compatibility form.
+_SPACES = "".join(fixed.UNICODE_SPACES.values())
+
+
+def _folded(text: Column) -> Column:
+    return F.lower(F.translate(normal_form(text, "NFKC"), _SPACES, " " * len(_SPACES)))
 
 
 def edm_normalise(value: Column) -> Column:
-    """Compatibility forms folded, lower case, spaces and ``-./()`` removed. Look-alike letters stay different."""
-    return F.regexp_replace(F.lower(F.translate(value, _COMPAT_FROM, _COMPAT_TO)), r"[\s\-./()]+", "")
+    """Compatibility form (NFKC), lower case, spaces and ``-./()`` removed. Look-alike letters stay different."""
+    return F.regexp_replace(_folded(value), r"[\s\-./()]+", "")
 
 
 def value_hash(normalised: Column, key: str) -> Column:
     return F.sha2(F.concat(F.lit(key), normalised), 256)
 
 
+def value_probe(normalised: Column, key: str) -> Column:
+    return F.xxhash64(F.lit(key), normalised)
+
+
 def register_values(values: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """The dictionary: one row per category and hash, with the number of words a value spans and its length."""
+    """The dictionary: one row per category and hash, with the number of words a value spans and its length.
+
+    ``probe`` and ``head`` are short hashes with the same key, of the value and of its first characters, for a first look before
+    the long one is computed.
+    """
     normalised = edm_normalise(F.col(value))
     return values.filter(normalised != "").select(
         "category", "label", value_hash(normalised, key).alias("value_hash"), F.length(normalised).alias("n_chars"),
         F.size(F.split(F.trim(F.col(value)), r"\s+")).alias("n_words"),
+        value_probe(normalised, key).alias("probe"), value_probe(F.substring(normalised, 1, HEAD), key).alias("head"),
     ).groupBy("category", "value_hash").agg(
-        F.min("label").alias("label"), F.max("n_chars").alias("n_chars"), F.max("n_words").alias("n_words"))
+        F.min("label").alias("label"), F.max("n_chars").alias("n_chars"), F.max("n_words").alias("n_words"),
+        F.max("probe").alias("probe"), F.max("head").alias("head"))
 
 
 def registration_counts(dictionary: DataFrame, namespace: str = "edm") -> DataFrame:
@@ -44,52 +67,100 @@ def registration_counts(dictionary: DataFrame, namespace: str = "edm") -> DataFr
 
 
 def _tokens(text: Column) -> Column:
-    """Normalised tokens between white space, without punctuation at their ends; empty ones are left out."""
+    """Normalised tokens between white space, without punctuation at their ends; empty ones are left out.
+
+    A token of letters and digits alone is only put in lower case.
+    """
+    edges = r"""^[,;:!?"'<>\[\]{}]+|[,;:!?"'<>\[\]{}]+$"""
     cleaned = F.transform(
-        F.split(F.translate(text, _COMPAT_FROM, _COMPAT_TO), r"\s+"),
-        lambda t: edm_normalise(F.regexp_replace(t, r"""^[,;:!?"'<>\[\]{}]+|[,;:!?"'<>\[\]{}]+$""", "")),
+        F.split(_folded(text), r"\s+"),
+        lambda t: F.when(t.rlike("^[a-z0-9]*$"), t).otherwise(F.regexp_replace(F.regexp_replace(t, edges, ""), r"[\s\-./()]+", "")),
     )
     return F.filter(cleaned, lambda t: t != "")
 
 
-def _runs_from(tokens: Column, start: Column, lengths: Sequence[int]) -> Column:
-    """The runs of tokens from ``start`` (1-based) whose characters together are as many as a registered value has.
+@dataclass(frozen=True)
+class Cells:
+    """One byte for each cell that hashes fall into, by their remainder."""
+
+    flags: bytes
+
+    def holds(self, probe: Column) -> Column:
+        return F.substring(F.lit(self.flags), F.pmod(probe, F.lit(len(self.flags))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
 
-    A run grows token by token until it is longer than any value, so it has at most as many tokens as the longest value
-    has characters, however the value was typed when it was registered.
-    """
-    longest = max(lengths)
-    wanted = F.array(*[F.lit(n) for n in lengths])
-    empty = F.array().cast("array<struct<words:int,run:string>>")
-    seed = F.struct(F.lit(0).alias("words"), F.lit("").alias("run"), empty.alias("found"))
 
-    def grow(acc: Column, token: Column) -> Column:
-        run = F.when(F.length(acc["run"]) + F.length(token) <= longest, F.concat(acc["run"], token))
-        words = acc["words"] + 1
-        found = F.when(F.array_contains(wanted, F.length(run)),
-                       F.array_append(acc["found"], F.struct(words.alias("words"), run.alias("run")))).otherwise(acc["found"])
-        return F.struct(words.alias("words"), run.alias("run"), found.alias("found"))
+def cells_of(dictionary: DataFrame, column: str, values: int) -> Cells:
+    """The filter of a column of the dictionary.
 
-    return F.aggregate(F.slice(tokens, start, longest), seed, grow)["found"]
+    The driver gets a 64-bit word for 64 cells, not a value; the number of cells is bounded, and a full filter only means that
+    more runs get their long hash. The answer does not depend on it.
+    """
+    n = 1 << max(6, min(MOST_CELLS, CELLS_A_VALUE * values).bit_length() - 1)
+    cells = dictionary.select(F.pmod(column, F.lit(n)).alias("cell"))
+    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")).alias("bits"))
+    flags = bytearray(n)
+    for word, bits in words.collect():
+        for i in range(64):
+            if bits >> i & 1:
+                flags[word * 64 + i] = 1
+    return Cells(bytes(flags))
+
+
+def _windows(df: DataFrame, keys: Sequence[str], text: str, longest: int) -> DataFrame:
+    """keys, first, own, joined, places: parts of ``WINDOW`` starts with the tokens that a run from them can reach.
+
+    ``joined`` is the tokens' characters without anything between, ``places`` the number of characters before each token, and
+    their whole number last: prefix sums. ``first`` tokens stand before the part, and ``own`` of its tokens are its starts.
+    """
+    listed = df.select(*keys, _tokens(F.col(text)).alias("__t"))
+    # The outer form, so that no filter is inferred that would cut the text into tokens a second time.
+    at = listed.select(*keys, "__t", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("__t") - 1, F.lit(0)), F.lit(WINDOW))).alias("first"))
+    part = at.select(*keys, "first", F.slice("__t", F.col("first") + 1, WINDOW + longest).alias("__p"))
+    places = F.aggregate("__p", F.array(F.lit(0)), lambda acc, t: F.array_append(acc, F.element_at(acc, -1) + F.length(t)))
+    return part.select(*keys, "first", F.least(F.size("__p"), F.lit(WINDOW)).alias("own"), F.array_join("__p", "").alias("joined"), places.alias("places"))
 
 
-def _runs(df: DataFrame, keys: Sequence[str], text: str, lengths: Sequence[int]) -> DataFrame:
-    """keys, position, words, run: every run of tokens that has the length of a registered value."""
-    listed = df.select(*keys, _tokens(F.col(text)).alias("__t")).filter(F.size("__t") > 0)
-    starts = F.transform(F.sequence(F.lit(1), F.size("__t")), lambda i: F.struct(i.alias("position"), _runs_from(F.col("__t"), i, lengths).alias("runs")))
-    at = listed.select(*keys, F.inline(F.filter(starts, lambda x: F.size(x["runs"]) > 0)))
-    return at.select(*keys, "position", F.inline("runs"))
+def _runs(df: DataFrame, keys: Sequence[str], text: str, lengths: Sequence[int], key: str, heads: Cells | None, probes: Cells | None) -> DataFrame:
+    """keys, position, words, run: every run of tokens that has the length of a registered value, and may be one.
+
+    Of the starts those stay whose first characters are some value's. A run of so many characters begins at a place if the
+    place so far on is the end of a token; no run is put together before that is known.
+    """
+    windows = _windows(df, keys, text, max(lengths))
+    joined, places = F.col("joined"), F.col("places")
+    starts = F.slice("places", F.lit(1), F.col("own"))
+    if heads is not None:
+        starts = F.filter(starts, lambda p: heads.holds(value_probe(F.substring(joined, p + 1, F.lit(HEAD)), key)))
+
+    def runs_at(place: Column) -> Column:
+        # One pass over the places for all lengths.
+        ends = F.array_intersect(F.transform(F.array(*map(F.lit, lengths)), lambda n: place + n), places)
+        return F.transform(ends, lambda e: F.struct(place.alias("start"), e.alias("end"), F.substring(joined, place + 1, e - place).alias("run")))
+
+    runs = F.flatten(F.transform(starts, runs_at))
+    if probes is not None:
+        runs = F.filter(runs, lambda r: probes.holds(value_probe(r["run"], key)))
+    found = windows.select(*keys, "first", "places", F.inline_outer(runs)).where("run IS NOT NULL")
+    at = F.array_position("places", F.col("start"))
+    return found.select(*keys, (F.col("first") + at).cast("int").alias("position"),
+                        (F.array_position("places", F.col("end")) - at).cast("int").alias("words"), "run")
 
 
 def find_registered(df: DataFrame, keys: Sequence[str], text: str, dictionary: DataFrame, key: str) -> DataFrame:
     """One row per registered value found: keys, position, words, category, label, value_hash.
 
     Values are found under any spacing: what counts is the normalised characters, and the lengths that registered values
-    have, which are a short list of small numbers. The join is a plain one on the hash: Spark broadcasts a small dictionary
-    by its size, filters the runs by it or splits a hot run, as it finds at run time.
+    have, which are a short list of small numbers. Only runs that pass the filter of probes are rows and get their long
+    hash, so what is joined is about as many rows as there are finds. The join is a plain one on the hash: Spark broadcasts a
+    small dictionary by its size, or splits a hot run, as it finds at run time.
     """
-    lengths = sorted(r[0] for r in dictionary.select("n_chars").distinct().collect() if r[0])
-    runs = _runs(df, keys, text, lengths or [1])
+    values, lengths = dictionary.agg(F.count("*"), F.sort_array(F.collect_set("n_chars"))).first()
+    lengths = [n for n in lengths if n]
+    if not lengths:
+        lengths = [1]
+    probes = cells_of(dictionary, "probe", values) if "probe" in dictionary.columns else None
+    heads = cells_of(dictionary, "head", values) if "head" in dictionary.columns and lengths[0] >= HEAD else None
+    runs = _runs(df, keys, text, lengths, key, heads, probes)
     hashed = runs.select(*keys, "position", "words", value_hash(F.col("run"), key).alias("value_hash"))
     return hashed.join(dictionary.select("value_hash", "category", "label"), "value_hash")
 

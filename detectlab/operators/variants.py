@@ -2,24 +2,22 @@
 
 A technique is a column built from the payload value. The techniques of a family form one array that is expanded with
 ``inline``; a technique that does not apply gives null and is dropped after the expansion. All families are expanded
-from a single scan of the payloads. Unicode normalisation has no built-in, so those techniques run in an Arrow-batched
-UDF that only sees rows holding non-ASCII text: ASCII text never changes under any of the four forms.
+from a single scan of the payloads. Unicode normal forms are made for rows holding non-ASCII text alone: ASCII text never changes
+under any of the four forms.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from detectlab.functions import encodings as E
 from detectlab.functions import fixed
 from detectlab.functions.text import alnum, between, chars, chunks, first_half, half, last_half
+from detectlab.functions.unicode import normal_form
 from detectlab.operators.catalogue import APPLICABLE
 
 KEPT_ALWAYS, KEPT_IF_CHANGED = "always", "changed"
@@ -462,20 +460,24 @@ NORMALISED = (
 )
 
 
-def _normal_forms(value: str) -> list[str]:
-    mid = len(value) // 2
-    alternating = "".join(unicodedata.normalize("NFC" if i % 2 else "NFD", c) for i, c in enumerate(value))
-    cross = unicodedata.normalize("NFD", value[:mid]) + unicodedata.normalize("NFKC", value[mid:])
-    return [
-        unicodedata.normalize("NFD", value), unicodedata.normalize("NFC", value),
-        unicodedata.normalize("NFKC", value), unicodedata.normalize("NFKD", value),
-        alternating, value if cross == alternating else cross, unicodedata.normalize("NFKD", value),
-    ]
+def _by_turns(value: Column) -> Column:
+    """NFD and NFC by turns, character by character."""
+    return F.array_join(F.transform(chars(value), lambda c, i: F.when(i % 2 == 1, normal_form(c, "NFC")).otherwise(normal_form(c, "NFD"))), "")
+
+
+def _cross_form(value: Column) -> Column:
+    """The first half decomposed, the second composed; the value itself where that is what alternating gives."""
+    cross = F.concat(normal_form(first_half(value), "NFD"), normal_form(last_half(value), "NFKC"))
+    return F.when(cross == _by_turns(value), value).otherwise(cross)
+
+
+_FORM_OF = {"nfd_normalization": "NFD", "nfc_normalization": "NFC", "nfkc_normalization": "NFKC", "nfkd_normalization": "NFKD"}
+_MIXED = {"mixed_normalization_alternating": _by_turns, "mixed_normalization_cross_form": _cross_form}
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def normal_forms(values: pd.Series) -> pd.Series:
-    return values.map(_normal_forms)
+def normalised_variant(value: Column, technique: str) -> Column:
+    """One of ``NORMALISED``."""
+    return normal_form(value, _FORM_OF[technique]) if technique in _FORM_OF else _MIXED[technique](value)
 
 
 # --- expansion --------------------------------------------------------------------------------------------------------
@@ -536,18 +538,17 @@ def expand_variants(
             .drop("kept")
         )
     forms = [
-        (i, n) for i, n in enumerate(NORMALISED)
+        n for n in NORMALISED
         if (generators is None or n[0] in generators) and (techniques is None or n[1] in techniques)
     ]
     if normal_form_rows and forms:
         marked = F.array(*[
             F.struct(F.lit(g).alias("generator"), F.lit(t).alias("technique"), F.lit(o).alias("ordinal"),
-                     F.col("__forms")[i].alias("variant"))
-            for i, (g, t, o) in forms
+                     normalised_variant(F.col(value), t).alias("variant"))
+            for g, t, o in forms
         ])
         normalised = (
             df.filter(F.col(value).rlike(r"[^\x00-\x7F]"))
-            .withColumn("__forms", normal_forms(F.col(value)))
             .select(*keys, F.inline(marked))
             .filter(F.col("variant") != F.col(value))
         )

@@ -513,7 +513,7 @@ def normalise_steps(source: str, column: str, keep: str = "*") -> str:
     body = "regexp_replace(ents[i], '[&#;]', '', 'g')"
     number = f"CASE WHEN lower(left({body}, 1)) = 'x' THEN CAST('0x' || substr({body}, 2) AS INT) ELSE CAST({body} AS INT) END"
     named = "e0"
-    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+    for name, ch in (("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         named = f"replace({named}, '{name}', {lit(ch)})"
     once = "CASE WHEN contains({0}, '%') THEN url_decode({0}) ELSE {0} END"
     source_chars, target_chars = fold_strings()

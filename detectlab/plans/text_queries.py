@@ -136,14 +136,53 @@ def decode_views(spark, sf_dir):
     return rows.groupBy("generator", "technique", "category").agg(F.count("*").alias("n"), F.count_if(found).alias("recovered"))
 
 
-@query("detection_run_decoded")
+_COMPACT_SQL = "regexp_replace({0}, '[\\s./_-]+', '', 'g')"
+
+
+def _seen_sql(text: str) -> str:
+    return f"({S.hit(text)} OR {S.hit(_COMPACT_SQL.format(text), S.compact_hit)})"
+
+
+#: Techniques that no layer undoes: only the text itself, reversed or rotated, can match.
+_UNDONE_BY_NOTHING = ("base64_partial", "reversed_group_order", "reversed_within_groups")
+
+
+@query("detection_run_decoded",
+       f"SELECT generator, technique, count(*) AS n, count(*) FILTER (WHERE CASE WHEN technique IN {S.in_list(_UNDONE_BY_NOTHING)} "
+       f"THEN {S.hit('variant')} OR {_seen_sql('reverse(variant)')} OR ({S.rot13('variant')} <> variant AND {_seen_sql(S.rot13('variant'))}) OR {_seen_sql(S.rot13('reverse(variant)'))} ELSE {_seen_sql('value')} END) AS detected "
+       f"FROM ({S.variants(S.SUPPLIER_PAYLOADS, ['encoding', 'encoding_chains'])}) GROUP BY ALL")
 def detection_run_decoded(spark, sf_dir):
-    """Encoded variants with layered decoding; no SQL for the union of all views."""
+    """Encoded variants with layered decoding: what an encoding can be undone for is found where the plain value is."""
     rows = expand_variants(derived.supplier_payloads(spark, sf_dir), generators=["encoding", "encoding_chains"], normal_form_rows=False)
     run = D.run_detection(rows, decode=True)
     return run.groupBy("generator", "technique").agg(F.count("*").alias("n"), F.count_if("detected").alias("detected"))
 
 
+_FORMS = ("mathematical", "circled", "superscript", "ligature", "hangul", "entities")
+_EACH_DIGIT = {"mathematical": "".join(chr(0x1D7CE + i) for i in range(10)), "circled": chr(0x24EA) + "".join(chr(0x2460 + i) for i in range(9)),
+               "superscript": "\u2070\u00b9\u00b2\u00b3" + "".join(chr(0x2070 + i) for i in range(4, 10))}
+
+
+@query("normalise_compatibility",
+       "SELECT c_custkey, form, CASE form " + " ".join(f"WHEN '{f}' THEN 'no ' || CAST(c_custkey * 7919 AS VARCHAR)" for f in _EACH_DIGIT)
+       + " WHEN 'ligature' THEN 'office file ' || CAST(c_custkey AS VARCHAR) || ' flows' WHEN 'hangul' THEN chr(CAST(44032 + c_custkey * 29 % 11172 AS INT)) "
+       f"WHEN 'entities' THEN 'caf\u00e9 \u20ac' || CAST(c_custkey AS VARCHAR) || ' 1\u20442 &nosuch; <b>' END AS norm FROM customer CROSS JOIN (SELECT unnest({S.array(_FORMS)}) AS form)")
+def normalise_compatibility(spark, sf_dir):
+    """Compatibility forms and entities: digits of other kinds, ligatures, Hangul spelt in letters, named entities."""
+    key = F.col("c_custkey")
+    syllable = (key * 29) % 11172
+    final = syllable % 28
+    jamo = F.concat(D.code_point_text(F.floor(syllable / 588) + 0x1100), D.code_point_text(F.floor(syllable % 588 / 28) + 0x1161),
+                    F.when(final > 0, D.code_point_text(final + 0x11A7)).otherwise(""))
+    texts = {form: F.concat(F.lit("no "), F.translate((key * 7919).cast("string"), "0123456789", digits)) for form, digits in _EACH_DIGIT.items()}
+    texts["ligature"] = F.concat(F.lit("o\ufb03ce \ufb01le "), key.cast("string"), F.lit(" \ufb02ows"))
+    texts["hangul"] = jamo
+    texts["entities"] = F.concat(F.lit("caf&eacute;&nbsp;&euro;"), key.cast("string"), F.lit(" &frac12; &nosuch; &lt;b&gt;"))
+    rows = spread(read_table(spark, sf_dir, "customer").select("c_custkey")).select(
+        "c_custkey", F.inline(F.array(*[F.struct(F.lit(f).alias("form"), texts[f].alias("text")) for f in _FORMS])))
+    return rows.select("c_custkey", "form", D.normalise(F.col("text")).alias("norm"))
+
+
 _WRAPPED = "replace(CASE category " + " ".join(f"WHEN '{c}' THEN {S.lit(t)}" for c, t in fixed.WRAP_TEMPLATES.items()) + f" ELSE {S.lit(fixed.WRAP_FALLBACK)} END, '{{value}}', variant)"
 _SURE = ("credit_card", "ssn", "sin", "iban")
 
@@ -188,7 +227,7 @@ def registered_values(spark, sf_dir):
 
 @query("edm_register", f"SELECT category, value_hash, label, n_chars, n_words FROM ({_DICT})")
 def edm_register(spark, sf_dir):
-    return X.register_values(registered_values(spark, sf_dir), KEY)
+    return X.register_values(registered_values(spark, sf_dir), KEY).drop("probe", "head")
 
 
 @query("edm_registration_counts",
@@ -203,11 +242,17 @@ _CLEAN = "regexp_replace(t, '^[,;:!?\"''<>\\[\\]{}]+|[,;:!?\"''<>\\[\\]{}]+$', '
 def _found_sql(texts: str) -> str:
     """Tokens with the places of their characters in the text; a run is a start and an end that a length apart stand."""
     tokens = f"list_filter(list_transform(string_split_regex({S.translate('text', _COMPAT_FROM, _COMPAT_TO)}, '\\s+'), lambda t: {_norm(_CLEAN)}), lambda t: t <> '')"
-    return (f"WITH dict AS ({_DICT}), ts AS (SELECT doc_id, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT doc_id, {tokens} AS ts FROM ({texts}))), "
-            "placed AS (SELECT doc_id, i, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(t) AS n FROM ts), "
-            "runs AS (SELECT a.doc_id, a.i, b.i AS j FROM placed a JOIN (SELECT DISTINCT n_chars AS len FROM dict) l ON TRUE JOIN placed b ON b.doc_id = a.doc_id AND b.e = a.e - a.n + l.len), "
-            "joined AS (SELECT r.doc_id, r.i, r.j, array_to_string(l.ts[r.i:r.j], '') AS run FROM runs r JOIN (SELECT doc_id, list(t ORDER BY i) AS ts FROM ts GROUP BY doc_id) l USING (doc_id)) "
-            f"SELECT doc_id, CAST(i AS INT) AS position, CAST(j - i + 1 AS INT) AS words, category, label, value_hash FROM joined JOIN dict ON {_hash('run')} = value_hash")
+    return (f"WITH known AS (SELECT *, {_norm('value')} AS n FROM ({_VALUES})), dict AS ({_DICT}), "
+            "heads AS (SELECT DISTINCT left(n, 4) AS head FROM known WHERE length(n) >= 4), short AS (SELECT count(*) AS n FROM known WHERE length(n) BETWEEN 1 AND 3), "
+            f"lists AS (SELECT doc_id, {tokens} AS ts FROM ({texts})), joined AS (SELECT doc_id, array_to_string(ts, '') AS j FROM lists), "
+            "ts AS (SELECT doc_id, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM lists), "
+            "placed AS (SELECT doc_id, i, sum(length(t)) OVER w AS e, length(t) AS n, "
+            "left(t || coalesce(lead(t, 1) OVER w, '') || coalesce(lead(t, 2) OVER w, '') || coalesce(lead(t, 3) OVER w, ''), 4) AS head FROM ts WINDOW w AS (PARTITION BY doc_id ORDER BY i)), "
+            "starts AS (SELECT * FROM placed WHERE head IN (SELECT head FROM heads) OR (SELECT n FROM short) > 0), "
+            "runs AS (SELECT a.doc_id, a.i, b.i AS j, a.e - a.n + 1 AS at, l.len FROM starts a JOIN (SELECT DISTINCT n_chars AS len FROM dict) l ON TRUE "
+            "JOIN placed b ON b.doc_id = a.doc_id AND b.e = a.e - a.n + l.len), "
+            "spelt AS (SELECT r.doc_id, r.i, r.j, substr(t.j, CAST(r.at AS BIGINT), CAST(r.len AS BIGINT)) AS run FROM runs r JOIN joined t USING (doc_id)) "
+            f"SELECT doc_id, CAST(i AS INT) AS position, CAST(j - i + 1 AS INT) AS words, category, label, value_hash FROM spelt JOIN dict ON {_hash('run')} = value_hash")
 
 
 _FOUND = _found_sql("SELECT doc_id, text FROM documents")
