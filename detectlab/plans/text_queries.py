@@ -441,7 +441,7 @@ def neardup_jaccard_of_turns(spark, sf_dir):
 
 
 def _distorted(rates, seed: int) -> str:
-    h = f"md5('{seed}|distort|' || CAST(doc_id AS VARCHAR) || '|' || CAST(rate AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR))"
+    h = f"md5('{seed}|distort|' || CAST(doc_id AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR))"
     bare = "regexp_replace(x, '^[.,;:()]+|[.,;:()]+$', '', 'g')"
     keep = f"(regexp_matches(x, '[0-9@$]') OR (length({bare}) >= 2 AND upper({bare}) = {bare} AND lower({bare}) <> {bare}))"
     filler = S.array(fixed.DISTORTION_WORDS)
