@@ -56,9 +56,10 @@ _PUNCTUATION = frozenset("!|+(*")
 _SIGN_SET = re.escape("".join(SIGNS))
 _LETTER = r"[^\W\d_]"
 _PLAIN_SIGNS = re.escape("".join(c for c in SIGNS if c not in _PUNCTUATION))
-# Letters one by one, signs among them.
+# Letters one by one, signs among them, with up to three separators between two of them.
+_APART = r"[ \t\n\r.\-_*/,]{1,3}"
 _SPELT_OUT = re.compile(
-    rf"(?<![^\W_])(?:{_LETTER}|[{_PLAIN_SIGNS}])[ .\-_*](?:(?:{_LETTER}|[{_SIGN_SET}])[ .\-_*]){{2,}}"
+    rf"(?<![^\W_])(?:{_LETTER}|[{_PLAIN_SIGNS}]){_APART}(?:(?:{_LETTER}|[{_SIGN_SET}]){_APART}){{2,}}"
     rf"(?:{_LETTER}|[{_PLAIN_SIGNS}])(?![^\W_])")
 _TOKEN = re.compile(r"\S+")
 _INNER = re.compile(  # a letter and a sign with nothing but separators between, or a letter three times in a row
@@ -68,8 +69,10 @@ _PIECES = re.compile(rf"(?:\w|[{_SIGN_SET}.\-_*])+")
 _JOINS = re.compile(r"(?<=[^\s.\-_*]{2})[.\-_*]+|[.\-_*]+(?=[^\s.\-_*]{2})")
 _LONG_RUN = re.compile(rf"({_LETTER})\1{{3,}}")
 _NOT_LETTERS = bytes(b if (97 <= b <= 122 or b >= 128) else 32 for b in range(256))
-#: Longer words without separators are keys where a fifth of the characters are signs or digits.
+#: Longer strings are cut into pieces, at what joins their words, before they are decoded.
 _LONGEST = 40
+#: Hexadecimal digits are a key, not a disguised word.
+_KEY = re.compile(r"[0-9a-f]{16,}")
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -104,7 +107,8 @@ def character_model(counts: np.ndarray) -> np.ndarray:
 
 
 _KIND = bytes(97 if (97 <= b <= 122 or b >= 128) else 49 if chr(b) in SIGNS else 35 for b in range(256))
-_SPELT_KIND = bytes(97 if (97 <= b <= 122 or b >= 128 or chr(b) in SIGNS) else 32 if b in b" .-_*" else 35 for b in range(256))
+_SPELT_KIND = bytes(97 if (97 <= b <= 122 or b >= 128 or chr(b) in SIGNS) else 32 if b in b" \t\n\r.-_*/," else 35 for b in range(256))
+_SPELT_GATE = re.compile(rb"a {1,3}a {1,3}a {1,3}a")
 _TRIPLE = re.compile(r"([^\x00-\x7f])\1\1")
 
 
@@ -112,7 +116,7 @@ def disguised(text: str) -> tuple[bool, bool]:
     """Whether ``text``, in lower case, may hold words spelt out, and other disguised words; true wherever there are any."""
     data = text.encode()
     # A character is one byte without the bytes that continue it.
-    spelt = b"a a a a" in data.translate(_SPELT_KIND, bytes(range(128, 192)))
+    spelt = bool(_SPELT_GATE.search(data.translate(_SPELT_KIND, bytes(range(128, 192)))))
     kinds = data.translate(_KIND, b"._-*")
     if b"a1" in kinds or b"1a" in kinds or b"*" in data:
         return spelt, True
@@ -180,7 +184,7 @@ class Restorer:
             told = sum(c.isalnum() or c in SIGNS for c in short)
             # Numbers and keys are no disguised words.
             plain = 3 * letters < told or spelt and 2 * letters < told
-            key = not spelt and len(short) > _LONGEST and 5 * (told - letters) >= len(short)
+            key = not spelt and _KEY.fullmatch(short)
             known = word if plain or key else self._decode(short, spelt)
             if len(word) <= 200:
                 self.cache[word, spelt] = known
@@ -319,7 +323,9 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> t
     # The broadcast is bounded by the two limits.
     ids = F.broadcast(materialise(ids, "sample-ids"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id")
-    return materialise(rows.select("doc_id", "y", "text"), "sample"), stands
+    # One text of an id, so that the rows are bounded as the ids are; chosen in each task first, by its hash.
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    return materialise(one.select("doc_id", "y", "text"), "sample"), stands
 
 
 def _select(counts: pd.DataFrame, halves: tuple[int, ...], sizes: dict[tuple[int, int], int]) -> dict[bytes, float]:

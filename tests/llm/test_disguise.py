@@ -53,3 +53,22 @@ def test_long_phrases_and_long_words():
 @given(st.lists(st.sampled_from([*"aidot015$@!|(€¡*._- \n#,é", "aaa", "idiot", "²"]), max_size=25).map("".join))
 def test_the_gate_leaves_nothing_out(text):
     assert restorer().restore(text) == restorer().decoded(text)
+
+
+def test_length_is_no_reason_to_skip():
+    for n in (3, 4, 9, 30):
+        assert restorer().restore("1d10t" * n).replace(" ", "") == "idiot" * n
+        assert restorer().restore("1d10tm0r0n" * n).replace(" ", "") == "idiotmoron" * n
+    assert restorer().restore("24be64439e3e49cf46b2d7c90f3602a3d0b907ff1") == "24be64439e3e49cf46b2d7c90f3602a3d0b907ff1"
+
+
+def test_any_few_separators():
+    for text in ("i/d/i/o/t", "i,d,i,o,t", "i  d  i  o  t", "i\nd\ni\no\nt", "i - d - i - o - t", "i / d / 1 / o / t"):
+        assert restorer().restore(text) == "idiot"
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "two"), (3, None), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    sample, _ = toxicity._sample(docs, labels, "doc_id", "text")
+    assert sorted((r.doc_id, r.y) for r in sample.collect()) == [(1, 1), (2, 0), (3, 0)]
