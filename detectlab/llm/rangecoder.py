@@ -5,11 +5,12 @@ Each id is predicted from the one before it (order 1), the two before it (order
 
     P(x) = w2 [x = what followed the last two ids] + w1 [x = what followed the last id] + w0 P0(x).
 
-The weights adapt, one set for each state of the contexts (which predictions there are, whether they differ, which one was
-right last time); w0 P0 is spread over the sixteen values of the id's uppermost bits in the same adaptive distribution, then
-over the next bits by another one, and evenly over the lowest eight. A range coder (64-bit interval, carries, 32-bit words)
-turns the choices into bytes: one choice for an id that was predicted, two for others. Blocks are independent: models start
-anew in each one, and each has its own checksum.
+The weights adapt, one set for each state of the contexts: how often in a row either context's prediction has been right, whether
+the two are the same, and what was right last time. P0 is a tree over the id's nibbles: the first is in one distribution with the
+weights, each further one in a distribution of its own for the nibbles before it. Distributions learn fast at first (a half, a third
+of the way to the new symbol ...) and then by 1 / 32. A range coder (64-bit interval, carries, 32-bit words) turns the choices into
+bytes: one choice for an id that a context predicted, one for each nibble of the others. Blocks are independent: models start anew in
+each one, and each has its own checksum.
 
 Coding is sequential within a block, so all blocks of a call advance together: a step is one id of every block, as array
 operations. Encoder and decoder share the model code and so stay in step.
@@ -21,21 +22,25 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024
+BLOCK = 4096
 #: Ids are smaller than this; the number itself means that there is no prediction.
-MAX_ID = (1 << 16) - 1
-_TABLE_BITS = 10
-_STATES, _CHOICES, _PARTS = 12, 18, 16
-_BITS, _LOW_BITS = 15, 8
+MAX_ID = (1 << 32) - 1
+_TABLE_BITS = 11
+_SURE = 3  # right predictions in a row that are told apart
+_STATES, _CHOICES, _PARTS = 2 * (_SURE + 1) ** 2 * 3, 18, 16
+#: Distributions of a nibble: one for each three nibbles before it; longer prefixes are hashed.
+_ROWS_BITS = 12
+_BITS = 15
 _ONE = 1 << _BITS
 _U = np.uint64
-_SHIFT, _LONG_SHIFT, _WORD = _U(_BITS), _U(_BITS + _LOW_BITS), _U(32)
+_SHIFT, _WORD = _U(_BITS), _U(32)
 _LOW_LIMIT = _U(1 << 32)
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
-_RATE = 5
+#: How far a distribution goes to a new symbol, as a shift, by the times that it was used.
+_PACE = np.array([1, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 4, 4, 4, 5], dtype=np.int16)
 
 
-def _targets(n: int, least: int = 64) -> np.ndarray:
+def _targets(n: int, least: int = 12) -> np.ndarray:
     """Row s: the starts of all symbols when s has nearly everything."""
     i, s = np.arange(n)[None, :], np.arange(n)[:, None]
     return np.where(i <= s, i * least, _ONE - (n - i) * least).astype(np.int16)
@@ -44,17 +49,44 @@ def _targets(n: int, least: int = 64) -> np.ndarray:
 _TO_CHOICE, _TO_PART = _targets(_CHOICES), _targets(_PARTS)
 
 
+def nibbles_of(ids: np.ndarray) -> int:
+    """Nibbles that the largest id has, one at least."""
+    return max(1, -(-int(ids.max()).bit_length() // 4)) if len(ids) else 1
+
+
+class _Rows:
+    """Adaptive distributions: rows of starts in 1 / 2^15, and how often each was used."""
+
+    def __init__(self, rows: int, symbols: int):
+        self.starts = np.empty((rows, symbols), dtype=np.int16)
+        self.starts[:] = (np.arange(symbols) * (_ONE // symbols)).astype(np.int16)
+        self.used = np.zeros(rows, dtype=np.uint8)
+        self.item = self.starts.view(np.dtype((np.void, 2 * symbols))).ravel()
+        self.targets = _targets(symbols)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """Several times as fast as an index expression."""
+        return np.take(self.starts, at, axis=0, mode="clip")
+
+    def learn(self, at: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> None:
+        """Moves the given rows towards their symbols and writes them back, each as one item."""
+        used = self.used[at]
+        rows += (np.take(self.targets, symbol, axis=0, mode="clip") - rows) >> _PACE[used][:, None]
+        self.item[at] = rows.view(self.item.dtype).ravel()
+        self.used[at] = np.minimum(used + 1, len(_PACE) - 1)
+
+
 class _Model:
-    """Context tables of all blocks; blocks are rows. Distributions are rows of starts in 1 / 2^15."""
+    """Context tables of all blocks; blocks are rows."""
 
-    def __init__(self, blocks: int):
+    def __init__(self, blocks: int, nibbles: int):
         self.row = np.arange(blocks, dtype=np.int64)
         self.base = self.row << _TABLE_BITS
-        self.after1 = np.full(blocks << _TABLE_BITS, MAX_ID, dtype=np.uint16)
-        self.after2 = np.full(blocks << _TABLE_BITS, MAX_ID, dtype=np.uint16)
-        even = lambda n: (np.arange(n) * (_ONE // n)).astype(np.int16)
-        self.choice = np.tile(even(_CHOICES), (blocks * _STATES, 1))
-        self.part = np.tile(even(_PARTS), (blocks * 16, 1))
+        self.after = [np.full(blocks << _TABLE_BITS, MAX_ID, dtype=np.uint32) for _ in range(2)]
+        self.right = [np.zeros(blocks << _TABLE_BITS, dtype=np.uint8) for _ in range(2)]
+        self.choice = _Rows(blocks * _STATES, _CHOICES)
+        self.levels = [_Rows(blocks << min(4 * k, _ROWS_BITS), _PARTS) for k in range(1, nibbles)]
+        self.top = 4 * (nibbles - 1)
         self.last1 = np.zeros(blocks, dtype=np.int64)
         self.last2 = np.zeros(blocks, dtype=np.int64)
         self.outcome = np.full(blocks, 2, dtype=np.int64)
@@ -63,34 +95,29 @@ class _Model:
         """Predictions for the next id of the first n blocks, and the distributions of the first choice."""
         mask = (1 << _TABLE_BITS) - 1
         a = self.last1[:n] * 40503
-        self.place1 = self.base[:n] + (a >> 7 & mask)
+        self.place1 = self.base[:n] + (a >> 5 & mask)
         self.place2 = self.base[:n] + (a + self.last2[:n] * 60493 >> 6 & mask)
-        self.guess1, self.guess2 = self.after1[self.place1], self.after2[self.place2]
-        state = (self.guess2 != MAX_ID) * 2 + ((self.guess1 != MAX_ID) & (self.guess1 != self.guess2))
-        self.state = self.row[:n] * _STATES + state * 3 + self.outcome[:n]
-        return _take(self.choice, self.state)
+        self.guess1, self.guess2 = self.after[0][self.place1], self.after[1][self.place2]
+        sure = self.right[1][self.place2].astype(np.int64) * (_SURE + 1) + self.right[0][self.place1]
+        self.state = self.row[:n] * _STATES + (sure * 2 + (self.guess1 == self.guess2)) * 3 + self.outcome[:n]
+        return self.choice.take(self.state)
+
+    def level(self, k: int, some: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """Rows of the distributions of nibble k after a prefix."""
+        bits = min(4 * k, _ROWS_BITS)
+        key = prefix if 4 * k <= _ROWS_BITS else (prefix * 40503 >> 4) & ((1 << bits) - 1)
+        return (some << bits) + key
 
     def learn(self, n: int, ids: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> None:
-        self.after1[self.place1] = ids
-        self.after2[self.place2] = ids
-        _adapt(self.choice, self.state, rows, _TO_CHOICE, chosen)
+        for k, (place, guess) in enumerate(((self.place1, self.guess1), (self.place2, self.guess2))):
+            self.right[k][place] = np.where(guess == ids, np.minimum(self.right[k][place] + 1, _SURE), 0)
+            self.after[k][place] = ids
+        self.choice.learn(self.state, rows, chosen)
         self.outcome[:n] = np.minimum(chosen, 2)
         self.last2[:n] = self.last1[:n]
         self.last1[:n] = ids
 
 
-def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows of a table; several times as fast as an index expression."""
-    return np.take(table, at, axis=0, mode="clip")
-
-
-def _adapt(table: np.ndarray, at: np.ndarray, rows: np.ndarray, targets: np.ndarray, symbol: np.ndarray) -> None:
-    """Moves the given rows towards their symbols and writes them back, each as one item."""
-    rows += (_take(targets, symbol) - rows) >> _RATE
-    item = np.dtype((np.void, rows.itemsize * rows.shape[1]))
-    table.view(item).ravel()[at] = rows.view(item).ravel()
-
-
 def _find(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The symbol of each row in whose interval a place lies: as many starts as are not beyond it, less one."""
     below = np.ascontiguousarray(rows.T) <= place.astype(np.int16)
@@ -107,11 +134,11 @@ def _bounds(rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Encoder:
-    def __init__(self, blocks: int, longest: int):
+    def __init__(self, blocks: int):
         self.low = np.zeros(blocks, dtype=_U)
         self.range = np.full(blocks, _FULL)
-        # An id takes under 15 + 23 bits: at most two words.
-        self.out = np.zeros((blocks, 2 * longest + 4), dtype=np.uint32)
+        # A choice takes under 15 bits.
+        self.out = np.zeros((blocks, 64), dtype=np.uint32)
         self.size = np.zeros(blocks, dtype=np.int64)
 
     def _carry(self, rows: np.ndarray) -> None:
@@ -134,6 +161,8 @@ class _Encoder:
         if len(full):
             some = full if isinstance(rows, slice) else rows[full]
             short = low[full]
+            if int(self.size[some].max()) + 2 >= self.out.shape[1]:
+                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
             self.out[some, self.size[some]] = short >> _WORD
             self.size[some] += 1
             low[full] = short << _WORD
@@ -181,33 +210,35 @@ class _Decoder:
         self.code[rows], self.range[rows] = code, span
 
 
-def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """ids under 65,536 -> (ids, checksum, payload) of each block of ``BLOCK`` ids; the last may be shorter."""
+def encode_blocks(ids: np.ndarray, nibbles: int | None = None) -> list[tuple[int, int, bytes]]:
+    """ids of so many nibbles at most -> (ids, checksum, payload) of each block of ``BLOCK`` ids; the last may be shorter."""
     ids = np.ascontiguousarray(ids, dtype=np.int64)
     if not len(ids):
         return []
-    if ids.min() < 0 or ids.max() >= MAX_ID:
-        raise ValueError(f"ids must be in 0..{MAX_ID - 1}")
+    nibbles = nibbles or nibbles_of(ids)
+    if ids.min() < 0 or ids.max() >= min(MAX_ID, 1 << 4 * nibbles):
+        raise ValueError("ids must be unsigned numbers of 32 bits less one")
     blocks = -(-len(ids) // BLOCK)
     last = len(ids) - (blocks - 1) * BLOCK
     flat = np.zeros(blocks * BLOCK, dtype=np.int64)
     flat[: len(ids)] = ids
     table = np.ascontiguousarray(flat.reshape(blocks, BLOCK).T)
-    model, coder = _Model(blocks), _Encoder(blocks, BLOCK)
+    model, coder = _Model(blocks, nibbles), _Encoder(blocks)
     for step in range(BLOCK if blocks > 1 else last):
         n = blocks if step < last else blocks - 1
         x = table[step, :n]
         rows = model.predict(n)
-        chosen = np.where(x == model.guess2, 0, np.where(x == model.guess1, 1, 2 + (x >> 12)))
+        chosen = np.where(x == model.guess2, 0, np.where(x == model.guess1, 1, 2 + (x >> model.top)))
         coder.put(slice(0, n), *_bounds(rows, chosen))
         some = np.flatnonzero(chosen > 1)
         if len(some):
             y = x[some]
-            at, part = some * 16 + (y >> 12), y >> 8 & 15
-            cells = _take(model.part, at)
-            start, width = _bounds(cells, part)
-            coder.put(some, (start << _LOW_BITS) + (y & 255) * width, width, _LONG_SHIFT)
-            _adapt(model.part, at, cells, _TO_PART, part)
+            for k, level in enumerate(model.levels, 1):
+                below = model.top - 4 * k
+                at, part = model.level(k, some, y >> below + 4), y >> below & 15
+                cells = level.take(at)
+                coder.put(some, *_bounds(cells, part))
+                level.learn(at, cells, part)
         model.learn(n, x, rows, chosen)
     sizes = [BLOCK] * (blocks - 1) + [last]
     return [
@@ -216,7 +247,7 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     ]
 
 
-def decode_blocks(coded: list[tuple[int, int, bytes]]) -> np.ndarray:
+def decode_blocks(coded: list[tuple[int, int, bytes]], nibbles: int) -> np.ndarray:
     """The ids of all blocks, in order; a wrong checksum is an error."""
     if not coded:
         return np.zeros(0, dtype=np.uint32)
@@ -224,27 +255,25 @@ def decode_blocks(coded: list[tuple[int, int, bytes]]) -> np.ndarray:
     # Longest first, so that the blocks that still run are the first rows.
     order = np.argsort(-sizes, kind="stable")
     left = sizes[order]
-    model, coder = _Model(len(coded)), _Decoder([coded[i][2] for i in order])
+    model, coder = _Model(len(coded), nibbles), _Decoder([coded[i][2] for i in order])
     table = np.zeros((int(left[0]), len(coded)), dtype=np.uint32)
     for step in range(int(left[0])):
         n = int(np.searchsorted(-left, -step, side="left"))
         rows = model.predict(n)
-        place = coder.peek(slice(0, n))
-        chosen = _find(rows, place)
+        chosen = _find(rows, coder.peek(slice(0, n)))
         coder.take(slice(0, n), *_bounds(rows, chosen))
         x = np.where(chosen == 0, model.guess2, model.guess1).astype(np.int64)
         some = np.flatnonzero(chosen > 1)
         if len(some):
-            high = chosen[some] - 2
-            at = some * 16 + high
-            cells = _take(model.part, at)
-            place = coder.peek(some, _LONG_SHIFT)
-            part = _find(cells, place >> _LOW_BITS)
-            start, width = _bounds(cells, part)
-            low = (place - (start << _LOW_BITS)) // width
-            coder.take(some, (start << _LOW_BITS) + low * width, width)
-            _adapt(model.part, at, cells, _TO_PART, part)
-            x[some] = high << 12 | part << 8 | low
+            y = chosen[some] - 2
+            for k, level in enumerate(model.levels, 1):
+                at = model.level(k, some, y)
+                cells = level.take(at)
+                part = _find(cells, coder.peek(some))
+                coder.take(some, *_bounds(cells, part))
+                level.learn(at, cells, part)
+                y = y << 4 | part
+            x[some] = y
         table[step, :n] = x
         model.learn(n, x, rows, chosen)
     columns = np.ascontiguousarray(table.T)

@@ -3,15 +3,16 @@
 Documents are dealt out by ranges of their id and sorted within each partition, so files, segments and documents follow each
 other in ascending id order. A segment is a run of whole documents of about ``SEGMENT_IDS`` ids:
 
-    header   magic "DLTI", version, documents, ids, blocks
+    header   magic "DLTI", version, nibbles of an id, documents, ids, blocks
     index    id of each document (null: flag), ids of each document
     blocks   size, checksum and bytes of each block, then their payloads
 
-Segments are rows (part, seq, n_ids, data) that Spark writes to the shared folder: a task that is run again writes the
-same rows, and a lost executor costs the tasks that it ran. Reading back decodes each segment on its own.
+Segments are rows (part, seq, n_ids, data) that Spark writes to ``target``, or to the shared folder: a task that is run again writes
+the same rows, and a lost executor costs the tasks that it ran. Reading back decodes each segment on its own.
 
 Nulls, ties, empties: a null or empty text has the end id alone; null document ids come first; documents that repeat an id
-stand next to each other, each with its own start; an empty table gives an empty one; other columns are not read.
+stand next to each other in the order of their texts' hashes, so that an id with a third of all rows is cut into ranges as well, each with
+its own start; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 
 from detectlab.llm import bpe
 from detectlab.llm.common import materialise
-from detectlab.llm.rangecoder import decode_blocks, encode_blocks
+from detectlab.llm.rangecoder import decode_blocks, encode_blocks, nibbles_of
 
 END_ID = 2
 SEGMENT_IDS = 1 << 22
-_HEADER = struct.Struct("<4sHIQI")
-_MAGIC, _VERSION = b"DLTI", 1
+_HEADER = struct.Struct("<4sHHIQI")
+_MAGIC, _VERSION = b"DLTI", 2
+#: Pieces in a worker's cache; a full one starts anew.
+CACHE_CHUNKS = 600_000
 
 
 class LibraryEncoder:
@@ -64,7 +67,7 @@ class LibraryEncoder:
         found = list(map(self.chunks.get, pieces))
         if None in found:
             new = list({p for p, ids in zip(pieces, found, strict=True) if ids is None})
-            if len(self.chunks) + len(new) > bpe.CACHE_CHUNKS:
+            if len(self.chunks) + len(new) > CACHE_CHUNKS:
                 self.chunks.clear()
                 new = list(set(pieces))
             for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -82,19 +85,20 @@ def library_encoder(vocabulary: str) -> LibraryEncoder:
 def pack_segment(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
     """Ids of documents (little-endian unsigned 32-bit) -> a segment."""
     ids = np.frombuffer(b"".join(documents), dtype="<u4")
-    blocks = encode_blocks(ids)
+    nibbles = nibbles_of(ids)
+    blocks = encode_blocks(ids, nibbles)
     index = [
         np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(), np.array([d is None for d in doc_ids], dtype="u1").tobytes(),
         np.array([len(d) // 4 for d in documents], dtype="<u4").tobytes(),
         np.array([(n, crc, len(p)) for n, crc, p in blocks], dtype="<u4").reshape(-1, 3).tobytes(),
     ]
-    header = _HEADER.pack(_MAGIC, _VERSION, len(documents), len(ids), len(blocks))
+    header = _HEADER.pack(_MAGIC, _VERSION, nibbles, len(documents), len(ids), len(blocks))
     return b"".join([header, *index, *(p for _, _, p in blocks)])
 
 
 def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, ids of each document, all ids); raises if the bytes are not what was written."""
-    magic, version, n_docs, n_ids, n_blocks = _HEADER.unpack_from(data)
+    magic, version, nibbles, n_docs, n_ids, n_blocks = _HEADER.unpack_from(data)
     if magic != _MAGIC or version != _VERSION:
         raise ValueError("not a token-id segment")
     at = _HEADER.size
@@ -110,14 +114,17 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     for n, crc, size in places:
         blocks.append((n, crc, data[at : at + size]))
         at += size
-    ids = decode_blocks(blocks)
+    ids = decode_blocks(blocks, nibbles)
     if len(ids) != n_ids or int(lengths.sum()) != n_ids:
         raise ValueError("ids are missing")
     return [None if e else d for d, e in zip(names.tolist(), empty.tolist(), strict=True)], lengths, ids
 
 
-def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Writes all texts' ids and gives the written segments (part, seq, n_ids, data)."""
+def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, target: str | None = None) -> DataFrame:
+    """Writes all texts' ids and gives the written segments (part, seq, n_ids, data).
+
+    ``path``: the vocabulary; ``target``: a folder that is not there yet, for the files.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bpe.vocabulary_text(path))
     end = END_ID.to_bytes(4, "little")
 
@@ -145,8 +152,13 @@ def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             yield segment()
 
     taken = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = taken.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialise(ordered.mapInArrow(encode, "part int, seq int, n_ids long, data binary"), "token-ids")
+    taken = taken.withColumn("h", F.xxhash64("text"))
+    ordered = taken.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    segments = ordered.mapInArrow(encode, "part int, seq int, n_ids long, data binary")
+    if target is None:
+        return materialise(segments, "token-ids")
+    segments.write.parquet(target)
+    return docs.sparkSession.read.schema(segments.schema).parquet(target)
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
@@ -186,6 +198,6 @@ def read_ids(segments: DataFrame) -> DataFrame:
     )
 
 
-def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, target: str | None = None) -> DataFrame:
     """Writes the ids and reads them back: (doc_id, start, n_tokens, ids_crc32) for every row."""
-    return read_ids(write_ids(docs, id_col, text_col, path))
+    return read_ids(write_ids(docs, id_col, text_col, path, target))

@@ -84,23 +84,36 @@ def test_bpe_on_odd_rows(odd, library):
 # --- token files ------------------------------------------------------------------------------------------------------
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 65534), max_size=3000))
+@given(st.lists(st.one_of(st.integers(0, 65534), st.integers(0, 20), st.integers(0, 1 << 21)), max_size=3000))
 def test_range_coder_round_trip(ids):
-    assert rangecoder.decode_blocks(rangecoder.encode_blocks(np.array(ids, dtype=np.int64))).tolist() == ids
+    ids = np.array(ids, dtype=np.int64)
+    assert (rangecoder.decode_blocks(rangecoder.encode_blocks(ids), rangecoder.nibbles_of(ids)) == ids).all()
 
 
-def test_range_coder_shrinks_and_checks():
+def test_range_coder_shrinks_and_checks(monkeypatch):
+    monkeypatch.setattr(rangecoder, "BLOCK", 1024)
     ids = np.tile(np.arange(200), 40)
     coded = rangecoder.encode_blocks(ids)
     assert sum(len(p) for *_, p in coded) < len(ids) // 2
     assert [n for n, *_ in coded] == [1024] * 7 + [832]
     # Blocks stand alone.
-    assert (rangecoder.decode_blocks(coded[3:5]) == ids[3072:5120]).all()
+    assert (rangecoder.decode_blocks(coded[3:5], 2) == ids[3072:5120]).all()
     n, crc, payload = coded[2]
     with pytest.raises(ValueError, match="checksum"):
-        rangecoder.decode_blocks([(n, crc ^ 1, payload)])
+        rangecoder.decode_blocks([(n, crc ^ 1, payload)], 2)
     with pytest.raises(ValueError):
-        rangecoder.encode_blocks(np.array([65535]))
+        rangecoder.encode_blocks(np.array([rangecoder.MAX_ID]))
+
+
+def test_bits_of_an_id(spark, sf, texts):
+    """Under the entropy of single ids."""
+    model = bpe.automaton(bpe.vocabulary_text())
+    where = sf.replace("sf0.001", "sf0.01")
+    ids = np.concatenate([np.frombuffer(model.encode(r.text) + b"\x02\0\0\0", dtype="<u4") for r in read_table(spark, where, "documents").select("text").collect()])
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    bits = 8 * sum(len(p) for *_, p in rangecoder.encode_blocks(ids)) / len(ids)
+    assert bits < 8.3 and bits < -(share * np.log2(share)).sum()
 
 
 def check_files(rows, documents, library):
@@ -121,6 +134,22 @@ def test_token_files_on_odd_rows(odd, library):
     assert tokenfiles.token_files(odd.limit(0)).count() == 0
 
 
+def test_token_files_have_a_place(odd, library, tmp_path):
+    check_files(tokenfiles.token_files(odd, target=str(tmp_path / "ids")).collect(), ODD, library)
+    assert list((tmp_path / "ids").glob("*.parquet"))
+
+
+def test_token_files_with_a_hot_id(spark, library, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SEGMENT_IDS", 500)
+    rows = [(7, f"text {i}") for i in range(600)] + [(None, "null")] * 40 + [(i, "x") for i in range(20)]
+    got = tokenfiles.token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter(
+        (i, len(c) // 4, zlib.crc32(c)) for i, c in ((i, ids_of(library, t) + (2).to_bytes(4, "little")) for i, t in rows))
+    ends = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False)) and ends[0][0] == 0
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+
+
 # --- secrets ----------------------------------------------------------------------------------------------------------
 
 def base_spans(text):
