@@ -37,7 +37,7 @@ MAX_FEATURES = 4096
 LEAST_DOCS, LEAST_Z = 4, 4.0
 PREFIXES = range(3, 9)
 THRESHOLD = 0.3
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 # The alphabet of the character model: break, a-z, the lower-case letters of Latin-1, any other letter.
 _LETTERS = " abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
