@@ -67,6 +67,65 @@ def stream_windowed_rate_all(spark, sf_dir):
     return T.latest_rows(batches, ["window_start", "window_end", "event_type"], ("tested", "detected"))
 
 
+_SLIDES = "(SELECT date_trunc('day', ts) - INTERVAL 1 DAY * k AS window_start, event_type, value, ts FROM events CROSS JOIN (SELECT unnest([0, 1, 2]) AS k))"
+
+
+@query("stream_sliding_rate",
+       "SELECT window_start, window_start + INTERVAL 3 DAY AS window_end, event_type, count(*) AS tested, count(*) FILTER (WHERE value > 10) AS detected "
+       f"FROM {_SLIDES} GROUP BY ALL")
+def stream_sliding_rate(spark, sf_dir):
+    """Windows of three days that begin every day; each event counts in three."""
+    events = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("value") > 10).alias("caught"))
+    path, checkpoint = _out(spark, "sliding")
+    T.latest_to_files(T.windowed_rate(events, "ts", "event_type", "caught", "3 days", "1 day"), path, checkpoint)
+    batches = spark.read.schema("window_start timestamp, window_end timestamp, event_type string, tested long, detected long, batch int").parquet(path)
+    return T.latest_rows(batches, ["window_start", "window_end", "event_type"], ("tested", "detected"))
+
+
+#: Files of ten days each; every fiftieth event comes with the file after the next.
+_PART_SQL = "date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) // 10 + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END"
+_LATE_SQL = (
+    f"parts AS (SELECT *, {_PART_SQL} AS part FROM events), tops AS (SELECT part, max(ts) AS latest FROM parts GROUP BY part), "
+    "marks AS (SELECT p.part, max(t.latest) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT part FROM parts) p LEFT JOIN tops t ON t.part < p.part GROUP BY p.part), "
+    "judged AS (SELECT p.*, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, FALSE) AS late FROM parts p JOIN marks USING (part))")
+
+
+def _disordered(spark, sf_dir):
+    """The events as files that a stream reads one by one, some events far behind their time."""
+    path, checkpoint = _out(spark, "disordered")
+    events = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("value") > 10).alias("caught"))
+    part = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 10) + F.when(F.col("event_id") % 50 == 0, 2).otherwise(0)
+    named = events.withColumn("part", part.cast("int"))
+    for (number,) in sorted(named.select("part").distinct().collect()):
+        named.where(F.col("part") == number).drop("part").coalesce(1).write.parquet(f"{path}/part={number}")
+    return spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _split(spark, sf_dir):
+    path, checkpoint = _out(spark, "split")
+    T.split_late(_disordered(spark, sf_dir), "ts", "event_type", "caught", path, checkpoint)
+    return path
+
+
+@query("stream_late_rows", f"WITH {_LATE_SQL} SELECT event_id, ts, event_type FROM judged WHERE late")
+def stream_late_rows(spark, sf_dir):
+    """Events beyond the watermark of their batch, which windowed aggregation drops."""
+    path = _split(spark, sf_dir)
+    return spark.read.schema("event_id long, ts timestamp, event_type string").parquet(f"{path}/late").select("event_id", "ts", "event_type")
+
+
+@query("stream_counts_and_late_rows",
+       "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS tested, count(*) FILTER (WHERE value > 10) AS detected FROM events GROUP BY ALL")
+def stream_counts_and_late_rows(spark, sf_dir):
+    """Counts in time and late rows together are the batch."""
+    path = _split(spark, sf_dir)
+    counts = spark.read.schema("window_start timestamp, event_type string, tested long, detected long").parquet(f"{path}/counts")
+    late = spark.read.schema("ts timestamp, event_type string, caught boolean").parquet(f"{path}/late").select(
+        F.date_trunc("day", "ts").alias("window_start"), "event_type", F.lit(1).alias("tested"), F.col("caught").cast("int").alias("detected"))
+    both = counts.select("window_start", "event_type", "tested", "detected").unionByName(late)
+    return both.groupBy("window_start", "event_type").agg(F.sum("tested").alias("tested"), F.sum("detected").alias("detected"))
+
+
 @query("stream_unique_runs", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY ALL")
 def stream_unique_runs(spark, sf_dir):
     """Every event line twice, as after a repeated append; one of each is left."""

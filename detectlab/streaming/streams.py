@@ -33,6 +33,33 @@ def windowed_rate(stream: DataFrame, ts: str, label: str, caught: str, width: st
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), label, "tested", "detected")
 
 
+def split_late(stream: DataFrame, ts: str, label: str, caught: str, path: str, checkpoint: str, width: str = "1 day",
+               delay: str = "1 hour") -> None:
+    """Counts per window and label of the rows that came in time, and the late rows themselves, in ``path``.
+
+    A row is late if its window had ended before the watermark: the latest time of the batches before less ``delay``. Spark's own
+    aggregation drops such rows without a trace; here they go to ``late``, so that ``counts`` and ``late`` together are all rows. Every
+    batch overwrites its own folders, so a retried batch leaves no copy; the times of earlier batches are read from their folders.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = [r["batch"] for r in spark.read.schema("latest timestamp, batch int").parquet(f"{path}/times").select("batch").distinct().collect()
+                ] if batch_id else []
+        earlier = [b for b in seen if b < batch_id]
+        times = spark.read.schema("latest timestamp, batch int").parquet(f"{path}/times").where(F.col("batch").isin(earlier)) if earlier else None
+        latest = times.agg(F.max("latest")).first()[0] if times is not None else None
+        mark = F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {delay}") if latest is not None else F.lit(None).cast("timestamp")
+        rows = batch.withColumn("__w", F.window(ts, width)).withColumn("__late", F.coalesce(F.col("__w.end") <= mark, F.lit(False)))
+        rows.where("__late").select(*batch.columns).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/late/part={batch_id}")
+        rows.where("NOT __late").groupBy(F.col("__w.start").alias("window_start"), label).agg(
+            F.count("*").alias("tested"), F.count_if(F.col(caught)).alias("detected"),
+        ).write.mode("overwrite").parquet(f"{path}/counts/part={batch_id}")
+        batch.agg(F.max(ts).cast("timestamp").alias("latest")).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
+            f"{path}/times/part={batch_id}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def unique_runs(stream: DataFrame, ts: str, key: Sequence[str], delay: str = "1 day") -> DataFrame:
     """Repeated run lines dropped; state is kept for the delay only."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
