@@ -12,8 +12,9 @@ from detectlab.plans.corpus_queries import RUNS
 from detectlab.plans.derived import run_log
 from detectlab.plans.registry import query
 from detectlab.plans.text_queries import spans_sql
-from detectlab.session import read_table, shared_dir
+from detectlab.session import materialise, read_table, shared_dir
 from detectlab.streaming import streams as T
+from detectlab.streaming.runs import ROCKSDB, with_predecessors
 
 
 def _stream(spark, sf_dir, table):
@@ -144,3 +145,22 @@ def stream_drop_alerts(spark, sf_dir):
     return _run_to_files(spark, T.drop_alerts(stream, "scanner_label", "run_seq", "pass_rate", 5.0), "alerts")
 
 
+@query("stream_late_runs",
+       "SELECT label, run_seq, previous, rate FROM (SELECT scanner_label AS label, run_seq, ts, pass_rate AS rate, lag(pass_rate) OVER (PARTITION BY scanner_label ORDER BY ts, run_seq) AS previous "
+       f"FROM ({RUNS}) WHERE type = 'scan') WHERE ts <= (SELECT max(ts) FROM ({RUNS}) WHERE type = 'scan') - INTERVAL 8 DAY")
+def stream_late_runs(spark, sf_dir):
+    """Files of three days of runs; every third run comes with the next file, and is still compared with the run before it."""
+    path, _ = _out(spark, "late-runs")
+    runs = run_log(spark, sf_dir).filter(F.col("type") == "scan").select("scanner_label", "ts", "run_seq", "pass_rate")
+    part = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 3) + F.when(F.col("run_seq") % 3 == 0, 1).otherwise(0)
+    named = materialise(runs.withColumn("part", part.cast("int")), "runs")
+    for (number,) in sorted(named.select("part").distinct().collect()):
+        named.where(F.col("part") == number).drop("part").coalesce(1).write.parquet(f"{path}/part={number}")
+    stream = spark.readStream.schema(runs.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        return _run_to_files(spark, with_predecessors(stream, "scanner_label", "ts", "run_seq", "pass_rate", "8 days"), "predecessors")
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
