@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -606,6 +607,33 @@ def source_run_order(spark, sf_dir):
     return readers.read_runs(spark, path).select("run_seq", "total", "pass")
 
 
+@query("source_append_retry", f"SELECT row_number() OVER (ORDER BY week) AS run_seq, total, pass FROM (SELECT date_trunc('week', ts) AS week, CAST(sum(total) AS BIGINT) AS total, CAST(sum(pass) AS BIGINT) AS pass FROM ({RUNS}) GROUP BY 1)")
+def source_append_retry(spark, sf_dir):
+    """One append a week of runs; each is tried twice at the same time and once more after that, and leaves one."""
+    path = _path(spark, "appended-runs")
+    weeks = derived.run_log(spark, sf_dir).groupBy(F.date_trunc("week", "ts").alias("week")).agg(F.sum("total").alias("total"), F.sum("pass").alias("pass"))
+    weeks = materialise(weeks, "weeks")
+    for (week,) in sorted(weeks.select("week").collect()):
+        # The time says nothing here: all appends have the same one.
+        runs = weeks.where(F.col("week") == F.lit(week)).select(F.lit("scan").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), "total", "pass")
+        with ThreadPoolExecutor(2) as tries:
+            numbers = set(tries.map(lambda _: readers.append_runs(runs, path, f"week {week:%Y-%m-%d}"), range(2)))  # noqa: B023
+        numbers.add(readers.append_runs(runs, path, f"week {week:%Y-%m-%d}"))
+        assert len(numbers) == 1
+    return readers.read_runs(spark, path).select("run_seq", "total", "pass")
+
+
+@query("source_missing_log", f"SELECT count(*) FILTER (WHERE run_seq < 0) AS runs, count(*) AS others FROM ({RUNS})")
+def source_missing_log(spark, sf_dir):
+    """A log that no run was appended to yet, beside one that has runs."""
+    path = _path(spark, "no-runs")
+    log = derived.run_log(spark, sf_dir).select("type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), "total")
+    readers.append_runs(log, path, "all")
+    both = readers.read_runs(spark, path + "-that-is-not-there").withColumn("there", F.lit(False)).unionByName(
+        readers.read_runs(spark, path).withColumn("there", F.lit(True)))
+    return both.agg(F.count_if(~F.col("there")).alias("runs"), F.count_if("there").alias("others"))
+
+
 # --- history ----------------------------------------------------------------------------------------------------------
 
 def _runs(spark, sf_dir):

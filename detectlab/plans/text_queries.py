@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from detectlab.functions import fixed
@@ -11,6 +14,7 @@ from detectlab.operators import detect as D
 from detectlab.operators import entropyscan as N
 from detectlab.operators import exactmatch as X
 from detectlab.operators import neardup as L
+from detectlab.operators import sigindex as I
 from detectlab.functions.nearmiss import wrap_in_context
 from detectlab.operators.corpus import synthetic_values
 from detectlab.operators.variants import expand_variants
@@ -18,7 +22,7 @@ from detectlab.plans import derived
 from detectlab.plans import sqlref as S
 from detectlab.plans.registry import query
 from detectlab.plans.value_queries import synth_sql
-from detectlab.session import read_table, spread
+from detectlab.session import read_table, shared_dir, spread
 
 KEY = "edm-key"
 
@@ -495,6 +499,38 @@ def neardup_match_registered(spark, sf_dir):
     return found.select("doc_id", "item_id", F.round("jaccard", 6).alias("jaccard"))
 
 
+_INDEXED = 0.5
+_INDEX_SQL = (
+    "WITH s AS (" + _SH.format(k="doc_id", t="text", f="documents") + "), k AS (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0), "
+    "classes AS (SELECT s, row_number() OVER () AS c, min(doc_id) FILTER (WHERE doc_id % 2 = 0) AS registered FROM k GROUP BY s), u AS (SELECT c, registered, len(s) AS n, unnest(s) AS t FROM classes), "
+    "p AS (SELECT x.c AS probe, y.registered, count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) AS j FROM u x JOIN u y ON x.t = y.t AND y.registered IS NOT NULL GROUP BY x.c, y.c, y.registered), "
+    f"best AS (SELECT probe, registered, j, count(*) OVER (PARTITION BY probe) AS matches, row_number() OVER (PARTITION BY probe ORDER BY j DESC, registered) AS rn FROM p WHERE j >= {_INDEXED}), "
+    "found AS (SELECT k.doc_id, b.registered, round(b.j, 6) AS jaccard, b.matches FROM k JOIN classes ON classes.s = k.s JOIN best b ON b.probe = classes.c AND b.rn = 1 WHERE k.doc_id % 2 = 1) ")
+
+
+def _probed(spark, sf_dir):
+    """An index of the documents with even ids, as a later session would read it, probed by all others."""
+    path = os.path.join(shared_dir(spark), f"signatures-{uuid.uuid4().hex}")
+    docs = _docs(spark, sf_dir)
+    I.write_index(docs.where("doc_id % 2 = 0"), "doc_id", "text", path)
+    return I.probe_index(docs.where("doc_id % 2 = 1"), "doc_id", "text", path, _INDEXED)
+
+
+@query("neardup_index_probe", _INDEX_SQL + "SELECT * FROM found")
+def neardup_index_probe(spark, sf_dir):
+    return _probed(spark, sf_dir).select("doc_id", "registered", F.round("jaccard", 6).alias("jaccard"), "matches")
+
+
+@query("neardup_index_recall", _INDEX_SQL + "SELECT count(*) AS exact, TRUE AS recalled FROM found")
+def neardup_index_recall(spark, sf_dir):
+    """The index beside the exact join: at least 0.95 of its documents are found."""
+    docs = _docs(spark, sf_dir)
+    exact = L.similar_registered(docs.where("doc_id % 2 = 1"), "doc_id", "text", docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("reg"), F.col("text").alias("other")),
+                                 "reg", "other", _INDEXED)
+    both = exact.select("doc_id").join(_probed(spark, sf_dir).select("doc_id", F.lit(1).alias("hit")), "doc_id", "left")
+    return both.agg(F.count("*").alias("exact"), (F.count("hit") >= 0.95 * F.count("*")).alias("recalled"))
+
+
 _EVALUATED = 0.5
 
 

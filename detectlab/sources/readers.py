@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from detectlab.operators.detect import severity
 from detectlab.operators.history import scan_label
 from detectlab.operators.rates import number_in_group
 from detectlab.operators.scoring import tallies
+from detectlab.sources.manifest import APPENDS, AppendLog
 
 PAYLOAD = "struct<value:string,category:string,category_type:string,label:string>"
 VARIANT = "struct<value:string,generator:string,technique:string,transform_name:string,strategy:string>"
@@ -51,19 +56,29 @@ def read_scans(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run log lines; blank and broken lines are skipped.
+    """Run log lines; blank and broken lines are skipped. A log that is not there yet is empty.
 
-    ``run_seq`` counts the runs in append order: by their ``run_seq`` as written by ``append_runs``, where they have one,
-    then by timestamp, by when the file was written, by its name, and by the place in the file. Spark reads large files
+    ``run_seq`` counts the runs in append order: by the number of their append in the manifest (lines of a log without one come
+    first), then by timestamp, by when the file was written, by its name, and by the place in the file. Spark reads large files
     first, so the order in which it hands out lines says nothing.
     """
-    lines = spark.read.text(path).select(
+    log = AppendLog(spark, path)
+    numbers = log.folders()
+    found = [spark.read.text(p).select("value", "_metadata") for p in ([path] if log.has_files(path) else [])]
+    if numbers:
+        found.append(spark.read.text(list(numbers)).select("value", "_metadata"))
+    lines = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "value string, _metadata struct<file_path:string,file_modification_time:timestamp,file_block_start:long>")
+    lines = lines.select(
         "value", F.col("_metadata.file_modification_time").alias("__written"), F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
+    # One row an append.
+    appends = spark.createDataFrame([(p.rsplit("/", 1)[1], n) for p, n in numbers.items()], "__folder string, __number long")
+    folder = F.regexp_extract("__file", f"/{APPENDS}/[^/]+/([^/]+)/[^/]+$", 1)
+    lines = lines.withColumn("__folder", folder).join(appends, "__folder", "left").drop("__folder")
     places = ["__written", "__file", "__block", "__line"]
     parsed = lines.select(*places, F.from_json("value", RUN_SCHEMA, {"mode": "PERMISSIVE"}).alias("r"),
                           F.try_parse_json("value").isNotNull().alias("ok"),
-                          F.get_json_object("value", "$.append_seq").cast("long").alias("__append"))
+                          F.coalesce("__number", F.get_json_object("value", "$.append_seq").cast("long")).alias("__append"))
     kept = parsed.filter(F.col("ok") & F.col("r").isNotNull() & (F.size(F.array_compact(F.array(
         "r.timestamp", "r.type", "r.tool"))) > 0)).select(
         *places, "__append", F.try_to_timestamp("r.timestamp").alias("ts"), F.col("r.timestamp").alias("ts_raw"), "r.*").drop("timestamp")
@@ -115,9 +130,14 @@ def run_rows(results: DataFrame, kind: str = "scan") -> DataFrame:
         F.col("total") > 0, F.floor((F.col("pass") * 2000 + F.col("total")) / (F.col("total") * 2)) / 10.0).otherwise(0.0))
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    """Appends runs to the log; ``append_seq`` (microseconds of the append) keeps the order of appends."""
-    runs.withColumn("append_seq", F.unix_micros(F.current_timestamp())).write.mode("append").json(path)
+def append_runs(runs: DataFrame, path: str, append: str | None = None) -> int:
+    """Appends runs to the log, all or none, and gives the number of the append.
+
+    ``append`` names it: a repeated append of the same name, after a failure or at the same time, leaves one. Without a name each
+    call is an append of its own.
+    """
+    name = re.sub(r"[^A-Za-z0-9._-]", "_", append) if append else uuid.uuid4().hex
+    return AppendLog(runs.sparkSession, path).append(name, lambda folder: runs.write.json(folder))
 
 
 def backfill(spark: SparkSession, pattern: str) -> DataFrame:
