@@ -4,12 +4,14 @@ Paragraphs (and loose text of a container, as if it stood in one) earn points fo
 ancestors: all to the parent, half to its parent, less above. A container's score is discounted by its link density. The
 best container is kept with those siblings that look like more of the article; inside an article or main element, with all
 that is not link-dense. Within what is kept, menus, headers, footers, sidebars, notices, adverts, forms and reader comments go,
-told by element, role or the words of class and id. A form, or an element told by such words, that holds most of the page's text
+told by element, role or the words of class and id. A class word alone does not remove text that has neither links nor form fields if
+the class says something else as well (``notice-period``). Inside a container that is named as an article, post or content all is
+kept as well. A title in the article's own header stays. A form, or an element told by such words, that holds most of the page's text
 is unwrapped, unless it is named as reader comments or the page's article or title stands elsewhere.
 
 Blocks are joined by one space; white space within a block is one space; inline elements add none. Nothing is cut off.
 
-Nulls, ties, empties: a null or empty page has the empty text, as has one without any paragraph; of containers with equal
+Nulls, ties, empties: a null or empty page has the empty text; one without any paragraph has its title; of containers with equal
 scores the first on the page is taken; pages are read alone, so repeated rows, null ids and urls and other columns need
 nothing of their own. Trees are walked without recursion, so deep nesting is no limit.
 """
@@ -59,17 +61,26 @@ _ASIDE_WORDS = frozenset(
 _ASIDE_STEMS = ("sidebar", "sidenav", "navbar", "breadcrumb", "masthead", "comment", "cookie", "advert", "newsletter", "disqus")
 _ARTICLE_WORDS = frozenset(["commentary", "commented", "uncommented"])
 _COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+#: Parts of class names that say nothing about what an element holds.
+_PLAIN_WORDS = frozenset(
+    "container wrapper wrap box block inner outer slot unit bar list item items section area content text main left right top bottom"
+    " post posts article articles stories story links link news media policy message info body panel group row col column col title"
+    " label button buttons icon icons module zone region field fields page site global sticky fixed small large js no has is the".split()
+)
+#: Names of containers that are the article.
+_CONTENT_WORDS = frozenset("article post entry content story".split())
 _LEAST_SIBLING = 0.2
 NAMED, CERTAIN = 1, 2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "gone", "score", "text", "links", "aside")
+    __slots__ = ("tag", "parent", "items", "gone", "score", "text", "links", "aside", "words")
 
     def __init__(self, tag: str, parent: _Node | None, gone: bool, aside: int):
         self.tag, self.parent, self.gone, self.aside = tag, parent, gone, aside
         self.items: list[str | _Node] = []
         self.score, self.text, self.links = 0.0, 0, 0
+        self.words: frozenset[str] = frozenset()  # of class and id
 
 
 def _is_aside(tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -112,6 +123,9 @@ class _Tree(HTMLParser):
                 return
         parent = self.open
         node = _Node(tag, parent, tag in _NEVER, _is_aside(tag, attrs))
+        named = [v for n, v in attrs if n in ("class", "id") and v]
+        if named:
+            node.words = frozenset(w.lower() for v in named for w in _PARTS.findall(v))
         parent.items.append(node)
         self.nodes.append(node)
         if tag not in _VOID:
@@ -165,6 +179,40 @@ def _within(node: _Node, other: _Node) -> bool:
     return at is not None
 
 
+def _keep_texts(nodes: list[_Node]) -> None:
+    """Elements whose class has an aside's word among words of its own stay if they are text alone; so does an article's own title."""
+    some = [n for n in nodes if n.aside == NAMED and n.words - _ASIDE_WORDS - _PLAIN_WORDS and not any(w.isdigit() for w in n.words)]
+    if some:
+        busy: set[int] = set()
+        for node in reversed(nodes):
+            if node.tag in ("a", "form", "input", "button", "select", "iframe", "img") or id(node) in busy:
+                busy.add(id(node))
+                if node.parent is not None:
+                    busy.add(id(node.parent))
+        for node in some:
+            own = node.words - _ASIDE_WORDS - _PLAIN_WORDS
+            if id(node) not in busy and not any(s in w for w in own for s in _ASIDE_STEMS):
+                node.aside = 0
+    for node in nodes:
+        if node.tag == "header" and node.gone and not node.aside:
+            at = node.parent
+            while at is not None and at.tag not in ("article", "main"):
+                at = at.parent
+            if at is None:
+                continue
+            titles, stack = [], [node]
+            while stack:
+                inner = stack.pop()
+                if inner.tag == "h1":
+                    titles.append(inner)
+                elif inner is node or not inner.gone and not inner.aside:
+                    stack += [i for i in inner.items if not isinstance(i, str)]
+            if titles:
+                node.gone, node.items = False, list(reversed(titles))
+                for title in titles:
+                    title.parent = node
+
+
 def _unwrap(nodes: list[_Node]) -> None:
     """Forms and elements with an aside's name that hold most of the page's text, without links, are containers like others."""
     if not any(n.tag == "form" or n.aside == NAMED for n in nodes):
@@ -237,23 +285,35 @@ def _has(node: _Node, tag: str) -> bool:
     return False
 
 
+def _drop_linked(best: _Node, around: _Node) -> None:
+    """What is mostly links beside the best container, up to the article around it."""
+    at = best
+    while at is not around:
+        for item in at.parent.items:
+            if item is not at and not isinstance(item, str) and item.tag in _BLOCKS and 2 * item.links > item.text:
+                item.gone = True
+        at = at.parent
+
+
 def _kept(best: _Node) -> list[_Node]:
     """The best container and what belongs to it, in page order."""
     around = None if best.tag in ("article", "main") else best.parent
     while around is not None and around.tag not in ("article", "main"):
         around = around.parent
     if around is not None:
-        at = best
-        while at is not around:
-            for item in at.parent.items:
-                if item is not at and not isinstance(item, str) and item.tag in _BLOCKS and 2 * item.links > item.text:
-                    item.gone = True
-            at = at.parent
+        _drop_linked(best, around)
         titled = around.parent is None or _has(around, "h1")
         return [i for i in (around.parent.items if around.parent else [around])
                 if i is around or not titled and not isinstance(i, str) and i.tag == "h1"]
     if best.parent is None or best.tag == "body":
         return [best]
+    if not best.words & _CONTENT_WORDS:
+        at = best.parent
+        while at is not None and at.tag != "body" and not at.words & _CONTENT_WORDS:
+            at = at.parent
+        if at is not None and at.parent is not None and at.tag != "body":
+            _drop_linked(best, at)
+            return [at]
     least, out, titled = max(10.0, _LEAST_SIBLING * best.score), [], _has(best, "h1")
     for item in best.parent.items:
         if item is best:
@@ -262,7 +322,7 @@ def _kept(best: _Node) -> list[_Node]:
             continue
         elif item.tag == "h1" and not titled or item.score >= least and item.tag not in ("table", "ul", "ol", "dl"):
             out.append(item)
-        elif item.tag in _PARAGRAPHS - {"li"} and item.text > 80 and item.links * 4 < item.text:
+        elif item.tag in _PARAGRAPHS - {"li"} and (item.text > 80 or best.parent.tag != "body") and item.links * 4 < item.text:
             out.append(item)
     return out
 
@@ -296,11 +356,13 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _keep_texts(tree.nodes)
     _unwrap(tree.nodes)
     _measure(tree.nodes)
     scored = _score(tree.nodes)
     if not scored:
-        return ""
+        # A page of nothing but a title.
+        return _text([n for n in tree.nodes if n.tag == "h1" and not n.gone and not n.aside])
     place = {id(n): i for i, n in enumerate(tree.nodes)}
     best = max(scored, key=lambda n: (n.score, -place[id(n)]))
     return _text(_kept(best))

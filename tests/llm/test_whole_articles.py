@@ -41,3 +41,27 @@ def test_a_long_sidebar_beside_a_short_article_stays_out():
     for page in (f"<body><article><h1>T</h1><p>A text.</p></article><div class=sidebar>{LONG}</div></body>",
                  f"<body><div><h1>T</h1><p>A text.</p></div><div class=sidebar>{LONG}</div></body>"):
         assert htmltext.main_text(page) == "T A text."
+
+
+def test_class_words_do_not_remove_text():
+    kept = ("<p class='notice-period'>The notice period is long.</p><p class='social-science'>Social.</p>"
+            "<div class='related-work'><p>Others did.</p></div><p class='search-results'>We found.</p>")
+    gone = ("<p class=notice>NO</p><div class='related-posts'><p>no</p></div><div class='ad-slot'><p>no</p></div>"
+            "<div class='notice-period'><a href=1>no</a></div><div class='comment-thread'><p>no</p></div>")
+    page = f"<html><body><article><h1>T</h1>{LONG}{kept}{gone}</article></body></html>"
+    assert htmltext.main_text(page) == plain(f"<h1>T</h1>{LONG}{kept}")
+
+
+def test_a_named_container_is_kept_whole():
+    inner = f"<section>{LONG}</section><h2>Next</h2><section>{SHORT}</section><ul><li>one</li></ul><div><p>Loose.</p></div>"
+    menu = "<ul><li><a href=1>Other page</a></li></ul>"
+    page = f"<html><body><div class=post>{inner}{menu}</div><div><p>Not this.</p></div></body></html>"
+    assert htmltext.main_text(page) == plain(inner)
+
+
+def test_short_ends_own_titles_and_titles_alone():
+    quote = f"<div><blockquote>{'Long quote, with words. ' * 40}</blockquote><p>Short close.</p></div>"
+    assert htmltext.main_text(f"<html><body>{quote}</body></html>") == plain(quote)
+    page = f"<html><body><header><h1>Site</h1></header><article><header><div><h1>Own</h1></div><p>by me</p></header>{LONG}</article></body></html>"
+    assert htmltext.main_text(page) == plain(f"<h1>Own</h1>{LONG}")
+    assert htmltext.main_text("<html><body><h1>Only</h1></body></html>") == "Only"
