@@ -7,14 +7,17 @@ Patterns, leftmost and non-overlapping for each kind, failing matches dropped:
 * ``hex``: ``[0-9a-f]+`` of 16 or more.
 
 ``novel`` spans come from novelty: a candidate is a run of 16 or more key characters, with letters and digits, that follows
-a sensitive word within ``REACH`` characters. Its marginal bytes are those that it adds to the compressed text around it,
-by a compressor primed with a dictionary of identifiers; a name or a word costs little, as it is in the dictionary or
-the code around it, and a key costs nearly its entropy. At ``NOVEL_RATE`` bytes a character or more it is reported. The
-marginal bytes of pattern spans are reported too, but decide nothing there.
+a sensitive word within ``REACH`` characters. Its marginal bytes are those that it adds to a compressed frame of the dictionaries and the
+text around it, less what a frame costs that is extended at all (``FRAME_BYTES``). The dictionary holds words of identifiers in the forms that
+identifiers have (after ``_``, ``-`` and ``/``, in capitals, with a capital), so a name is a few matches and costs less than ``NOVEL_RATE`` bytes a
+character, as known identifiers of its length do, and a key costs nearly its entropy. At that rate or more it is reported.
+
+Two word lists make the dictionary: a fixed one, and the words of identifiers of the table itself: those that occur in ``LEAST_COUNT``
+identifiers or more, the most frequent ``MOST_WORDS`` of them. They are counted over all rows; the driver gets the chosen ones.
 
 Nulls, ties, empties: a null or empty text has no spans; each row is scanned alone, so repeated rows and ids, null ids,
 other columns and empty tables need nothing of their own. Whole texts are scanned; the text around a candidate that primes
-the compressor is ``AROUND`` characters on each side.
+the compressor is ``AROUND`` characters on each side, and it decides nothing but how a candidate compares with it.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from pyspark.sql import types as T
 from detectlab.llm.common import ASCII_LOWER, map_texts
 
 KINDS = ("assign", "access", "hex", "novel")
-REACH, AROUND, NOVEL_RATE = 48, 2048, 0.6
+REACH, AROUND, NOVEL_RATE, FRAME_BYTES, LEVEL = 48, 2048, 0.64, 3, 12
+MOST_WORDS, LEAST_COUNT = 1500, 3
 
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ASSIGN = re.compile(
@@ -67,22 +71,46 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 example placeho
 """
 
 
+#: Numbers that identifiers end in.
+_NUMBERS = (*map(str, range(2015, 2032)), *(f"{i:02d}" for i in range(32)), *(f"v{i}" for i in range(1, 10)), "128", "256", "512", "1000")
+_WORD_PARTS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+# The same two for Spark: identifiers, and the words in them.
+_IDENTIFIER = r"[A-Za-z0-9]+(?:[_/-][A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z]*"
+_IDENTIFIER_WORD = r"[A-Z]?[a-z]{3,}|[A-Z]{4,}"
+
+
+def dictionary_of(words: list[str]) -> bytes:
+    """Words in the forms that identifiers have, the numbers after them."""
+    low = list(dict.fromkeys(w.lower() for w in words))
+    up, capital = [w.upper() for w in low], [w.title() for w in low]
+    parts = ["_" + "_".join([*_NUMBERS, *low]), "/" + "/".join(low), "-" + "-".join([*_NUMBERS, *low]), "-" + "-".join(up), "_" + "_".join(up), "".join(capital)]
+    return ("".join(parts) + " ").encode()
+
+
+def identifier_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS, least: int = LEAST_COUNT) -> list[str]:
+    """The most frequent words of the table's identifiers, counted in all rows; at most ``most`` words come to the driver."""
+    found = F.regexp_extract_all(F.col(text_col), F.lit(f"({_IDENTIFIER})"), F.lit(1))
+    words = docs.select(F.explode(found).alias("i")).select(F.explode(F.regexp_extract_all("i", F.lit(f"({_IDENTIFIER_WORD})"), F.lit(1))).alias("w"))
+    counted = words.where(F.length("w") <= 20).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
 class SecretScanner:
-    """Spans of one text after the other; holds the primed compressor."""
+    """Spans of one text after the other; holds the compressor and the dictionary."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        primed.precompute_compress(level=level)
-        self.compressor = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_dict_id=False)
+    def __init__(self, words: list[str] | tuple[str, ...] = (), identifiers: str = IDENTIFIERS, level: int = LEVEL):
+        self.dictionary = dictionary_of([*_WORD_PARTS.findall(identifiers), *words])
+        self.compressor = zstandard.ZstdCompressor(level=level, write_content_size=False)
 
     def marginal_bytes(self, text: str, start: int, end: int) -> int:
-        """Compressed bytes of the text around with the span, less those without it."""
+        """Compressed bytes of dictionary and text around with the span, less those without it and those of any longer frame."""
         before, after = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND].encode()
+        before = self.dictionary + before
         with_it = self.compressor.compress(before + text[start:end].encode() + after)
-        return len(with_it) - len(self.compressor.compress(before + after))
+        return max(0, len(with_it) - len(self.compressor.compress(before + after)) - FRAME_BYTES)
 
     def spans(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(start, kind, end, start of the value, marginal bytes), in order."""
+        """(start, kind, end, start of the value, marginal bytes of a novel one, else 0), in order."""
         if not text:
             return []
         data = text.encode().translate(ASCII_LOWER)
@@ -93,7 +121,7 @@ class SecretScanner:
             found += [(m.start(), 1, m.end(), m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
         if _HEX_RUN in data.translate(_HEX_MARK):
             found += [(m.start(), 2, m.end(), m.start()) for m in _HEX.finditer(text)]
-        out = [(s, k, e, v, self.marginal_bytes(text, v, e)) for s, k, e, v in found]
+        out = [(s, k, e, v, 0) for s, k, e, v in found]
         if any(word in data for word in _SENSITIVE):
             out += self._novel(text, sorted((s, e) for s, _, e, _ in found))
         return sorted(out)
@@ -130,16 +158,20 @@ REPORT = T.StructType([
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel, marginal_bytes) for every row."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel, marginal_bytes) for every row.
+
+    ``marginal_bytes``: of the novel spans, comma-joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(identifier_words(docs, text_col))
 
     def make():
-        scanner = SecretScanner()
+        scanner = SecretScanner(shared.value)
 
         def one(text: str | None) -> tuple:
             spans = scanner.spans(text)
             counts = [sum(k == kind for _, k, *_ in spans) for kind in range(len(KINDS))]
             base = _joined([s for s in spans if s[1] < 3])
-            return (*counts[:3], hashlib.sha256(base.encode()).hexdigest(), _joined(spans), counts[3], ",".join(str(s[4]) for s in spans))
+            return (*counts[:3], hashlib.sha256(base.encode()).hexdigest(), _joined(spans), counts[3], ",".join(str(s[4]) for s in spans if s[1] == 3))
 
         return one
 
@@ -159,10 +191,11 @@ def redact(text: str | None, scanner: SecretScanner, mark: str = "[secret]") ->
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns, the secrets in the text replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(identifier_words(docs, text_col))
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanner = SecretScanner()
+        scanner = SecretScanner(shared.value)
         for texts in batches:
             yield pa.array([redact(t, scanner) for t in texts.to_pylist()], type=pa.string())
 

@@ -260,7 +260,7 @@ def test_pipeline_equals_its_stages(spark, sf):
     assert set(rows) == want
     from detectlab.llm import bpe, secrets
 
-    model, scanner = bpe.automaton(bpe.vocabulary_text()), secrets.SecretScanner()
+    model, scanner = bpe.automaton(bpe.vocabulary_text()), secrets.SecretScanner(secrets.identifier_words(docs.where(F.col("doc_id").isin(list(want)))))
     for i, r in rows.items():
         text = secrets.redact(texts[i], scanner)
         assert b"".join(n.to_bytes(4, "little") for n in r.token_ids) == model.encode(text) and r.n_chars == len(text)
