@@ -39,6 +39,8 @@ _HEADER = struct.Struct("<4sHHIQI")
 _MAGIC, _VERSION = b"DLTI", 2
 #: Pieces in a worker's cache; a full one starts anew.
 CACHE_CHUNKS = 600_000
+#: Characters that are held in pieces at once.
+GROUP_CHARS = 1 << 19
 
 
 class LibraryEncoder:
@@ -59,21 +61,36 @@ class LibraryEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        pieces = None if any(name in text for name in self.special) else bpe.space_pieces(text)
-        if pieces is None:
-            return self._whole(text)
-        found = list(map(self.chunks.get, pieces))
-        if None in found:
-            new = list({p for p, ids in zip(pieces, found, strict=True) if ids is None})
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The same for texts that are together short enough to be held in pieces; the library gets all new pieces at once."""
+        get = self.chunks.get
+        out: list[bytes | list[str]] = []
+        new: set[str] = set()
+        for text in texts:
+            pieces = None
+            if text and not any(name in text for name in self.special):
+                pieces = bpe.space_pieces(text)
+            if pieces is None:
+                out.append(self._whole(text) if text else b"")
+                continue
+            found = list(map(get, pieces))
+            if None in found:
+                new.update(p for p, ids in zip(pieces, found, strict=True) if ids is None)
+                out.append(pieces)
+            else:
+                out.append(b"".join(found))
+        if new:
+            waiting = [p for p in out if isinstance(p, list)]
             if len(self.chunks) + len(new) > CACHE_CHUNKS:
                 self.chunks.clear()
-                new = list(set(pieces))
-            for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                new = {p for pieces in waiting for p in pieces}
+            pieces = list(new)
+            for piece, coded in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
                 self.chunks[piece] = bpe.packed(coded.ids)
-            found = map(self.chunks.__getitem__, pieces)
-        return b"".join(found)
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, p)) if isinstance(p, list) else p for p in out]
 
 
 @lru_cache(maxsize=2)
@@ -82,6 +99,18 @@ def library_encoder(vocabulary: str) -> LibraryEncoder:
     return LibraryEncoder(vocabulary)
 
 
+def _groups(ids: list[int | None], texts: list[str | None]) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """Both in order, in groups of about ``GROUP_CHARS`` characters."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= GROUP_CHARS:
+            yield ids[start : i + 1], texts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield ids[start:], texts[start:]
+
+
 def pack_segment(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
     """Ids of documents (little-endian unsigned 32-bit) -> a segment."""
     ids = np.frombuffer(b"".join(documents), dtype="<u4")
@@ -140,14 +169,14 @@ def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_ids", "data"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = model.encode(text) + end
-                names.append(doc_id)
-                documents.append(ids)
-                held += len(ids) // 4
-                if held >= SEGMENT_IDS:
-                    yield segment()
-                    names, documents, held, seq = [], [], 0, seq + 1
+            for ids_of, texts in _groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for doc_id, ids in zip(ids_of, model.encode_all(texts), strict=True):
+                    names.append(doc_id)
+                    documents.append(ids + end)
+                    held += len(ids) // 4 + 1
+                    if held >= SEGMENT_IDS:
+                        yield segment()
+                        names, documents, held, seq = [], [], 0, seq + 1
         if documents:
             yield segment()
 
