@@ -124,8 +124,10 @@ def response_detected(raw: Column, key: str = "detected") -> Column:
     return F.coalesce(_truthy(response, key, texts=True), *probes, F.lit(False))
 
 
-FINDING = "struct<category:string,sub_category:string,confidence:double,validator:string," \
-          "entropy_classification:string,bin_brand:string,bin_country:string>"
+# What a finding says of the issuer of a card, in itself or in its metadata.
+BIN_FIELDS = ("bin_brand", "bin_country", "bin_card_type", "bin_issuer")
+_BIN = ",".join(f"{f}:string" for f in BIN_FIELDS)
+FINDING = f"struct<category:string,sub_category:string,confidence:double,validator:string,entropy_classification:string,{_BIN},metadata:struct<{_BIN}>>"
 
 
 def clean_flag_detected(raw: Column) -> Column:
@@ -157,3 +159,12 @@ def best_finding(raw: Column) -> Column:
     ranked = F.transform(r["findings"], lambda f, i: F.struct(
         F.coalesce(f["confidence"], F.lit(0.0)).alias("c"), (-i).alias("at"), f.alias("f")))
     return F.array_max(ranked)["f"]
+
+
+def enrichment(finding: Column) -> Column:
+    """What a finding adds to a result: confidence, sub-category and the issuer's fields; empty texts are null."""
+    def text(c: Column) -> Column:
+        return F.nullif(c, F.lit(""))
+
+    return F.struct(finding["confidence"].alias("confidence"), text(finding["sub_category"]).alias("sub_category"),
+                    *[F.coalesce(text(finding["metadata"][f]), text(finding[f])).alias(f) for f in BIN_FIELDS])

@@ -167,6 +167,21 @@ def response_best_finding(spark, sf_dir):
     return derived.responses(spark, sf_dir).select("event_id", best.alias("f")).select("event_id", "f.category", "f.validator", "f.confidence")
 
 
+@query("response_enrichment",
+       "SELECT event_id, CASE WHEN value > 10 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN value > 10 THEN event_type END AS sub_category, "
+       "CASE WHEN value > 10 THEN 'visa' ELSE 'other' END AS bin_brand, CASE WHEN value > 10 AND event_id % 2 = 0 THEN 'CA' END AS bin_country, "
+       "CAST(NULL AS VARCHAR) AS bin_card_type, CASE WHEN value > 10 THEN 'bank ' || user_id END AS bin_issuer FROM events")
+def response_enrichment(spark, sf_dir):
+    """Two findings a response; the surer one gives its sub-category and what its metadata say of the card's issuer."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id")
+    country = F.when(F.col("event_id") % 2 == 0, '"CA"').otherwise('""')
+    raw = F.concat(F.lit('{"findings":[{"confidence":0.5,"bin_brand":"other","metadata":{"bin_brand":""}},{"confidence":'),
+                   F.when(F.col("value") > 10, "0.9").otherwise("0.1"), F.lit(',"sub_category":"'), F.col("event_type"),
+                   F.lit('","bin_brand":"low","metadata":{"bin_brand":"visa","bin_country":'), country, F.lit(',"bin_issuer":"bank '),
+                   F.col("user_id").cast("string"), F.lit('"}}]}'))
+    return e.select("event_id", Q.enrichment(Q.best_finding(raw)).alias("x")).select("event_id", "x.*")
+
+
 # --- corpora ----------------------------------------------------------------------------------------------------------
 
 CORPUS_CATEGORIES = ("credit_card", "email", "iban", "phone", "sin", "ssn")
@@ -429,6 +444,16 @@ def sink_payments(spark, sf_dir):
                        F.col("CdtTrfTxInf.Amt").alias("amount"), F.col("CdtTrfTxInf.CdtrAcct.Id.IBAN").alias("iban"), F.col("CdtTrfTxInf.RmtInf.Ustrd").alias("free"))
 
 
+@query("source_payments_round_trip",
+       f"SELECT 'PMT-' || entry_id AS id, 'E2E-' || entry_id AS e2e, {_FILL_NAME} AS debtor, {_FILL_AMOUNT} AS amount, {_SLOT(['iban'])} AS iban, CASE WHEN category = 'credit_card' THEN 'Card: ' || {_VALUE} "
+       f"WHEN category NOT IN ('iban', 'swift_bic') THEN embedded_text END AS free FROM ({C_RANDOM})")
+def source_payments_round_trip(spark, sf_dir):
+    """The corpus as an XML message, read back."""
+    path = _path(spark, "payments")
+    sinks.write_payments(_corpus(spark, sf_dir), path)
+    return readers.read_payments(spark, path)[0].select("id", "e2e", "debtor", "amount", "iban", "free")
+
+
 @query("sink_sql_table",
        f"SELECT entry_id AS id, {_FILL_NAME} AS name, CASE WHEN category IN ('email', 'phone') THEN embedded_text END AS sensitive_val, " + ", ".join(
            f"CASE WHEN category IN {S.in_list([c for c, f in sinks.JSON_FIELDS.items() if f == n])} THEN {_VALUE} END AS {n}" for n in sinks.SQL_COLUMNS) + f" FROM ({C_RANDOM})")

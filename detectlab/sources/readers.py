@@ -152,3 +152,18 @@ def backfill(spark: SparkSession, pattern: str) -> DataFrame:
         F.lit("falsepos").alias("type"), "archive_file", F.col("mtime").alias("ts"), "tool", "total_tested",
         "total_flagged", F.col("overall_false_positive_rate").alias("fp_rate"))
     return scans.unionByName(fps, allowMissingColumns=True)
+
+
+PAYMENT = ("PmtInfId string, PmtMtd string, Dbtr struct<Nm:string>, CdtTrfTxInf struct<PmtId:struct<EndToEndId:string>,Amt:string,"
+           "CdtrAcct:struct<Id:struct<IBAN:string>>,CdtrAgt:struct<FinInstnId:struct<BIC:string>>,RmtInf:struct<Ustrd:string>>")
+
+
+def read_payments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Payments of XML files, one a ``PmtInf`` element, and apart from them the text of elements that can't be read."""
+    rows = (spark.read.format("xml").option("rowTag", "PmtInf").option("mode", "PERMISSIVE").option("ignoreSurroundingSpaces", "false")
+            .option("columnNameOfCorruptRecord", "broken").schema(f"{PAYMENT}, broken string").load(path))
+    payments = rows.where(F.col("broken").isNull()).select(
+        F.col("PmtInfId").alias("id"), F.col("CdtTrfTxInf.PmtId.EndToEndId").alias("e2e"), F.col("Dbtr.Nm").alias("debtor"),
+        F.col("CdtTrfTxInf.Amt").alias("amount"), F.col("CdtTrfTxInf.CdtrAcct.Id.IBAN").alias("iban"),
+        F.col("CdtTrfTxInf.CdtrAgt.FinInstnId.BIC").alias("bic"), F.col("CdtTrfTxInf.RmtInf.Ustrd").alias("free"))
+    return payments, rows.where(F.col("broken").isNotNull()).select("broken")
