@@ -37,7 +37,7 @@ from detectlab.llm.common import fresh, map_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of a cache; a full one starts anew.
-CACHE_WORDS, CACHE_CHUNKS, CACHE_ARCS = 80_000, 400_000, 200_000
+CACHE_WORDS, CACHE_CHUNKS, CACHE_ARCS = 60_000, 250_000, 150_000
 
 #: White space as the pre-tokenizer has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from detectlab.session import materialise
 
+#: Rows of an Arrow batch that are Python objects at once.
+ROWS_AT_ONCE = 500
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Lower-cases A-Z and nothing else; on UTF-8 bytes, so letters beyond ASCII stay as they are.
 ASCII_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -41,11 +43,14 @@ def map_texts(make: Callable[[], Callable[[str | None], tuple]], schema: T.Struc
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = make()
         for texts in batches:
-            rows = [one(t) for t in texts.to_pylist()]
-            columns = zip(*rows, strict=True) if rows else [()] * len(kind)
-            yield pa.StructArray.from_arrays(
-                [pa.array(list(c), type=f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind)
-            )
+            parts = []
+            for at in range(0, max(1, len(texts)), ROWS_AT_ONCE):
+                rows = [one(t) for t in texts.slice(at, ROWS_AT_ONCE).to_pylist()]
+                columns = zip(*rows, strict=True) if rows else [()] * len(kind)
+                parts.append(pa.StructArray.from_arrays(
+                    [pa.array(list(c), type=f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind)
+                ))
+            yield pa.concat_arrays(parts)
 
     return run
 

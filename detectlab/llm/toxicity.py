@@ -37,7 +37,7 @@ MAX_FEATURES = 4096
 LEAST_DOCS, LEAST_Z = 4, 4.0
 PREFIXES = range(3, 9)
 THRESHOLD = 0.3
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 
 # The alphabet of the character model: break, a-z, the lower-case letters of Latin-1, any other letter.
 _LETTERS = " abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -406,7 +406,7 @@ def score_column(df: DataFrame, model: ToxicModel, text_col: str = "text") -> Co
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pa.array([scorer.score(t) for t in texts.to_pylist()], type=pa.float64())
+            yield pa.array([scorer.score(t.as_py()) for t in texts], type=pa.float64())
 
     return run(F.col(text_col))
 
