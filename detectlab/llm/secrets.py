@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,9 +75,12 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 example placeho
 #: Numbers that identifiers end in.
 _NUMBERS = (*map(str, range(2015, 2032)), *(f"{i:02d}" for i in range(32)), *(f"v{i}" for i in range(1, 10)), "128", "256", "512", "1000")
 _WORD_PARTS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
-# The same two for Spark: identifiers, and the words in them.
-_IDENTIFIER = r"[A-Za-z0-9]+(?:[_/-][A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z]*"
-_IDENTIFIER_WORD = r"[A-Z]?[a-z]{3,}|[A-Z]{4,}"
+# Identifiers, and the words in them that a dictionary takes.
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]++(?:[_/-][A-Za-z0-9]++)+|[a-z]+[A-Z][A-Za-z]*")
+_INNER_CAPITAL = re.compile(r"[a-z][A-Z]")
+_IDENTIFIER_WORD = re.compile(r"[A-Z]?[a-z]{3,19}|[A-Z]{4,20}")
+#: Words that a task counts before it hands them on.
+_HELD = 100_000
 
 
 def dictionary_of(words: list[str]) -> bytes:
@@ -89,9 +93,25 @@ def dictionary_of(words: list[str]) -> bytes:
 
 def identifier_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS, least: int = LEAST_COUNT) -> list[str]:
     """The most frequent words of the table's identifiers, counted in all rows; at most ``most`` words come to the driver."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(f"({_IDENTIFIER})"), F.lit(1))
-    words = docs.select(F.explode(found).alias("i")).select(F.explode(F.regexp_extract_all("i", F.lit(f"({_IDENTIFIER_WORD})"), F.lit(1))).alias("w"))
-    counted = words.where(F.length("w") <= 20).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                for token in (text.as_py() or "").split():
+                    if "_" in token or "-" in token or "/" in token or not token.islower() and _INNER_CAPITAL.search(token):
+                        for name in _IDENTIFIER.findall(token):
+                            seen.update(w.lower() for w in _IDENTIFIER_WORD.findall(name))
+                if len(seen) > _HELD:
+                    yield counted()
+                    seen.clear()
+        yield counted()
+
+    counted = docs.select(text_col).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
 
 
