@@ -18,8 +18,9 @@ from detectlab.streaming.runs import ROCKSDB, with_predecessors
 
 
 def _stream(spark, sf_dir, table):
+    """The table's files as a stream. A table is one file or a folder of them; the pattern matches either."""
     schema = read_table(spark, sf_dir, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}[.]parquet")
 
 
 def _out(spark, name):
