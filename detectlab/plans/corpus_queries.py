@@ -534,7 +534,7 @@ def source_scan_documents(spark, sf_dir):
 
 @query("source_run_rows", f"SELECT strategy AS run_id, total, pass, fail, error, {S.pct('pass', 'total')} AS pass_rate, 'scan' AS type, n_categories FROM (SELECT strategy, count(DISTINCT category) AS n_categories, {S.COUNTS} FROM ({S.RESULTS}) GROUP BY strategy)")
 def source_run_rows(spark, sf_dir):
-    rows = readers.run_rows(derived.outcomes(spark, sf_dir).withColumn("run_id", F.col("strategy")))
+    rows = readers.run_rows(derived.summary(spark, sf_dir).withColumn("run_id", F.col("strategy")))
     return rows.withColumn("n_categories", F.size("categories").cast("bigint")).drop("categories", "strategies")
 
 

@@ -124,7 +124,7 @@ def archive_runs(results: DataFrame, path: str) -> None:
 def run_rows(results: DataFrame, kind: str = "scan") -> DataFrame:
     """One log row per run_id from outcome rows: counts, rate, categories and strategies seen."""
     counted = results.groupBy("run_id").agg(
-        *tallies(), F.array_sort(F.collect_set("category")).alias("categories"),
+        *tallies(results), F.array_sort(F.collect_set("category")).alias("categories"),
         F.array_sort(F.collect_set("strategy")).alias("strategies"))
     return counted.withColumn("type", F.lit(kind)).withColumn("pass_rate", F.when(
         F.col("total") > 0, F.floor((F.col("pass") * 2000 + F.col("total")) / (F.col("total") * 2)) / 10.0).otherwise(0.0))

@@ -5,9 +5,12 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from detectlab.functions.checks import mod97
 from detectlab.functions.entropy import shannon
+from detectlab.operators import compare as J
 from detectlab.operators import detect as D
-from detectlab.plans import QUERIES
+from detectlab.operators import scoring as M
+from detectlab.plans import QUERIES, derived
 
 
 def test_a_table_that_is_a_folder_is_streamed(spark, tmp_path):
@@ -34,3 +37,26 @@ def test_entropy_of_exactly_the_threshold(spark):
 def test_a_palindrome_is_its_own_reversal(spark):
     rows = spark.createDataFrame([("ssn", "123454321"), ("ssn", "000454000"), ("email", "abccba")], "category string, variant string")
     assert [r.detected for r in D.run_detection(rows, decode=True).collect()] == [True, False, False]
+
+
+def test_a_summary_counts_what_its_rows_stand_for(spark):
+    rows = spark.createDataFrame([("a", "t", "pass", 3), ("a", "t", "fail", 5), ("b", "t", "error", 2)], "category string, technique string, severity string, rows long")
+    found = M.overall(rows).first()
+    assert (found.total, found["pass"], found.fail, found.error) == (10, 3, 5, 2)
+    both = {r.category: (r.total_a, r.pass_a, r.total_b) for r in J.by_category_delta(rows, rows).collect()}
+    assert both == {"a": (8, 3, 8), "b": (2, 0, 2)}
+
+
+def test_runs_beside_each_other_equal_runs_that_are_joined(spark, sf):
+    a, b = derived.detection_run(spark, sf, False), derived.detection_run(spark, sf, True)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    pairs = derived.paired_run(spark, sf).cache()
+    assert rows(J.changed_rows(pairs.drop("caught"))) == rows(J.row_diffs(a, b))
+    assert pairs.filter("caught").count() == b.filter("severity = 'pass'").select(*J.KEY).distinct().count()
+
+
+def test_remainders_in_pieces(spark):
+    texts = ["GB82WEST12345698765432", "0" * 36, "Z" * 36, "Z" * 37, "7", "a1*b2", "12 34"]
+    want = [int("".join(str(int(c, 36)) for c in t)) % 97 if t.isalnum() else None for t in texts]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mod97(F.col("t"))).collect()]
+    assert [g for g, w in zip(got, want) if w is not None] == [w for w in want if w is not None]
