@@ -9,6 +9,7 @@ from detectlab.functions.checks import mod97
 from detectlab.functions.entropy import shannon
 from detectlab.operators import compare as J
 from detectlab.operators import detect as D
+from detectlab.operators import neardup as L
 from detectlab.operators import scoring as M
 from detectlab.plans import QUERIES, derived
 
@@ -60,3 +61,10 @@ def test_remainders_in_pieces(spark):
     want = [int("".join(str(int(c, 36)) for c in t)) % 97 if t.isalnum() else None for t in texts]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mod97(F.col("t"))).collect()]
     assert [g for g, w in zip(got, want) if w is not None] == [w for w in want if w is not None]
+
+
+def test_rates_of_a_corpus_are_drawn_apart(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)))], "doc_id long, text string")
+    kept = {r.variant: r.variant_text.split() for r in L.neardup_corpus(docs, "doc_id", "text", variants=5).collect()}
+    replaced = {v: {i for i, w in enumerate(ws) if not w.startswith("word")} for v, ws in kept.items()}
+    assert all(replaced[v] - replaced[v + 1] for v in range(4))
