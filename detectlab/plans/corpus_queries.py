@@ -518,14 +518,14 @@ def source_csv_round_trip(spark, sf_dir):
 def source_scan_documents(spark, sf_dir):
     """Outcome rows written as scan documents with nested results, one per payload, and read back as rows."""
     path = _path(spark, "scans")
-    o = derived.outcomes(spark, sf_dir)
+    o = derived.detection_run(spark, sf_dir, False, derived.payloads_by_id(spark, sf_dir))
     row = F.struct(
         F.struct(F.col("payload_value").alias("value"), "category", F.lit("structured").alias("category_type"), "label").alias("payload"),
         F.struct(F.col("variant").alias("value"), "generator", "technique", F.col("technique").alias("transform_name"), "strategy").alias("variant"),
         "detected", "severity", "error", "confidence")
     docs = o.groupBy("payload_id").agg(F.collect_list(row).alias("results"), F.count("*").alias("total")).select(
         F.struct(F.lit("2026-01-01T00:00:00+00:00").alias("timestamp"), F.lit("rules").alias("scanner"), "total").alias("meta"), "results")
-    docs.write.json(path)
+    docs.write.json(path, compression="gzip")
     rows = readers.read_scans(spark, path, multi_line=False)
     from detectlab.operators.scoring import tallies
 

@@ -68,3 +68,9 @@ def test_rates_of_a_corpus_are_drawn_apart(spark):
     kept = {r.variant: r.variant_text.split() for r in L.neardup_corpus(docs, "doc_id", "text", variants=5).collect()}
     replaced = {v: {i for i, w in enumerate(ws) if not w.startswith("word")} for v, ws in kept.items()}
     assert all(replaced[v] - replaced[v + 1] for v in range(4))
+
+
+def test_results_of_a_payload_are_grouped_in_place(spark, sf):
+    run = derived.detection_run(spark, sf, False, derived.payloads_by_id(spark, sf))
+    prepared = run.groupBy("payload_id").agg(F.collect_list("variant"))._jdf.queryExecution().executedPlan().toString()
+    assert prepared.count("hashpartitioning(payload_id") == 1
