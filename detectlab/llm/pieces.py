@@ -208,7 +208,9 @@ class PieceModel:
         """The text of the ids. A byte that begins no valid character is U+FFFD."""
         labels = self.labels
         spelt = b"".join([labels[i] for i in ids])
-        if self.prefix and ids and self.marked[ids[0]]:
+        # Control ids in front spell nothing, so the first id after them leads the text.
+        first = next((i for i in ids if labels[i]), None)
+        if self.prefix and first is not None and self.marked[first]:
             spelt = spelt[1:]
         try:
             return spelt.decode()

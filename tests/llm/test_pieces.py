@@ -84,3 +84,8 @@ def test_odd_rows(spark, library):
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError, match="merge-type"):
         pieces.PieceModel(b"")
+
+
+def test_control_ids_before_the_text(model, library):
+    for ids in ([1, 315], [1, 2, 315, 315], [2, 1], [1, 3, 315], [315, 1, 315]):
+        assert model.decode(ids) == library.decode(ids)
