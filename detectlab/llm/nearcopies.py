@@ -1,7 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, shingle sets verify them.
+"""Near copies by the Jaccard similarity of word shingles: SimHash balls and MinHash bands find candidates, shingle sets verify them.
 
 Words are those of ``simhash``; a shingle is five words in a row (all words of a shorter text). Texts with equal shingle sets
-collapse first. The others meet under ``BANDS`` keys of ``ROWS`` minima each: a pair of similarity s is met with probability
+collapse first. The others have a SimHash fingerprint of their shingles and meet in the balls of ``simhash.near_links``, so those of one
+fingerprint or within two bits are candidates. Two sets of similarity 0.8 differ in about ten of 64 bits, which no ball reaches; so they
+meet again under ``BANDS`` keys of ``ROWS`` minima each: a pair of similarity s is met with probability
 1 - (1 - s**ROWS)**BANDS, which is 1 - 5e-8 at 0.8. Each pair that meets is verified on its own shingle sets, so no link is false.
 
 A key of at most ``MOST`` sets gives all its pairs. A hotter key is cut into parts of about ``PART`` by a hash of set and key, so
@@ -28,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from detectlab.llm.common import fresh, map_texts, materialise, space_words
+from detectlab.llm.common import ROWS_AT_ONCE, fresh, map_texts, materialise, space_words
 from detectlab.llm.components import connected_components
+from detectlab.llm.simhash import majority, near_links, signed
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -52,24 +55,35 @@ def jaccard(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def sketch(text: str | None, size: int = SHINGLE) -> tuple[str, list[int]]:
-    """The digest of the shingle set, and a signed key for each band; the empty set has no keys."""
+def sketch(text: str | None, size: int = SHINGLE) -> tuple[str, list[int], int]:
+    """The digest of the shingle set, a signed key for each band, and the fingerprint; the empty set has no keys."""
     digest = xxhash.xxh64_intdigest
     hashes = np.unique(np.fromiter((digest(g) for g in shingles(text, size)), dtype=np.uint64))
     name = xxhash.xxh3_128_hexdigest(hashes.tobytes())
     if not len(hashes):
-        return name, []
+        return name, [], 0
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), _BLOCK):
         block = (hashes[at : at + _BLOCK, None] ^ _MASKS[None, :]) * _FACTORS[None, :]
         np.minimum(least, block.min(axis=0), out=least)
     bands = least.reshape(BANDS, ROWS)
     keys = np.array([digest(row.tobytes(), seed) for seed, row in enumerate(bands)], dtype=np.uint64)
-    return name, keys.view(np.int64).tolist()
+    fingerprint = signed(majority(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)))
+    return name, keys.view(np.int64).tolist(), fingerprint
+
+
+def ball_pairs(sets: DataFrame) -> DataFrame:
+    """(node, fp) -> pairs (a, b), a < b, of fingerprints within two bits: each set with the least of its fingerprint, and these in the balls."""
+    least = materialise(sets.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = sets.join(least, "fp").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = materialise(near_links(least.select("fp")).distinct(), "balls")
+    left = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a")
+    both = left.join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.union(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, keys) -> distinct pairs (a, b), a < b, to verify, and the nodes that stand under a hot key."""
+    """(node, keys) -> pairs (a, b), a < b, to verify, and the nodes that stand under a hot key."""
     entries = materialise(sets.select("node", F.explode("keys").alias("key")), "entries")
     sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     # Only keys that meet; written, so that the join below has its sizes and Spark can split a hot key.
@@ -82,22 +96,26 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         "flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x AS a, y AS b))))"
     )).alias("p")).select("p.a", "p.b")
     to_least = met.where((F.col("n") > MOST) & (F.col("least") < F.col("node"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return pairs.union(to_least).distinct(), met.where(F.col("n") > MOST).select("node").distinct()
+    return pairs.union(to_least), met.where(F.col("n") > MOST).select("node").distinct()
 
 
 def rare_shingles(hot: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """(term, node, n) for the rarest shingles of each hot set, as many as a similar set must share one of."""
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # One array for all texts of a batch: numbers, not objects.
-            parts = [np.fromiter((xxhash.xxh64_intdigest(g) for g in shingles(t.as_py(), size)), dtype=np.uint64).view(np.int64) for t in batch]
-            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-
-    listed = texts.join(hot, "node", "left_semi").select("node", hashes(F.col("text")).alias("terms"))
-    terms = materialise(listed.select("node", F.size("terms").alias("n"), F.explode("terms").alias("term")), "terms")
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                # One array for all these texts: numbers, not objects.
+                parts = [np.fromiter((xxhash.xxh64_intdigest(g) for g in shingles(t.as_py(), size)), dtype=np.uint64).view(np.int64) for t in some.column(1)]
+                counts = np.array([len(p) for p in parts])
+                nodes = np.repeat(some.column(0).to_numpy(), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.repeat(counts, counts).astype(np.int32)), pa.array(np.concatenate(parts))],
+                                                 names=["node", "n", "term"])
+
+    # Rows come from the function itself: an explode above a function of columns would have it run twice, for a filter and for the rows.
+    listed = texts.join(hot, "node", "left_semi").select("node", "text")
+    terms = materialise(listed.mapInArrow(hashes, "node long, n int, term long"), "terms")
     shared = terms.groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
     known = terms.join(shared, "term").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("known"))
     # Shingles that no other set has come first; they are in the prefix as far as it goes, and bring nothing.
@@ -136,21 +154,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, str]:
     """``docs`` written with a key for each row, the keys of the rows that stay, and the name of the key."""
     row = fresh(docs, "row")
-    kind = T.StructType([T.StructField("name", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    kind = T.StructType([T.StructField("name", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())),
+                         T.StructField("fp", T.LongType())])
     run = map_texts(lambda: lambda text: sketch(text, size), kind)
     keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     prints = keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"), run(F.col(text_col)).alias("s"))
-    prints = materialise(prints.select("row", "id", "s.name", "s.keys"), "sketches")
+    prints = materialise(prints.select("row", "id", "s.name", "s.keys", "s.fp"), "sketches")
     # Copies collapse here, before the shuffle: a hot text is one row per task.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    sets = prints.groupBy("name").agg(first, F.first("keys").alias("keys"))
-    sets = materialise(sets.select(F.col("first.row").alias("node"), "first", "keys"), "sets")
+    sets = prints.groupBy("name").agg(first, F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    sets = materialise(sets.select(F.col("first.row").alias("node"), "first", "keys", "fp"), "sets")
     pairs, hot = candidates(sets)
-    pairs, hot = materialise(pairs, "pairs"), materialise(hot, "hot")
+    balls = ball_pairs(sets.where("size(keys) > 0").select("node", "fp"))
+    pairs, hot = materialise(pairs.union(balls).distinct(), "pairs"), materialise(hot, "hot")
     texts = keyed.select(F.col(row).alias("node"), F.col(text_col).alias("text"))
 
     def verified(some: DataFrame) -> DataFrame:
-        needed = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
+        # Written, so that a join with few rows has their size and the texts need no exchange.
+        needed = materialise(some.select(F.col("a").alias("node")).union(some.select("b")).distinct(), "needed")
         own = materialise(texts.join(needed, "node", "left_semi"), "texts")
         left = materialise(some.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a"), "left")
         both = left.join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -170,7 +191,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 links = links.union(new)
                 groups = connected_components(links)
     stay = sets.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
-    return keyed, stay.select(F.col("first.row").alias(row)), row
+    return keyed, materialise(stay.select(F.col("first.row").alias(row)), "stay"), row
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,

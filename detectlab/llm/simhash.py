@@ -43,20 +43,24 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         grams = [b"%b %b %b" % g for g in zip(words, words[1:], words[2:], strict=False)]
     else:
         grams = [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)]
-    votes = np.frombuffer(b"".join([digest(g, seed) for g in grams]), dtype=np.uint8).reshape(-1, 8)
-    # Digests are big-endian; count each value of each byte, then the bits of the values.
+    return majority(np.frombuffer(b"".join([digest(g, seed) for g in grams]), dtype=np.uint8).reshape(-1, 8))
+
+
+def majority(votes: np.ndarray) -> int:
+    """The number whose bits more than half of the votes have; a vote is a row of eight bytes, big-endian."""
+    # Count each value of each byte, then the bits of the values.
     seen = np.bincount((votes + _PLACE).ravel(), minlength=2048).reshape(8, 256)
     ones = (seen @ _BIT_TABLE)[::-1].ravel()
-    return int.from_bytes(np.packbits(2 * ones > len(grams), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(votes), bitorder="little").tobytes(), "little")
 
 
-def _signed(value: int) -> int:
+def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
-    run = map_texts(lambda: lambda text: (_signed(simhash(text, shingle)),), T.StructType([T.StructField("fp", T.LongType())]))
+    run = map_texts(lambda: lambda text: (signed(simhash(text, shingle)),), T.StructType([T.StructField("fp", T.LongType())]))
     return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("__r")).select("doc_id", "__r.fp")
 
 

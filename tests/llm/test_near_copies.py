@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from detectlab.llm import nearcopies
@@ -90,3 +91,45 @@ def test_a_large_group_of_near_copies(spark):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame([*rows, (1000, " ".join(reversed(base)))], "doc_id long, text string")
     assert sorted(r.doc_id for r in nearcopies.drop_near_copies(docs).collect()) == [0, 1000]
+
+
+def test_balls_give_all_pairs_within_two_bits(spark):
+    """The fingerprints are of the shingle sets; each set is joined to all within two bits of it, through the balls alone."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(1500)]
+    texts = [*(" ".join(varied(rng, base, 1, "x")) for _ in range(40)), *(" ".join(varied(rng, base, 900, "y")) for _ in range(20))]
+    prints = {i: nearcopies.sketch(t)[2] for i, t in enumerate(texts)}
+    for i in (0, 50):
+        hashes = [xxhash.xxh64_intdigest(g) for g in nearcopies.shingles(texts[i])]
+        bits = [2 * sum(h >> b & 1 for h in hashes) > len(hashes) for b in range(64)]
+        assert prints[i] & (1 << 64) - 1 == sum(x << b for b, x in enumerate(bits))
+    sets = spark.createDataFrame(list(prints.items()), "node long, fp long")
+    pairs = {(r.a, r.b) for r in nearcopies.ball_pairs(sets).collect()}
+    near = [(i, j) for i in prints for j in prints if i < j and ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 2]
+    assert near and pairs <= set(near)
+
+    def groups(links):
+        up = {i: i for i in prints}
+        for _ in prints:
+            for a, b in links:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    assert groups(pairs) == groups(near)
+
+
+def test_shingles_of_hot_sets_are_made_once(spark, capsys):
+    """One Python step a task, so one worker."""
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g"), (3, "a b c d e x"), (4, None)], "node long, text string")
+    plans = []
+    kept, nearcopies.materialise = nearcopies.materialise, lambda df, name: (plans.append((name, df)), kept(df, name))[1]
+    try:
+        rare = nearcopies.rare_shingles(texts.select("node"), texts, 5, 0.8)
+    finally:
+        nearcopies.materialise = kept
+    # A set similar to the third or the second shares two shingles with it; of the first, one of the two is enough.
+    assert [(r.node, r.n) for r in rare.collect()] == [(1, 2)]
+    terms = dict(plans)["terms"]
+    terms.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("EvalPython") + plan.count("MapInArrow") == 1
