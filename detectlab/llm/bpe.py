@@ -217,6 +217,11 @@ class Automaton:
             self.special[p].to_bytes(4, "little") if i % 2 else self._plain(p) for i, p in enumerate(parts) if p
         )
 
+    def forget(self) -> None:
+        """Empties the caches; what was compiled stays."""
+        for cache in (self.words, self.chunks, self.arcs):
+            cache.clear()
+
     def decode(self, ids: bytes) -> str:
         labels = self.labels
         return b"".join([labels[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
@@ -263,7 +268,10 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def encoded(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """All columns and ``token_ids`` (an array of ints; empty for a null or empty text) and ``n_tokens``."""
+    """All columns and ``token_ids`` (an array of ints; empty for a null or empty text) and ``n_tokens``.
+
+    Other steps of a job run in the same workers, so the caches are emptied after each task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
     schema = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
 
@@ -278,4 +286,4 @@ def encoded(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
     taken = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("token_ids", "n_tokens")]
     name = fresh(docs, "encoded")
-    return docs.select(*taken, map_texts(make, schema)(F.col(text_col)).alias(name)).select(*taken, f"{name}.*")
+    return docs.select(*taken, map_texts(make, schema, lambda: automaton(shared.value).forget())(F.col(text_col)).alias(name)).select(*taken, f"{name}.*")

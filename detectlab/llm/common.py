@@ -29,11 +29,12 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def map_texts(make: Callable[[], Callable[[str | None], tuple]], schema: T.StructType) -> Callable[[Column], Column]:
+def map_texts(make: Callable[[], Callable[[str | None], tuple]], schema: T.StructType,
+              done: Callable[[], None] | None = None) -> Callable[[Column], Column]:
     """Column function text -> struct, in Arrow batches.
 
     ``make`` runs once a task and gives the function for one text, so models and caches are set up once and
-    nothing is kept across texts but what ``make`` itself keeps.
+    nothing is kept across texts but what ``make`` itself keeps. ``done`` runs when the task's last batch has been read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -51,6 +52,8 @@ def map_texts(make: Callable[[], Callable[[str | None], tuple]], schema: T.Struc
                     [pa.array(list(c), type=f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind)
                 ))
             yield pa.concat_arrays(parts)
+        if done is not None:
+            done()
 
     return run
 

@@ -82,6 +82,21 @@ def test_bpe_on_odd_rows(odd, library):
     assert bpe.round_trips(odd.limit(0)).count() == 0
 
 
+def test_caches_of_a_task_are_emptied(spark, tmp_path):
+    # A vocabulary that no other test has, so that its caches are this test's alone.
+    path = tmp_path / "vocabulary.json"
+    path.write_text(bpe.vocabulary_text() + " ", encoding="utf-8")
+    docs = spark.createDataFrame([(1, "some words of a text"), (2, None)], "doc_id long, text string").coalesce(1)
+    vocabulary = bpe.vocabulary_text(str(path))
+    held = F.udf(lambda x: len(bpe.automaton(vocabulary).chunks), "int")
+    assert {r.n_tokens for r in bpe.encoded(docs, path=str(path)).collect()} == {0, 5}
+    assert {r.n for r in docs.select(held("doc_id").alias("n")).collect()} == {0}
+    model = bpe.Automaton(vocabulary)
+    ids = model.encode("some words of a text")
+    model.forget()
+    assert not model.chunks and model.encode("some words of a text") == ids
+
+
 # --- token files ------------------------------------------------------------------------------------------------------
 
 @settings(max_examples=30, deadline=None)
