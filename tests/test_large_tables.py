@@ -74,3 +74,30 @@ def test_results_of_a_payload_are_grouped_in_place(spark, sf):
     run = derived.detection_run(spark, sf, False, derived.payloads_by_id(spark, sf))
     prepared = run.groupBy("payload_id").agg(F.collect_list("variant"))._jdf.queryExecution().executedPlan().toString()
     assert prepared.count("hashpartitioning(payload_id") == 1
+
+
+def test_documents_that_share_frequent_shingles_alone_are_not_compared(spark, monkeypatch):
+    passage = " ".join(f"common{i}" for i in range(40))
+    own = lambda side, i: " ".join(f"{side}{i}word{j}" for j in range(60))
+    texts = {i: f"{own('a', i)} {passage}" for i in range(30)} | {100: "", 101: "ab", 102: "a b"}
+    other = {i: f"{own('b', i)} {passage}" for i in range(30)} | {50: texts[3], 51: texts[4] + " end", 52: texts[3], 53: "ab", 54: ""}
+    seen, rated = [], L.rated
+    monkeypatch.setattr(L, "rated", lambda pairs, left, right: seen.append(pairs.count()) or rated(pairs, left, right))
+    for threshold, want in ((0.5, {3: (50, 1.0, 1), 4: (51, 98 / 99, 1), 101: (53, 1.0, 1)}), (0.25, None)):
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        registered = spark.createDataFrame(list(other.items()), "reg long, other string")
+        got = {r.doc_id: (r.reg, r.jaccard, r.matches) for r in L.similar_registered(docs, "doc_id", "text", registered, "reg", "other", threshold).collect()}
+        if want is None:
+            sets = lambda t: {tuple(t.split()[i:i + 3]) for i in range(len(t.split()) - 2)}
+            best = {i: min((-len(sets(t) & sets(o)) / len(sets(t) | sets(o)), k) for k, o in other.items() if len(o.split()) > 2) for i, t in texts.items() if i < 100}
+            assert {i: (k, -j) for i, (j, k) in best.items() if -j >= threshold} == {i: v[:2] for i, v in got.items() if i < 100} and got[101] == (53, 1.0, 1)
+        else:
+            assert got == want
+    assert seen[0] == 3
+
+
+def test_numbered_shingles_tell_texts_apart_as_their_strings_do(spark):
+    rows = [("a b c d",), ("A b C d",), ("a b",), ("abc",), ("",), ("　x y z w ",), ("x x x x x",)]
+    both = spark.createDataFrame(rows, "t string").select(L.shingles(F.col("t")).alias("s"), L.shingle_set(F.col("t")).alias("n")).collect()
+    assert [len(r.s) for r in both] == [len(r.n) for r in both]
+    assert all((set(a.s) == set(b.s)) == (a.n == b.n) for a in both for b in both)
