@@ -101,3 +101,13 @@ def test_numbered_shingles_tell_texts_apart_as_their_strings_do(spark):
     both = spark.createDataFrame(rows, "t string").select(L.shingles(F.col("t")).alias("s"), L.shingle_set(F.col("t")).alias("n")).collect()
     assert [len(r.s) for r in both] == [len(r.n) for r in both]
     assert all((set(a.s) == set(b.s)) == (a.n == b.n) for a in both for b in both)
+
+
+def test_a_run_over_distinct_values_counts_what_the_whole_run_does(spark, sf):
+    keys = ["category", "technique", "strategy", "severity", "detected", "confidence", "error"]
+    for normalised in (False, True):
+        whole = derived.detection_run(spark, sf, normalised).groupBy(*keys).agg(F.count("*").alias("rows"), F.min("payload_id").alias("first"))
+        counted = derived.counted_run(spark, sf, normalised)
+        assert counted.filter("category = 'random_api_key'").count() < counted.filter("category = 'iban'").count() / 5
+        grouped = counted.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.min("payload_id").alias("first"))
+        assert sorted(map(str, whole.collect())) == sorted(map(str, grouped.collect()))
