@@ -4,10 +4,12 @@ Words are those of ``simhash``; a shingle is five words in a row (all words of a
 collapse first. The others have a SimHash fingerprint of their shingles and meet in the balls of ``simhash.near_links``, so those of one
 fingerprint or within two bits are candidates. Two sets of similarity 0.8 differ in about ten of 64 bits, which no ball reaches; so they
 meet again under ``BANDS`` keys of ``ROWS`` minima each: a pair of similarity s is met with probability
-1 - (1 - s**ROWS)**BANDS, which is 1 - 5e-8 at 0.8. Each pair that meets is verified on its own shingle sets, so no link is false.
+1 - (1 - s**ROWS)**BANDS, which is 1 - 5e-8 at 0.8. Of each minimum four bits are kept as well: two sets of similarity s have
+1/16 + 15/16 s of them equal, and a pair that has fewer than ``least_equal`` is left out (a chance of 1e-8 at most for a pair of the threshold),
+and so is one whose sets have too many shingles in cells that the other has none in, so texts are only read for pairs that are near it. Each pair that is left is verified on its own shingle sets, so no link is false.
 
-A key of at most ``MOST`` sets gives all its pairs. A hotter key is cut into parts of about ``PART`` by a hash of set and key, so
-the parts differ from key to key; each part gives all its pairs, and each set is paired with the least of its key. That joins most of a
+A key of at most ``MOST`` sets gives all its pairs. Under a hotter key each set is paired with the one whose keys are the
+most common, which is the middle of a group of near copies and the same for most of its keys. That joins most of a
 hot group; what it leaves apart is completed exactly: sets that were under a hot key meet again under the rarest of their
 shingles (two sets of similarity t share one of the first n - ceil(t n) + 1 in any order that holds for all, so a passage that many texts
 share brings nothing together), and pairs of different components are verified. Under each shingle the sets outside its largest
@@ -21,6 +23,7 @@ one without.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,13 @@ from detectlab.llm.simhash import majority, near_links, signed
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
-MOST, PART = 16, 4
+MOST = 16
+#: Bits kept of each minimum, and the chance that a pair of the threshold is taken for a less similar one.
+KEPT_BITS, MISSED = 4, 1e-8
+#: Cells that the shingles of a set are counted in.
+CELLS = 512
+#: Rare shingles that stand with each entry of a set, so that a pair is a row under the first that both have; beyond them it is one under each.
+EARLIER = 128
 STEPS = (16, 256, None)
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.random.default_rng(8).integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64)
@@ -55,13 +64,38 @@ def jaccard(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def sketch(text: str | None, size: int = SHINGLE) -> tuple[str, list[int], int]:
-    """The digest of the shingle set, a signed key for each band, and the fingerprint; the empty set has no keys."""
+def least_equal(threshold: float) -> int:
+    """So many of the kept minima are equal for a pair of the threshold, but for a chance of ``MISSED``: a binomial tail."""
+    n, equal, tail = BANDS * ROWS, 2.0**-KEPT_BITS + (1 - 2.0**-KEPT_BITS) * threshold, 0.0
+    for least in range(n):
+        tail += math.comb(n, least) * equal**least * (1 - equal) ** (n - least)
+        if tail > MISSED:
+            return least
+    return n
+
+
+def near(x: str, y: str, threshold: float) -> str:
+    """SQL: whether two sets can have the threshold's similarity, by what ``sketch`` keeps of them.
+
+    A cell that only one of them has holds a shingle at least that they don't share, which is exact. Of the minima word w of a plane
+    has one bit of 64.
+    """
+    words, cells = BANDS * ROWS // 64, CELLS // 64
+    at = cells + KEPT_BITS * words
+    of = lambda a, b: f"{a}[{at}] - ({' + '.join(f'bit_count({a}[{i}] & ~{b}[{i}])' for i in range(cells))})"
+    bound = f"least({of(x, y)}, {of(y, x)}) * {1 + threshold}D >= ({x}[{at}] + {y}[{at}]) * {threshold}D - 1e-9D"
+    differing = (" | ".join(f"({x}[{i}] ^ {y}[{i}])" for i in range(cells + w, at, words)) for w in range(words))
+    return f"{' + '.join(f'bit_count({d})' for d in differing)} <= {BANDS * ROWS - least_equal(threshold)} AND {bound}"
+
+
+def sketch(text: str | None, size: int = SHINGLE) -> tuple[str, list[int], int, list[int]]:
+    """The digest of the shingle set, a signed key for each band, the fingerprint, and for ``near`` the cells of all shingles, the kept bits of
+    all minima and the number of shingles; the empty set has no keys."""
     digest = xxhash.xxh64_intdigest
     hashes = np.unique(np.fromiter((digest(g) for g in shingles(text, size)), dtype=np.uint64))
     name = xxhash.xxh3_128_hexdigest(hashes.tobytes())
     if not len(hashes):
-        return name, [], 0
+        return name, [], 0, []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), _BLOCK):
         block = (hashes[at : at + _BLOCK, None] ^ _MASKS[None, :]) * _FACTORS[None, :]
@@ -69,7 +103,11 @@ def sketch(text: str | None, size: int = SHINGLE) -> tuple[str, list[int], int]:
     bands = least.reshape(BANDS, ROWS)
     keys = np.array([digest(row.tobytes(), seed) for seed, row in enumerate(bands)], dtype=np.uint64)
     fingerprint = signed(majority(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)))
-    return name, keys.view(np.int64).tolist(), fingerprint
+    planes = least[None, :] >> np.arange(KEPT_BITS, dtype=np.uint64)[:, None] & np.uint64(1)
+    cells = np.zeros(CELLS, dtype=np.uint8)
+    cells[hashes % CELLS] = 1
+    kept = np.packbits(np.concatenate([cells, planes.astype(np.uint8).ravel()])).view(np.int64)
+    return name, keys.view(np.int64).tolist(), fingerprint, [*kept.tolist(), len(hashes)]
 
 
 def ball_pairs(sets: DataFrame) -> DataFrame:
@@ -82,25 +120,30 @@ def ball_pairs(sets: DataFrame) -> DataFrame:
     return same.union(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, keys) -> pairs (a, b), a < b, to verify, and the nodes that stand under a hot key."""
-    entries = materialise(sets.select("node", F.explode("keys").alias("key")), "entries")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+def candidates(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, keys, kept) -> pairs (a, b), a < b, to verify, and the nodes that stand under a hot key."""
+    entries = sets.select("node", F.explode("keys").alias("key"))
     # Only keys that meet; written, so that the join below has its sizes and Spark can split a hot key.
-    sizes = materialise(sizes, "key-sizes")
-    met = entries.join(sizes, "key")
-    part = F.when(F.col("n") <= MOST, F.lit(0)).otherwise(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / PART)))
-    met = materialise(met.withColumn("part", part.cast("long")), "met")
-    parts = met.groupBy("key", "part").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where("size(nodes) > 1")
-    pairs = parts.select(F.explode(F.expr(
-        "flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x AS a, y AS b))))"
+    sizes = materialise(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
+    met = materialise(entries.join(sizes, "key"), "met")
+    few = met.where(F.col("n") <= MOST).join(sets.select("node", "kept"), "node")
+    groups = few.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "kept"))).alias("nodes"))
+    pairs = groups.select(F.explode(F.expr(
+        f"flatten(transform(nodes, (x, i) -> transform(filter(slice(nodes, i + 2, size(nodes)), y -> {near('x.kept', 'y.kept', threshold)}),"
+        " y -> struct(x.node AS a, y.node AS b))))"
     )).alias("p")).select("p.a", "p.b")
-    to_least = met.where((F.col("n") > MOST) & (F.col("least") < F.col("node"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return pairs.union(to_least), met.where(F.col("n") > MOST).select("node").distinct()
+    many = met.where(F.col("n") > MOST)
+    hot = materialise(many.groupBy("node").agg(F.sum("n").alias("common")).join(sets.select("node", "kept"), "node"), "hot")
+    middles = many.join(hot.select("node", "common"), "node").groupBy("key").agg(F.max(F.struct("common", "node"))["node"].alias("middle"))
+    to_middle = many.join(middles, "key").where("middle <> node").select("node", "middle").distinct()
+    to_middle = to_middle.join(hot.select("node", F.col("kept").alias("x")), "node").join(
+        hot.select(F.col("node").alias("middle"), F.col("kept").alias("y")), "middle").where(near("x", "y", threshold))
+    return pairs.union(to_middle.select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))), hot.select("node", "kept")
 
 
 def rare_shingles(hot: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(term, node, n) for the rarest shingles of each hot set, as many as a similar set must share one of."""
+    """(term, node, n, m, earlier) for the rarest shingles of each hot set, as many as a similar set must share one of; m of its n some other set has,
+    and ``earlier`` are the set's own before this one."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,24 +163,31 @@ def rare_shingles(hot: DataFrame, texts: DataFrame, size: int, threshold: float)
     known = terms.join(shared, "term").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("known"))
     # Shingles that no other set has come first; they are in the prefix as far as it goes, and bring nothing.
     kept = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("known"))
-    known = known.select("node", "n", F.explode(F.slice("known", F.lit(1), F.greatest(kept, F.lit(0)).cast("int"))).alias("k"))
-    return materialise(known.select(F.col("k.term").alias("term"), "node", "n"), "rare")
+    terms_of = F.slice("known", F.lit(1), F.greatest(kept, F.lit(0)).cast("int"))["term"]
+    known = known.select("node", "n", F.size("known").alias("m"), terms_of.alias("terms"))
+    known = known.select("node", "n", "m", "terms", F.posexplode("terms").alias("at", "term"))
+    earlier = F.when(F.col("at") <= EARLIER, F.slice("terms", F.lit(1), F.col("at")))
+    return materialise(known.select("term", "node", "n", "m", earlier.alias("earlier")), "rare")
 
 
-def across(rare: DataFrame, groups: DataFrame, step: int | None, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that share a rare shingle, or a part of about ``step`` of its sets."""
+def across(rare: DataFrame, hot: DataFrame, groups: DataFrame, step: int | None, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that share a rare shingle, or a part of about ``step`` of its sets; ``hot`` has the kept minima."""
     named = rare.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = rare.join(groups, "node", "left").groupBy("term").agg(
         F.min(F.coalesce("component", "node")).alias("lo"), F.max(F.coalesce("component", "node")).alias("hi"), F.count("*").alias("sets")).where("lo < hi")
     part = F.lit(0).cast("long") if step is None else F.pmod(F.xxhash64("node", "term"), F.ceil(F.col("sets") / step)).cast("long")
-    entries = materialise(named.join(apart.select("term", "sets"), "term").select("term", part.alias("part"), "node", "n", "component"), "across")
+    entries = named.join(apart.select("term", "sets"), "term").select("term", part.alias("part"), "node", "n", "m", "earlier", "component")
+    entries = materialise(entries.join(hot, "node"), "across")
     largest = entries.groupBy("term", "part", "component").agg(F.count("*").alias("m")).groupBy("term", "part").agg(
         F.max(F.struct("m", "component"))["component"].alias("largest"))
-    outside = entries.join(largest, ["term", "part"]).where("component <> largest").select(
-        "term", "part", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    met = outside.join(entries, ["term", "part"]).where(
-        (F.col("cx") != F.col("component")) & (F.least("nx", "n") >= F.greatest("nx", "n") * threshold - 1e-9))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    both = entries.join(largest, ["term", "part"]).withColumn("outside", F.col("component") != F.col("largest")).drop("largest")
+    mine = both.where("outside").select("term", "part", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "m", "earlier", "component", "kept")))
+    # What two sets share is among what either shares with any. All in the join's own condition, so that no other pair is a row.
+    met = mine.join(both, ["term", "part"]).where(
+        (F.col("component_x") != F.col("component")) & (~F.col("outside") | (F.col("node_x") < F.col("node")))
+        & (F.least("m_x", "m") * (1 + threshold) >= (F.col("n_x") + F.col("n")) * threshold - 1e-9) & F.expr(near("kept_x", "kept", threshold))
+        & ~F.coalesce(F.arrays_overlap("earlier_x", "earlier"), F.lit(False)))
+    return met.select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b")).distinct()
 
 
 def _similar(size: int, threshold: float):
@@ -155,18 +205,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` written with a key for each row, the keys of the rows that stay, and the name of the key."""
     row = fresh(docs, "row")
     kind = T.StructType([T.StructField("name", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())),
-                         T.StructField("fp", T.LongType())])
+                         T.StructField("fp", T.LongType()), T.StructField("kept", T.ArrayType(T.LongType()))])
     run = map_texts(lambda: lambda text: sketch(text, size), kind)
     keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     prints = keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"), run(F.col(text_col)).alias("s"))
-    prints = materialise(prints.select("row", "id", "s.name", "s.keys", "s.fp"), "sketches")
+    prints = materialise(prints.select("row", "id", "s.name", "s.keys", "s.fp", "s.kept"), "sketches")
     # Copies collapse here, before the shuffle: a hot text is one row per task.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    sets = prints.groupBy("name").agg(first, F.first("keys").alias("keys"), F.first("fp").alias("fp"))
-    sets = materialise(sets.select(F.col("first.row").alias("node"), "first", "keys", "fp"), "sets")
-    pairs, hot = candidates(sets)
+    sets = prints.groupBy("name").agg(first, F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.first("kept").alias("kept"))
+    sets = materialise(sets.select(F.col("first.row").alias("node"), "first", "keys", "fp", "kept"), "sets")
+    pairs, hot = candidates(sets, threshold)
     balls = ball_pairs(sets.where("size(keys) > 0").select("node", "fp"))
-    pairs, hot = materialise(pairs.union(balls).distinct(), "pairs"), materialise(hot, "hot")
+    pairs = materialise(pairs.union(balls).distinct(), "pairs")
     texts = keyed.select(F.col(row).alias("node"), F.col(text_col).alias("text"))
 
     def verified(some: DataFrame) -> DataFrame:
@@ -180,9 +230,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = materialise(verified(pairs), "found")
     groups = connected_components(links)
     if not hot.isEmpty():
-        rare = rare_shingles(hot, texts, size, threshold)
+        rare = rare_shingles(hot.select("node"), texts, size, threshold)
         for step in STEPS:
-            more = materialise(across(rare, groups, step, threshold).join(pairs, ["a", "b"], "left_anti"), "more")
+            more = materialise(across(rare, hot, groups, step, threshold).join(pairs, ["a", "b"], "left_anti"), "more")
             if more.isEmpty():
                 continue
             new = materialise(verified(more), "new")

@@ -133,3 +133,50 @@ def test_shingles_of_hot_sets_are_made_once(spark, capsys):
     terms.explain()
     plan = capsys.readouterr().out
     assert plan.count("EvalPython") + plan.count("MapInArrow") == 1
+
+
+def hot_group(n):
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(300)]
+    return [" ".join(base), *(" ".join(varied(rng, base, 3, "x")) for _ in range(n - 1))]
+
+
+def test_a_hot_group_gives_few_candidates(spark):
+    """A few for each set, not some of every key, and they join it."""
+    texts = hot_group(600)
+    kept = [nearcopies.sketch(t) for t in texts]
+    sets = spark.createDataFrame([(i, s[1], s[3]) for i, s in enumerate(kept)], "node long, keys array<long>, kept array<long>")
+    pairs, hot = nearcopies.candidates(sets, 0.8)
+    pairs = {(r.a, r.b) for r in pairs.collect()}
+    assert len(pairs) < 10 * len(texts) and hot.count() == len(texts)
+    assert {(0, i) for i in range(1, 600)} <= pairs
+
+
+def test_what_is_kept_leaves_no_similar_pair_out(spark):
+    rng = random.Random(22)
+    rows = []
+    for length in (4, 9, 60, 300, 2500):
+        base = [f"w{i}" for i in range(length)]
+        rows += [(" ".join(varied(rng, base, e, "x")), " ".join(varied(rng, base, e, "y"))) for e in (0, 1, length // 90, length // 40, length // 9) for _ in range(8)]
+    similar = [nearcopies.jaccard(nearcopies.shingles(a), nearcopies.shingles(b)) for a, b in rows]
+    kept = [(i, nearcopies.sketch(a)[3], nearcopies.sketch(b)[3]) for i, (a, b) in enumerate(rows)]
+    near = {r.i for r in spark.createDataFrame(kept, "i int, x array<long>, y array<long>").where(nearcopies.near("x", "y", 0.8)).collect()}
+    assert {i for i, s in enumerate(similar) if s >= 0.8} <= near
+    assert not any(s < 0.4 for i, s in enumerate(similar) if i in near) and len(near) < len(rows)
+    # Nothing shared in 512 cells cannot be similar, whatever the minima are.
+    assert 0.8 > 1 - nearcopies.least_equal(0.8) / 128 > 0.3
+
+
+def test_sets_apart_meet_in_one_row(spark, capsys):
+    """Pairs of different components are rows of the join once, and only those that can be similar."""
+    rng = random.Random(23)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(varied(rng, base, 5, "x")) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    hot = spark.createDataFrame([(i, nearcopies.sketch(t)[3]) for i, t in rows], "node long, kept array<long>")
+    rare = nearcopies.rare_shingles(hot.select("node"), spark.createDataFrame(rows, "node long, text string"), 5, 0.8)
+    none = spark.createDataFrame([], "node long, component long")
+    got = {(r.a, r.b) for r in nearcopies.across(rare, hot, none, None, 0.8).collect()}
+    sets = [nearcopies.shingles(t) for t in texts]
+    similar = {(i, j) for j in range(60) for i in range(j) if nearcopies.jaccard(sets[i], sets[j]) >= 0.8}
+    assert similar <= got and len(got) < 60 * 59 // 4
