@@ -89,3 +89,19 @@ def test_layers_are_searched_breadth_first(spark):
     views = spark.range(1).select(D.decoded_views(built[2])).first()[0]
     assert card in views and len(views) == len(set(views))
     assert spark.createDataFrame([(None,), ("",)], "t string").select(D.search_views(F.col("t"), found).alias("d")).where("d IS NOT NULL").count() == 0
+
+
+def test_runs_are_found_across_parts_and_rows(spark, monkeypatch):
+    """The rows of a batch stand one after the other: no run goes over a row's end, and none is lost where a part ends; one Python step."""
+    monkeypatch.setattr(X, "WINDOW", 2)
+    values = [("c", "c", "alpha beta"), ("c", "c", "béta 42"), ("c", "c", "xyz")]
+    dictionary = X.register_values(spark.createDataFrame(values, "category string, label string, value string"), "k")
+    texts = [(1, "x alpha"), (2, "beta xyz"), (3, None), (4, ""), (5, "one, (al-pha) \"BE.TA\", two x.y.z! bÉ ta4 2 " * 3), (6, "!" * 20000 + "x yz"),
+             (7, "alphabeta"), (8, "xyz" * 3)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    for known in (dictionary, dictionary.drop("probe")):
+        got = sorted((r.doc_id, r.position, r.words) for r in X.find_registered(rows, ["doc_id"], "text", known, "k").collect())
+        each = [(2, 2), (5, 1), (6, 3)]
+        assert got == [(2, 2, 1), *((5, 8 * i + at, n) for i in range(3) for at, n in each), (6, 1, 2), (7, 1, 1)]
+    runs = X._runs(rows, ["doc_id"], "text", [3, 9], "k", None)
+    assert runs._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
