@@ -1,10 +1,14 @@
 """Results that only odd inputs or larger tables tell apart."""
 
+import hashlib
 import math
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from detectlab.functions import ladders
 from detectlab.functions.checks import mod97
 from detectlab.functions.entropy import shannon
 from detectlab.operators import compare as J
@@ -111,3 +115,31 @@ def test_a_run_over_distinct_values_counts_what_the_whole_run_does(spark, sf):
         assert counted.filter("category = 'random_api_key'").count() < counted.filter("category = 'iban'").count() / 5
         grouped = counted.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.min("payload_id").alias("first"))
         assert sorted(map(str, whole.collect())) == sorted(map(str, grouped.collect()))
+
+
+@pytest.mark.parametrize("each", [False, True])
+def test_similarities_without_texts_are_those_of_the_ladder(spark, each, monkeypatch):
+    word = lambda i: ("ab12", "NATO,", "the", "Lorem", "data", "(USD)", "mail@x")[i % 7] if i % 5 else f"word{i % 83}"
+    texts = ["", "a", "ab NATO", "x y z", "a a a a a", " ".join("the" for _ in range(50)), None, *[" ".join(word(i * j) for i in range(3 + 97 * j)) for j in range(12)]]
+    # Keys of several lengths, so that what is drawn from takes one, two and three blocks.
+    docs = spark.createDataFrame([(str(i) * (1 + i * i), t) for i, t in enumerate(texts)], "doc string, text string")
+    rates = (0.0, 0.05, 0.3, 1.0)
+    whole = L.ladder(docs, "doc", "text", rates, 7, each).drop("variant_text")
+    monkeypatch.setattr(ladders, "TOGETHER", 500)
+    apart = L.ladder_similarities(docs, "doc", "text", rates, 7, each)
+    assert apart.columns == whole.columns
+    assert sorted(map(str, apart.collect())) == sorted(map(str, whole.collect()))
+    assert "Exchange" not in apart._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_text_is_put_together_for_similarities_alone(spark, sf):
+    for name in ("neardup_threshold_report", "neardup_corpus_manifest"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "variant_text" not in plan
+
+
+def test_md5_of_many_messages():
+    for prefix in ("", "0|distort|1|0.05|", "p" * 53, "p" * 54, "p" * 55, "p" * 64, "p" * 119):
+        first, second = ladders.draws([prefix, "other"], np.array([101, 3]))
+        want = [hashlib.md5(f"{prefix}{i}".encode()).hexdigest() for i in range(101)] + [hashlib.md5(f"other{i}".encode()).hexdigest() for i in range(3)]
+        assert [f"{a:08x}{b:08x}" for a, b in zip(first, second)] == [w[:16] for w in want]
