@@ -143,3 +143,13 @@ def test_md5_of_many_messages():
         first, second = ladders.draws([prefix, "other"], np.array([101, 3]))
         want = [hashlib.md5(f"{prefix}{i}".encode()).hexdigest() for i in range(101)] + [hashlib.md5(f"other{i}".encode()).hexdigest() for i in range(3)]
         assert [f"{a:08x}{b:08x}" for a, b in zip(first, second)] == [w[:16] for w in want]
+
+
+def test_sums_of_placed_cases_beyond_64_bits(spark):
+    rows = lambda ids: spark.createDataFrame([("t", n, i, f"t_{n}") for n, i in enumerate(ids, 1)] + [("u", 1, -5, "u")], "base_name string, n int, payload_id long, case_name string")
+    small, large = [7, 1 << 40], [1 << 60, 1 << 61, 3 << 59, 11]
+    for ids, kind in ((small, "bigint"), (large, "decimal(38,0)")):
+        found = M.placed_cases(rows(ids))
+        assert dict(found.dtypes)["placed"] == kind
+        assert {r.base_name: (r.cases, int(r.placed), r.last_name) for r in found.collect()} == {
+            "t": (len(ids), sum(n * i for n, i in enumerate(ids, 1)), f"t_{len(ids)}"), "u": (1, -5, "u")}
