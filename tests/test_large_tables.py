@@ -15,6 +15,7 @@ from detectlab.operators import compare as J
 from detectlab.operators import detect as D
 from detectlab.operators import neardup as L
 from detectlab.operators import scoring as M
+from detectlab.operators import sigindex
 from detectlab.plans import QUERIES, derived
 
 
@@ -153,3 +154,39 @@ def test_sums_of_placed_cases_beyond_64_bits(spark):
         assert dict(found.dtypes)["placed"] == kind
         assert {r.base_name: (r.cases, int(r.placed), r.last_name) for r in found.collect()} == {
             "t": (len(ids), sum(n * i for n, i in enumerate(ids, 1)), f"t_{len(ids)}"), "u": (1, -5, "u")}
+
+
+def test_documents_that_share_a_band_alone_are_no_pairs(spark):
+    passage = lambda g: " ".join(f"common{g}word{i}" for i in range(12))
+    texts = [(i, f"{passage(i % 20)} " + " ".join(f"own{i}word{j}" for j in range(90))) for i in range(240)] + [
+        (240, passage(0)), (241, passage(0) + " end"), (242, "ab"), (243, "")]
+    sets = L.shingle_sets(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text")
+    signed = sigindex.signatures(sets)
+    bands = signed.select("row", F.explode("bands").alias("band"))
+    met = bands.join(bands.withColumnRenamed("row", "other"), "band").where("row < other").select("row", "other").distinct().count()
+    pairs = sigindex.candidates(signed, signed, 0.5).where("l_row < r_row")
+    assert met > 100 and pairs.count() < met / 10
+    found = L.rated(pairs, sets, sets).where("jaccard >= 0.5").collect()
+    assert [round(r.jaccard, 9) for r in found] == [round(10 / 11, 9)]
+    # No set and no minimum is shuffled, neither for signatures nor to keep one document of each set.
+    assert "Exchange hashpartitioning" not in signed._jdf.queryExecution().executedPlan().toString()
+    one, _ = L.one_per_set(sets, "doc_id", "first")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and one.count() == 243
+
+
+def test_sketches_agree_in_as_many_minima_as_sets_are_similar(spark):
+    rng = np.random.default_rng(5)
+    shared, rest = rng.integers(0, 1 << 63, (300, 200)), rng.integers(0, 1 << 63, (300, 200))
+    a = np.concatenate([shared, rest[:, :100]], axis=1).astype(np.uint64)
+    b = np.concatenate([shared, rest[:, 100:]], axis=1).astype(np.uint64)
+    of = lambda x: sigindex.signatures_of(x.reshape(-1), np.full(300, 300))
+    (bands_a, sketch_a), (bands_b, sketch_b) = of(a), of(b)
+    nibbles = lambda k: (k[:, :, None] >> np.arange(0, 64, 4, dtype=np.uint64)) & np.uint64(15)
+    common = (nibbles(sketch_a) == nibbles(sketch_b)).sum(axis=(1, 2))
+    assert abs(common.mean() - 42.5) < 1.5 and common.min() >= sigindex.least_common(0.5) and abs(common.std() - 4.5) < 0.8
+    assert abs((bands_a == bands_b).sum(axis=1).mean() - 10) < 0.7
+    rows = [(int(i), *map(int, k)) for i, k in enumerate(np.concatenate([sketch_a, sketch_b], axis=1).view(np.int64))]
+    names = [f"{side}{i}" for side in "lr" for i in range(sigindex.SKETCH)]
+    got = spark.createDataFrame(rows, ["id", *names]).select(sigindex.common_minima("l", "r").alias("c"), "id").collect()
+    assert {r.id: r.c for r in got} == dict(enumerate(common.tolist()))
