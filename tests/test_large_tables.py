@@ -190,3 +190,16 @@ def test_sketches_agree_in_as_many_minima_as_sets_are_similar(spark):
     names = [f"{side}{i}" for side in "lr" for i in range(sigindex.SKETCH)]
     got = spark.createDataFrame(rows, ["id", *names]).select(sigindex.common_minima("l", "r").alias("c"), "id").collect()
     assert {r.id: r.c for r in got} == dict(enumerate(common.tolist()))
+
+
+def test_two_runs_are_counted_in_one_pass(spark, sf):
+    keys = ["category", "generator", "technique", "strategy", "severity"]
+    for normalised, counted in zip((False, True), derived.paired_counts(spark, sf)):
+        whole = derived.detection_run(spark, sf, normalised).groupBy(*keys).agg(F.count("*").alias("rows"))
+        assert sorted(map(str, whole.collect())) == sorted(map(str, counted.groupBy(*keys).agg(F.sum("rows").alias("rows")).collect()))
+
+
+def test_hexadecimal_digits_without_an_x_are_no_entity(spark):
+    texts = {"&#65;&#x42;&#X43;": "ABC", "&#ab; &#x;": "&#ab; &#x;", "&#127;&#128;&#8364;&#x1F600;": "\x7f\x80\u20ac\U0001F600", "&#0;&#xD800;": "&#0;&#xD800;"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", D.unescape_html(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in got} == texts
